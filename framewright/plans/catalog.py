@@ -1,4 +1,4 @@
 """All registered queries of the library, and their SQL: importing an operator module registers its queries."""
 
-from ..operators import evaluate, findings, frames, policy, temporal  # noqa: F401
+from ..operators import benchmark, consolidate, evaluate, findings, frames, jobs, policy, temporal  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
