@@ -68,10 +68,25 @@ class Hasher:
 
     def of(self, prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = (prefix[stop] - prefix[start]) * self.down[start] + (stop - start).astype(np.uint64)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-            return h ^ (h >> np.uint64(32))
+            return _mixed((prefix[stop] - prefix[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
+    def grams(self, prefix: np.ndarray) -> np.ndarray:
+        """The hashes of all strings of GRAM bytes."""
+        n = len(prefix) - GRAM
+        with np.errstate(over="ignore"):
+            h = prefix[GRAM:] - prefix[:n]
+            h *= self.down[:n]
+            return _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits, in place."""
+    with np.errstate(over="ignore"):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return h
 
 
 _hasher: Hasher | None = None
@@ -91,14 +106,17 @@ def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray) -> tu
     if n < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     prefix = h.prefix(data)
-    at = np.arange(n - GRAM + 1)
-    grams = h.of(prefix, at, at + GRAM)
+    grams = h.grams(prefix)
     low = np.uint64(PIECE - 1)
-    keys = (grams & ~low) >> np.uint64(1)
+    keys = grams >> np.uint64(1)
     if len(frequent):
-        known = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
-        keys |= known.astype(np.uint64) << np.uint64(63)
-    keys = (keys & ~low) | at.astype(np.uint64)  # the place breaks ties, leftmost first
+        table = np.zeros(1 << 16, bool)
+        table[(frequent >> np.uint64(48)).astype(np.int64)] = True
+        maybe = np.flatnonzero(table[grams.view(np.uint16)[3::4]])  # by the highest two bytes
+        maybe = maybe[frequent[np.minimum(np.searchsorted(frequent, grams[maybe]), len(frequent) - 1)] == grams[maybe]]
+        keys[maybe] |= np.uint64(1 << 63)
+    keys &= ~low
+    keys |= np.arange(len(keys), dtype=np.uint64)  # the place breaks ties, leftmost first
     least, width = keys, 1
     while width * 2 <= SPAN:
         least, width = np.minimum(least[: len(least) - width], least[width:]), width * 2
@@ -106,15 +124,17 @@ def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray) -> tu
     if rest:
         least = np.minimum(least[: len(least) - rest], least[rest:])
     anchor = (least & low).astype(np.int64)  # for each start of a window
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    inside = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= offsets[row + 1])
-    if not len(inside):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    a = anchor[inside]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(inside) != 1)]))
-    start, count = inside[new], np.diff(np.append(new, len(inside)))
-    stop = start + count - 1 + LENGTH
-    return row[start], start - offsets[row[start]], count, grams[a[new]], h.of(prefix, start, stop)
+    # runs of one anchor, cut where a row's last window is; then those without a window of one row are left out
+    change = anchor[1:] != anchor[:-1]
+    edges = np.concatenate([offsets[:-1], offsets[1:] - LENGTH + 1])
+    edges = edges[(edges > 0) & (edges < len(anchor))]
+    change[edges - 1] = True
+    start = np.concatenate([[0], np.flatnonzero(change) + 1])
+    count = np.diff(np.append(start, len(anchor)))
+    row = np.searchsorted(offsets, start, "right") - 1
+    inside = start + LENGTH <= offsets[row + 1]
+    start, count, row = start[inside], count[inside], row[inside]
+    return row, start - offsets[row], count, grams[anchor[start]], h.of(prefix, start, start + count - 1 + LENGTH)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
@@ -209,68 +229,88 @@ def resolve(found: DataFrame) -> DataFrame:
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all suffixes of LENGTH bytes or more, in order: string, start, and common prefix with the suffix before (at most
-    255; 0 where shorter suffixes stand between). Built column by column, from the right."""
+    255; 0 where shorter suffixes stand between). Built column by column, from the right.
+
+    ``rows`` lists the places of the BWT by symbol, so that row r of it leads to suffix r among those that aren't empty;
+    it is carried along from round to round, as only the new symbols have to be put in."""
     m = len(strings)
     sizes = np.array([len(s) for s in strings])
     width = int(sizes.max())
-    columns = np.zeros((width, m), np.uint8)  # columns[j]: the symbol j places from the end, one of 1 to 255, or 0
+    columns = np.zeros((width, m), np.uint8)  # columns[j]: the symbol j places from the end, 1 or more, or 0 for none
     alphabet = np.zeros(256, np.uint8)
     flat = np.frombuffer(b"".join(strings), np.uint8)
     used = np.unique(flat)
     alphabet[used] = np.arange(1, len(used) + 1)  # bytes of UTF-8 never take all 256 values
-    owner = np.repeat(np.arange(m), sizes)
-    columns[np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(flat)), owner] = alphabet[flat]
-    bwt, lcp = columns[0].copy(), np.zeros(m, np.uint8)
-    who, size = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+    columns[np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(flat)), np.repeat(np.arange(m), sizes)] = alphabet[flat]
+    file = columns[0].astype(np.uint16)  # the symbols of the BWT, and above them the common prefixes
+    rows, starts = np.zeros(0, np.int32), np.zeros(len(used) + 2, np.int64)  # starts[s]: the first row of symbol s
     place, active = np.arange(m), np.arange(m)  # the strings that go on, and where their last suffix stands
     for j in range(1, width + 1):
-        order = np.argsort(bwt, kind="stable")  # places of the BWT by symbol: row r of it leads to suffix r after this round
-        ended = len(bwt) - int(np.count_nonzero(bwt))
-        order = order[ended:]
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(order))
-        new = m + rank[place]  # the ends come first, then all suffixes by first symbol and rank
-        # common prefixes of each new suffix with the one before it, and of the one after it: minima over the old ones
-        mine = rank[place]
-        symbols = bwt[order]
-        levels = [lcp]
-        while len(levels[-1]) > (1 << (len(levels) - 1)):
-            step = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
-
-        def shared(r: np.ndarray, order=order, symbols=symbols, levels=levels) -> np.ndarray:
+        # the symbols before the last suffixes take their rows
+        symbols = columns[j - 1][active].astype(np.int64)
+        order = np.argsort(symbols << 32 | place)
+        by, at = symbols[order], place[order]
+        counts = np.bincount(by, minlength=len(starts) - 1)
+        ends = np.cumsum(counts)
+        spots = np.empty(len(at), np.int64)
+        for s in np.flatnonzero(counts).tolist():
+            own = slice(int(ends[s] - counts[s]), int(ends[s]))
+            spots[own] = starts[s] + np.searchsorted(rows[starts[s] : starts[s + 1]], at[own])
+        rows = np.insert(rows, spots, at.astype(np.int32))
+        starts[1:] += ends
+        mine = np.empty(len(at), np.int64)
+        mine[order] = spots + np.arange(len(at))
+        new = m + mine  # empty suffixes come first, then all others by first symbol and rank
+        bwt, levels = file.astype(np.uint8), [(file >> 8).astype(np.uint8)]
+
+        def shared(r: np.ndarray, rows=rows, bwt=bwt, levels=levels) -> np.ndarray:
             """1 + the minimum of the old common prefixes between the places of rows r - 1 and r, if they have one symbol."""
             out = np.zeros(len(r), np.uint8)
-            ok = (r > 0) & (r < len(symbols))
-            ok[ok] = symbols[r[ok]] == symbols[r[ok] - 1]
-            lo, hi = order[r[ok] - 1] + 1, order[r[ok]]
+            ok = np.flatnonzero((r > 0) & (r < len(rows)))
+            lo, hi = rows[r[ok] - 1], rows[r[ok]]
+            same = bwt[lo] == bwt[hi]
+            ok, lo, hi = ok[same], lo[same] + 1, hi[same]
             depth = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+            while len(levels) <= depth.max(initial=0):  # minima over twice as many places
+                step = 1 << (len(levels) - 1)
+                levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
             least = np.empty(len(lo), np.uint8)
-            for d in np.unique(depth):
+            for d in np.flatnonzero(np.bincount(depth)).tolist():
                 own = depth == d
                 least[own] = np.minimum(levels[d][lo[own]], levels[d][hi[own] + 1 - (1 << d)])
             out[ok] = np.minimum(least, 254) + 1
             return out
 
-        total = len(bwt) + len(active)
+        before, behind = shared(mine), shared(mine + 1)
+        total = len(file) + len(active)
         old = np.ones(total, bool)
         old[new] = False
-        grown = [np.empty(total, x.dtype) for x in (bwt, lcp, who, size)]
-        for g, x in zip(grown, (bwt, lcp, who, size), strict=True):
-            g[old] = x
-        bwt, lcp, who, size = grown
-        bwt[new] = columns[j][active] if j < width else 0
-        who[new], size[new] = active, j
-        lcp[new] = shared(mine)
-        after = new + 1
-        fits = after < total
-        lcp[after[fits]] = shared(mine + 1)[fits]
-        goes_on = bwt[new] != 0
+        rows = np.flatnonzero(old).astype(np.int32)[rows]
+        grown = np.empty(total, np.uint16)
+        grown[old] = file
+        following = columns[j][active] if j < width else np.zeros(len(active), np.uint8)
+        grown[new] = following.astype(np.uint16) | before.astype(np.uint16) << 8
+        fits = np.flatnonzero(new + 1 < total)
+        at = new[fits] + 1
+        grown[at] = (grown[at] & 255) | behind[fits].astype(np.uint16) << 8
+        file = grown
+        goes_on = following != 0
         place, active = new[goes_on], active[goes_on]
         if not len(active):
             break
+    # which suffix stands where: once more from the right, along the finished rows
+    leads = np.zeros(len(file), np.int64)
+    leads[rows] = m + np.arange(len(rows))
+    who, size = np.zeros(len(file), np.int64), np.zeros(len(file), np.int64)
+    place, active = np.arange(m), np.arange(m)
+    for j in range(1, width + 1):
+        goes_on = sizes[active] >= j
+        active = active[goes_on]
+        place = leads[place[goes_on]]
+        if j >= LENGTH:
+            who[place], size[place] = active, j
     full = size >= LENGTH
-    common = np.where(np.concatenate([[False], full[:-1]]), lcp, 0)[full]
+    common = np.where(np.concatenate([[False], full[:-1]]), file >> 8, 0)[full]
     return who[full], sizes[who[full]] - size[full], common
 
 
