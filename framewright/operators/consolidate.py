@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
 from .evaluate import iou
+from .groups import by_group
 from .rangejoin import band_join
 
 # Words that carry no meaning, forms that mean one thing, and the weights of the signals.
@@ -47,7 +48,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching blocks; only pairs that passed the cheap gates get here."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
@@ -140,8 +141,7 @@ def consolidate(findings: DataFrame, limits: MergeLimits = MergeLimits()) -> Dat
     """cluster (the smallest finding of the cluster) of each finding: the greedy merge in order of time, one island a
     group. A finding joins the cluster of its best-scoring earlier match whose span would stay within the limit."""
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group.sort_values(["ts_s", "finding_id"]).itertuples(index=False))
+    def resolve(rows: list) -> list[tuple]:
         clusters: list[list] = []
         for row in rows:
             best = None
@@ -161,11 +161,10 @@ def consolidate(findings: DataFrame, limits: MergeLimits = MergeLimits()) -> Dat
                 clusters.append([row])
             else:
                 clusters[best[1]].append(row)
-        out = [(m.finding_id, min(x.finding_id for x in members), len(members)) for members in clusters for m in members]
-        return pd.DataFrame(out, columns=["finding_id", "cluster", "members"])
+        return [(m.finding_id, min(x.finding_id for x in members), len(members)) for members in clusters for m in members]
 
     wanted = islands(findings).select("video_id", "room", "category", "island", "finding_id", "ts_s", "description", "x", "y", "width", "height")
-    return wanted.groupBy("video_id", "room", "category", "island").applyInPandas(resolve, "finding_id long, cluster long, members long")
+    return by_group(wanted, ["video_id", "room", "category", "island"], ["ts_s", "finding_id"], resolve, "finding_id long, cluster long, members long")
 
 
 register("q02_consolidation", "findings", consolidate)
@@ -205,16 +204,17 @@ def suppress(findings: DataFrame, gap: float = 5.0, overlap: float = 0.3) -> Dat
     """Findings that stay when each suppresses less confident ones of its category that are near in time and place. Runs
     without a gap over ``gap`` can't reach each other, so each is a group of its own."""
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
+    def keep(rows: list) -> list[tuple]:
         kept: list = []
-        for row in group.sort_values(["confidence", "finding_id"], ascending=[False, True]).itertuples(index=False):
+        for row in sorted(rows, key=lambda r: (-r.confidence, r.finding_id)):
             if not any(abs(row.ts_s - k.ts_s) <= gap and box_overlap(row, k) >= overlap for k in kept):
                 kept.append(row)
-        return pd.DataFrame([(k.finding_id,) for k in kept], columns=["finding_id"])
+        return [(k.finding_id,) for k in kept]
 
     w = Window.partitionBy("video_id", "category").orderBy("ts_s", "finding_id")
     runs = findings.withColumn("s", F.coalesce((F.col("ts_s") - F.lag("ts_s").over(w) > gap).cast("int"), F.lit(0))).withColumn("run", F.sum("s").over(w))
-    return runs.select("video_id", "category", "run", "finding_id", "ts_s", "confidence", "x", "y", "width", "height").groupBy("video_id", "category", "run").applyInPandas(keep, "finding_id long")
+    wanted = runs.select("video_id", "category", "run", "finding_id", "ts_s", "confidence", "x", "y", "width", "height")
+    return by_group(wanted, ["video_id", "category", "run"], ["finding_id"], keep, "finding_id long")
 
 
 register("t06_suppression", "findings", suppress)
@@ -224,16 +224,16 @@ def spaced_top(findings: DataFrame, k: int = 3, apart: float = 1.0) -> DataFrame
     """Of each video the ``k`` least certain ambiguous findings that are ``apart`` seconds from each other. The group is
     cut to the least of each time bucket first, so that it is bounded by the video's length."""
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
+    def pick(rows: list) -> list[tuple]:
         chosen: list = []
-        for row in group.sort_values(["confidence", "ts_s", "finding_id"]).itertuples(index=False):
+        for row in rows:
             if len(chosen) < k and all(abs(row.ts_s - c.ts_s) >= apart for c in chosen):
                 chosen.append(row)
-        return pd.DataFrame([(c.video_id, c.finding_id) for c in chosen], columns=["video_id", "finding_id"])
+        return [(c.video_id, c.finding_id) for c in chosen]
 
     w = Window.partitionBy("video_id", F.floor(F.col("ts_s") / apart)).orderBy("confidence", "ts_s", "finding_id")
     first = findings.filter("confidence between 0.5 and 0.85").withColumn("n", F.row_number().over(w)).filter(f"n <= {k}")
-    return first.select("video_id", "finding_id", "ts_s", "confidence").groupBy("video_id").applyInPandas(pick, "video_id long, finding_id long")
+    return by_group(first.select("video_id", "finding_id", "ts_s", "confidence"), ["video_id"], ["confidence", "ts_s", "finding_id"], pick, "video_id long, finding_id long")
 
 
 register("t05_spaced_top", "findings", spaced_top)
@@ -242,9 +242,9 @@ register("t05_spaced_top", "findings", spaced_top)
 def consensus(findings: DataFrame, gap: float = 4.0, alike: float = 0.45, alone: float = 0.90) -> DataFrame:
     """Clusters of findings of a room that agree across frames; accepted with two supporters, or one that is sure."""
 
-    def resolve(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    def resolve(rows: list) -> list[tuple]:
         clusters: list[list] = []
-        for row in groups.sort_values(["ts_s", "finding_id"]).itertuples(index=False):
+        for row in rows:
             for c in clusters:
                 head = c[0]
                 if abs(head.ts_s - row.ts_s) <= gap and (text_similarity(head.description, row.description) >= alike or len({*_tokens_of(head.description)} & {*_tokens_of(row.description)}) >= 2):
@@ -252,15 +252,12 @@ def consensus(findings: DataFrame, gap: float = 4.0, alike: float = 0.45, alone:
                     break
             else:
                 clusters.append([row])
-        out = [(min(m.finding_id for m in c), len(c), max(m.confidence for m in c), len(c) >= 2 or max(m.confidence for m in c) >= alone) for c in clusters]
-        return pd.DataFrame(out, columns=["cluster", "support", "confidence", "accepted"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return resolve(group)
+        return [(min(m.finding_id for m in c), len(c), max(m.confidence for m in c), len(c) >= 2 or max(m.confidence for m in c) >= alone) for c in clusters]
 
     w = Window.partitionBy("video_id", "room").orderBy("ts_s", "finding_id")
     runs = findings.withColumn("s", F.coalesce((F.col("ts_s") - F.lag("ts_s").over(w) > gap).cast("int"), F.lit(0))).withColumn("run", F.sum("s").over(w))
-    return runs.select("video_id", "room", "run", "finding_id", "ts_s", "description", "confidence").groupBy("video_id", "room", "run").applyInPandas(run, "cluster long, support long, confidence double, accepted boolean")
+    wanted = runs.select("video_id", "room", "run", "finding_id", "ts_s", "description", "confidence")
+    return by_group(wanted, ["video_id", "room", "run"], ["ts_s", "finding_id"], resolve, "cluster long, support long, confidence double, accepted boolean")
 
 
 register("a23_consensus", "findings", consensus)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
-from .findings import normalize_findings  # noqa: F401
 from .frames import score_frames
+from .groups import by_group
 from .rangejoin import band_join, interval_join
 
 # Which findings confirm which annotated defect (categories, then words that must all be met).
@@ -96,20 +95,21 @@ def match_one_to_one(pairs: DataFrame) -> DataFrame:
     """Greedy matching by overlap: findings in order of their best overlap, each takes its best box that is still free. A
     group is one clip's verified pairs, whose number is bounded by the clip's annotations."""
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["overlap", "finding_id", "box_id"], ascending=[False, True, True])
-        order = group.drop_duplicates("finding_id")["finding_id"]
-        by = dict(tuple(group.groupby("finding_id")))
-        free, out = set(group["box_id"]), []
-        for f in order:
-            for box, overlap in zip(by[f]["box_id"], by[f]["overlap"], strict=True):
-                if box in free:
-                    free.remove(box)
-                    out.append((group["video_id"].iloc[0], f, box, overlap))
-                    break
-        return pd.DataFrame(out, columns=["video_id", "finding_id", "box_id", "overlap"])
-
-    return pairs.filter("reason = 'verified_match'").select("video_id", "finding_id", "box_id", "overlap").groupBy("video_id").applyInPandas(greedy, "video_id long, finding_id long, box_id long, overlap double")
+    def greedy(rows: list) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (-r.overlap, r.finding_id, r.box_id))
+        options: dict[int, list] = {}
+        for r in rows:  # findings in order of their best overlap, each with its boxes in order of overlap
+            options.setdefault(r.finding_id, []).append(r)
+        taken, out = set(), []
+        for boxes in options.values():
+            first = next((r for r in boxes if r.box_id not in taken), None)
+            if first is not None:
+                taken.add(first.box_id)
+                out.append((first.video_id, first.finding_id, first.box_id, first.overlap))
+        return out
+
+    verified = pairs.filter("reason = 'verified_match'").select("video_id", "finding_id", "box_id", "overlap")
+    return by_group(verified, ["video_id"], ["finding_id", "box_id"], greedy, "video_id long, finding_id long, box_id long, overlap double")
 
 
 register("j05_greedy_matching", "findings truth_boxes", lambda f, t: match_one_to_one(box_pairs(f, t)).select("video_id", "finding_id", "box_id", r6(F.col("overlap")).alias("overlap")))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
 
-BY_JOB = Window.partitionBy("job_id").orderBy("at_s", "event_id")
+def by_job():
+    return Window.partitionBy("job_id").orderBy("at_s", "event_id")
 _W = "OVER (PARTITION BY job_id ORDER BY at_s, event_id)"
 
 PHASE = """CASE WHEN status = 'QUEUED' THEN CASE WHEN event_id % 3 = 0 THEN 'UNAVAILABLE' ELSE 'PRIMARY_JOB' END WHEN status = 'PROCESSING' THEN CASE WHEN event_id % 3 = 0 THEN 'UNAVAILABLE' ELSE 'PRIMARY_JOB' END
@@ -37,7 +38,7 @@ LEGAL = (("QUEUED", "PROCESSING"), ("QUEUED", "FAILED"), ("PROCESSING", "PROGRES
 def transitions(events: DataFrame) -> DataFrame:
     """Each event with whether its status may follow the one before it; the table of legal steps is broadcast."""
     legal = events.sparkSession.createDataFrame([(*x, True) for x in LEGAL], "prior string, status string, ok boolean")
-    steps = events.withColumn("prior", F.lag("status").over(BY_JOB))
+    steps = events.withColumn("prior", F.lag("status").over(by_job()))
     return steps.join(F.broadcast(legal), ["prior", "status"], "left").select("event_id", "job_id", "status", (F.col("prior").isNull() | F.coalesce("ok", F.lit(False))).alias("legal"))
 
 
@@ -51,8 +52,8 @@ register(
 
 def stale_writers(events: DataFrame, lease: float = 3600.0) -> DataFrame:
     """Progress that no live claim covers: the last claim before it is too old, ended, or missing."""
-    claim = F.last(F.when(F.col("status") == "PROCESSING", F.col("at_s")), ignorenulls=True).over(BY_JOB)
-    ended = F.last(F.when(F.col("status").isin("COMPLETE", "FAILED"), F.col("at_s")), ignorenulls=True).over(BY_JOB)
+    claim = F.last(F.when(F.col("status") == "PROCESSING", F.col("at_s")), ignorenulls=True).over(by_job())
+    ended = F.last(F.when(F.col("status").isin("COMPLETE", "FAILED"), F.col("at_s")), ignorenulls=True).over(by_job())
     state = events.withColumns({"claimed": claim, "ended": ended})
     live = F.coalesce((F.col("at_s") - F.col("claimed") <= lease) & (F.col("ended").isNull() | (F.col("ended") < F.col("claimed"))), F.lit(False))
     return state.filter("status = 'PROGRESS'").select("event_id", "job_id", live.alias("accepted"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
 
-BY_VIDEO = Window.partitionBy("video_id").orderBy("frame_number")
+def by_video():
+    return Window.partitionBy("video_id").orderBy("frame_number")
 
 
 def pearson(a: str, b: str):
@@ -24,7 +25,7 @@ def pearson(a: str, b: str):
 
 def pixel_pairs(px: DataFrame) -> DataFrame:
     """Each frame beside the one before it in its video."""
-    return px.withColumns({"prior": F.lag("px").over(BY_VIDEO), "prior_signature": F.lag("signature").over(BY_VIDEO), "prior_frame": F.lag("frame_number").over(BY_VIDEO)}).filter("prior is not null")
+    return px.withColumns({"prior": F.lag("px").over(by_video()), "prior_signature": F.lag("signature").over(by_video()), "prior_frame": F.lag("frame_number").over(by_video())}).filter("prior is not null")
 
 
 def mean_of(xs):
