@@ -58,8 +58,9 @@ def throttle_rows(rows: Iterable, state: tuple | None, every: float) -> tuple[li
     return out, (stage, message, last)
 
 
-def throttle(progress: DataFrame, every: float = 2.0, idle_ms: int = 86_400_000) -> DataFrame:
-    """The throttled stream of ``progress`` (job_id, at, stage, message, completed, total, finished)."""
+def throttle(progress: DataFrame, every: float = 2.0, idle_ms: int | None = None) -> DataFrame:
+    """The throttled stream of ``progress`` (job_id, at, stage, message, completed, total, finished). With ``idle_ms`` a job
+    that has been silent so long is forgotten; Spark then never sees the stream as drained, so batch-like runs go without."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -68,11 +69,12 @@ def throttle(progress: DataFrame, every: float = 2.0, idle_ms: int = 86_400_000)
         rows = pd.concat(list(batches)).sort_values("at").itertuples(index=False)
         out, left = throttle_rows(rows, state.get if state.exists else None, every)
         state.update(left)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PROGRESS.split(", ")])
 
-    return progress.groupBy("job_id").applyInPandasWithState(step, PROGRESS, "stage string, message string, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return progress.groupBy("job_id").applyInPandasWithState(step, PROGRESS, "stage string, message string, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 LIFE = "job_id long, at double, kind string, attempt int"

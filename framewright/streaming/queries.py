@@ -1,21 +1,63 @@
-"""Streams over the events table as registered queries; each has the SQL of its batch twin."""
+"""Streams over the given tables as registered queries; each has the SQL of its batch twin where SQL can say it."""
 
 from __future__ import annotations
 
-from ..plans.registry import ORACLES, QUERIES, register
-from .jobs import drained, event_stream, lifecycle, telemetry_windows
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.dialect import check_text, ex
+from ..operators import scenes
+from ..plans.registry import ORACLES, QUERIES
+from ..sources.scratch import scratch
+from ..sources.views import check_sql, view
+from .jobs import drained, event_stream, lifecycle, once_per_job, scene_stream, telemetry_windows, throttle
 
-def _windows(spark, sf_dir):
+EVERY = 21600.0
+_DONE, _TOTAL = "CAST(event_id % 30 AS INT)", "CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 26 END AS INT)"
+_SAID = "CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END"
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(telemetry_windows(event_stream(spark, sf_dir)), "windows", "complete")
 
 
-def _lifecycle(spark, sf_dir):
+def life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(lifecycle(event_stream(spark, sf_dir)), "lifecycle")
 
 
-QUERIES["x08_stream_windows"] = _windows
-QUERIES["x02_stream_lifecycle"] = _lifecycle
-register("x08_check", "job_events", lambda j: j, "SELECT CAST(floor(at_s / 300) * 300 AS BIGINT) AS start_s, count(*) FILTER (WHERE status = 'FAILED') AS errors, count(*) AS events, R6(sum(amount)) AS amount, count(*) FILTER (WHERE status = 'FAILED') >= 2 AS alarm FROM job_events GROUP BY 1")
-ORACLES["x08_stream_windows"] = ORACLES.pop("x08_check")
-del QUERIES["x08_check"]
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(once_per_job(event_stream(spark, sf_dir), "10000 days"), "once").select("job_id", "status").groupBy("job_id", "status").agg(F.count(F.lit(1)).alias("times"))
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = event_stream(spark, sf_dir).select(
+        "job_id", (F.unix_micros("ts") / 1e6).alias("at"), F.col("status").alias("stage"), ex(_SAID).alias("message"), ex(_DONE).alias("completed"), ex(_TOTAL).alias("total"), (F.col("status") == "COMPLETE").alias("finished")
+    )
+    return drained(throttle(told, EVERY), "progress").select("job_id", F.floor(F.col("at") * 1000 + 0.5).alias("at_ms"), "stage", "message", F.coalesce("percent", F.lit(-1)).alias("percent"))
+
+
+def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as a stream: written once, in parts, and read as they lie there."""
+    path = scratch(spark, "frames")
+    scenes.unsigned(view(spark, sf_dir, "frames")).select("video_id", "frame_number", "t", "reasons", "motion_pct", "signature").write.parquet(path)
+    table = spark.read.parquet(path)
+    return drained(scene_stream(spark.readStream.schema(table.schema).parquet(path)), "scenes").select("video_id", "frame_number", "scene_index")
+
+
+QUERIES.update({"x08_stream_windows": windows, "x02_stream_lifecycle": life, "x04_stream_dedupe": first_events, "x01_progress_throttle": progress, "x07_scene_stream": scene_frames})
+ORACLES["x08_stream_windows"] = ORACLES["x08_tumbling_errors"]
+ORACLES["x07_scene_stream"] = ORACLES["q01_scene_segmentation"]
+ORACLES["x04_stream_dedupe"] = check_sql(("job_events",), "SELECT DISTINCT job_id, status, CAST(1 AS BIGINT) AS times FROM job_events")
+ORACLES["x01_progress_throttle"] = check_sql(
+    ("job_events",),
+    check_text(f"""WITH RECURSIVE o AS (SELECT job_id, at_s, status, {_SAID} AS said, {_DONE} AS done, {_TOTAL} AS total, row_number() OVER (PARTITION BY job_id ORDER BY at_s, event_id) AS n FROM job_events),
+walk AS (SELECT job_id, n, at_s, status, said, done, total, said AS written, at_s AS last_s, true AS emit FROM o WHERE n = 1
+  UNION ALL SELECT o.job_id, o.n, o.at_s, o.status, o.said, o.done, o.total,
+    CASE WHEN o.status <> w.status OR o.said <> w.written OR o.status = 'COMPLETE' OR o.at_s - w.last_s >= {EVERY} THEN o.said ELSE w.written END,
+    CASE WHEN o.status <> w.status OR o.said <> w.written OR o.status = 'COMPLETE' OR o.at_s - w.last_s >= {EVERY} THEN o.at_s ELSE w.last_s END,
+    o.status <> w.status OR o.said <> w.written OR o.status = 'COMPLETE' OR o.at_s - w.last_s >= {EVERY}
+  FROM walk w JOIN o ON o.job_id = w.job_id AND o.n = w.n + 1)
+SELECT job_id, CAST(floor(at_s * 1000 + 0.5) AS BIGINT) AS at_ms, status AS stage, said AS message,
+  CAST(coalesce(CASE WHEN total > 0 AND done <= total THEN least(CASE WHEN status = 'COMPLETE' THEN 100 ELSE 99 END, DIV(100 * done, total)) END, -1) AS INTEGER) AS percent
+FROM walk WHERE emit"""),
+)
