@@ -91,13 +91,11 @@ def assign(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("upto", F.sum("size").over(inside))
     joined = summed.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    whole = F.floor("target").cast("long")
-    ends = F.col("base") + F.col("upto")
-    passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size")).cast("long")).otherwise(0)
     out = (
-        joined.withColumn("passes", passes)
-        .withColumn("ahead", ends - F.col("size"))
-        .withColumn("rest", whole - F.col("passes") * F.col("source_size"))
+        joined.withColumn("whole", F.floor("target").cast("long"))
+        .withColumn("passes", F.expr("if(source_size > 0, whole div source_size, 0)"))
+        .withColumn("ahead", F.col("base") + F.col("upto") - F.col("size"))
+        .withColumn("rest", F.col("whole") - F.col("passes") * F.col("source_size"))
         .withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead"))))
     )
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", "taken", "ahead", "key")
