@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The pre-tokens of a text are merged one by one. For each pre-token the queue holds one bucket per merge rank with the
-linked-list positions at which that merge is possible, and a bitmap of the ranks whose bucket is not empty, with two
-summary levels above it. Find-first-set from the top picks the lowest rank in constant time, whatever the length; the
-lowest position of its bucket is merged, and entries whose pair has changed meanwhile are stale and are skipped. A
-pre-token of n bytes costs O(n log n), so a text without a single blank does no harm. Pre-tokens that were seen before
-come from a bounded table.
+The queue holds one bucket per merge rank with the linked-list positions at which that merge is possible, and a bitmap of the
+ranks whose bucket is not empty, with two summary levels above it. Find-first-set from the top picks the lowest rank in
+constant time, whatever the length; entries whose pair has changed meanwhile are stale and are skipped. A pre-token of n
+bytes costs O(n log n), so a text without a single blank does no harm.
+
+One queue serves all pre-tokens of a block of texts that are not yet known: their lists lie one after another, no pair
+reaches across, and since the order of merges matters within a pre-token only, a bucket is emptied at once with array
+operations (from the left, where merges overlap). Only where emptying a bucket at once could have changed the order within
+a pre-token (two of its merges in one bucket, and one of them makes a pair of lower rank), that pre-token is done again by
+the same queue, one position at a time. Pre-tokens that were seen before come from a bounded table.
 
 Defined results: null text is empty; an empty text has no ids. Texts are never cut. Each row is encoded by itself, so
 ties and repeated rows need no rule.
@@ -18,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,53 +31,67 @@ from pyspark.sql import functions as F
 
 from .common import read_table, small_batches
 
-#: Pre-tokens kept with their ids; longer ones than LONG bytes are not kept.
-KEPT, LONG = 1 << 17, 64
+#: Pre-tokens kept with their ids; longer ones than LONG bytes are not kept. Bytes of text in a block.
+KEPT, LONG, BLOCK = 1 << 19, 64, 8 << 20
 
 
 class RankQueue:
-    """Buckets of positions by rank; pops the lowest position of the lowest rank."""
+    """Buckets by rank under a bitmap of three levels. A bucket is whatever is put there."""
 
     def __init__(self, ranks: int):
         words = (ranks >> 6) + 1
         self.low = [0] * words
         self.mid = [0] * ((words >> 6) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
+    def bucket(self, rank: int) -> list:
+        """The bucket of a rank, to put something in."""
+        found = self.buckets.get(rank)
+        if found is None:
+            found = self.buckets[rank] = []
             w = rank >> 6
             self.low[w] |= 1 << (rank & 63)
             self.mid[w >> 6] |= 1 << (w & 63)
             self.top |= 1 << (w >> 6)
-        else:
-            heappush(bucket, position)
+        return found
 
-    def pop(self) -> tuple[int, int] | None:
+    def lowest(self) -> int | None:
         if not self.top:
             return None
         m = (self.top & -self.top).bit_length() - 1
         word = self.mid[m]
         w = (m << 6) + (word & -word).bit_length() - 1
         word = self.low[w]
-        rank = (w << 6) + (word & -word).bit_length() - 1
+        return (w << 6) + (word & -word).bit_length() - 1
+
+    def empty(self, rank: int) -> list:
+        """Takes a rank's bucket away."""
+        w = rank >> 6
+        self.low[w] ^= 1 << (rank & 63)
+        if not self.low[w]:
+            self.mid[w >> 6] ^= 1 << (w & 63)
+            if not self.mid[w >> 6]:
+                self.top ^= 1 << (w >> 6)
+        return self.buckets.pop(rank)
+
+    def push(self, rank: int, position: int) -> None:
+        heappush(self.bucket(rank), position)
+
+    def pop(self) -> tuple[int, int] | None:
+        """The lowest position of the lowest rank."""
+        rank = self.lowest()
+        if rank is None:
+            return None
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
-            del self.buckets[rank]
-            self.low[w] ^= 1 << (rank & 63)
-            if not self.low[w]:
-                self.mid[w >> 6] ^= 1 << (w & 63)
-                if not self.mid[w >> 6]:
-                    self.top ^= 1 << (w >> 6)
+            self.empty(rank)
         return rank, position
 
 
 class Codec(dict):
-    """The ids (little-endian unsigned 32-bit) of a pre-token, by its text; made when first asked for."""
+    """The ids (little-endian unsigned 32-bit) of the pre-tokens that were seen, by their text."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -83,12 +102,20 @@ class Codec(dict):
         for token, rank in self.ranks.items():
             self.pieces[rank] = token
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(len(self.pieces))
-
-    def merge(self, piece: bytes) -> list[int]:
-        ranks, queue = self.ranks, self.queue
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = [(a << 32 | b, r) for t, r in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.keys, self.values = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def merge_one(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token, one position at a time."""
+        ranks, queue = self.ranks, RankQueue(len(self.pieces))
         n = len(piece)
         token: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -109,17 +136,95 @@ class Codec(dict):
                 queue.push(r, h)
         return [ranks[t] for t in token if t is not None]
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(self.merge(raw), "<u4").tobytes()
-        if len(raw) <= LONG:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pre-tokens, through one queue."""
+        sizes = np.array([len(p) for p in pieces])
+        token = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(token)
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        ends = np.cumsum(sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = n  # place n stands for nothing
+        before[ends - sizes] = n
+        token, after, before = np.append(token, -1), np.append(after, n), np.append(before, n)
+        queue = RankQueue(len(self.pieces))
+
+        def offer(places: np.ndarray) -> np.ndarray:
+            """Puts the pairs that begin at these places into their buckets, with what they are made of; their ranks."""
+            left, right = token[places], token[after[places]]
+            rank = np.where(right >= 0, self.rank_of(left, np.maximum(right, 0)), -1)
+            found = np.flatnonzero(rank >= 0)
+            if len(found):
+                found = found[np.argsort(rank[found], kind="stable")]
+                r = rank[found]
+                heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])).tolist()
+                places, left, right = places[found], left[found], right[found]
+                for k, s, e in zip(r[heads].tolist(), heads, [*heads[1:], len(r)], strict=True):
+                    queue.bucket(k).append((places[s:e], left[s:e], right[s:e]))
+            return rank
+
+        offer(np.arange(n))
+        again = np.zeros(len(pieces), bool)
+        while (rank := queue.lowest()) is not None:
+            held = queue.empty(rank)
+            at, left, right = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held, strict=True))
+            fresh = (token[at] == left) & (token[after[at]] == right)  # the others are stale
+            at = at[fresh]
+            if len(held) > 1:
+                at = np.unique(at)
+            if not len(at):
+                continue
+            if len(at) > 1:
+                # where one merge would take what the next one begins with, every other one of the row is left out
+                linked = after[at[:-1]] == at[1:]
+                if linked.any():
+                    first = np.concatenate([[True], ~linked])
+                    row = np.arange(len(at))
+                    at = at[(row - np.maximum.accumulate(np.where(first, row, 0))) % 2 == 0]
+            gone = after[at]
+            token[at], token[gone] = rank, -1
+            after[at] = behind = after[gone]
+            before[behind] = at
+            before[n] = n
+            prior = before[at]
+            whole = prior < n
+            new = offer(np.concatenate([at, prior[whole]]))
+            lower = (new >= 0) & (new < rank)
+            if lower.any() and len(at) > 1:
+                own = owner[at]
+                several = np.flatnonzero(np.bincount(own, minlength=len(pieces)) > 1)
+                again[np.intersect1d(np.concatenate([own, own[whole]])[lower], several)] = True
+        alive = np.flatnonzero(token[:n] >= 0)
+        ids = token[alive].astype("<u4").tobytes()
+        stops = (np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4).tolist()
+        out = [ids[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
+        for k in np.flatnonzero(again).tolist():
+            out[k] = np.array(self.merge_one(pieces[k]), "<u4").tobytes()
+        return out
+
+    def encode_block(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        split = [self.split(t) if t else [] for t in texts]
+        asked = set(chain.from_iterable(split))
+        if len(self) + len(asked) > KEPT:
+            self.clear()
+        new = [t for t in asked if t not in self]
+        todo, long = [], []
+        for t in new:
+            raw = t.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                self[t] = whole.to_bytes(4, "little")
+            else:
+                todo.append((t, raw))
+            if len(raw) > LONG:
+                long.append(t)
+        if todo:
+            for (t, _), ids in zip(todo, self.merge_all([raw for _, raw in todo]), strict=True):
+                self[t] = ids
+        out = [b"".join(map(self.__getitem__, s)) for s in split]
+        for t in long:
+            del self[t]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -142,8 +247,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in small_batches(batches, "text"):
-            ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+        for batch in small_batches(batches, "text", BLOCK):
+            ids = c.encode_block(batch.column("text").to_pylist())
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             offsets = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "ids"])
@@ -172,10 +277,9 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BLOCK):
             n, ids_sum, text_sum = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text or "")
+            for ids in c.encode_block(batch.column("text").to_pylist()):
                 n.append(len(ids) >> 2)
                 ids_sum.append(hashlib.sha256(ids).hexdigest())
                 text_sum.append(hashlib.sha256(c.decode(ids)).hexdigest())
