@@ -32,7 +32,7 @@ from .common import read_table, written
 
 K, EVERY = 5, 50
 #: Routing objects at most; entries of a shard, of a leaf page, children of a page; queries of a block.
-ROUTES, SHARD, LEAF, FAN, BLOCK = 256, 2048, 32, 8, 256
+ROUTES, SHARD, LEAF, FAN, BLOCK = 256, 4096, 512, 16, 256
 TREE = "region int, shard long, n int, dim int, vectors binary, ids array<array<long>>, nodes binary, entry_distances binary"
 NODE = np.dtype([("centre", "<i4"), ("start", "<i4"), ("stop", "<i4"), ("leaf", "?"), ("radius", "<f8"), ("to_parent", "<f8")])
 
@@ -95,43 +95,49 @@ def search(q: np.ndarray, most: float, vectors: np.ndarray, points: np.ndarray,
     point = np.append(q.astype(np.float64), 0.0)
     slack = 1e-7 * (qq + most) + 1e-3
     score_at = lambda d: (qq + most - d * d) / 2 + slack  # noqa: E731  the best score at this distance or beyond
-    best: list[int] = []
-    found: list[tuple[int, int]] = []
-    root_d = float(distances(points[nodes["centre"][0]][None], point)[0])
+    best = np.zeros(0, vectors.dtype)  # the best scores so far, ``keep`` at most
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    root_d = float(distances(points[nodes["centre"][:1]], point)[0])
     heap = [(max(0.0, root_d - float(nodes["radius"][0])), 0, root_d)]
     floor = beat
     while heap:
         least, k, d = heapq.heappop(heap)
         if score_at(least) < floor:
             break
-        start, stop = int(nodes["start"][k]), int(nodes["stop"][k])
-        if not nodes["leaf"][k]:
+        node = nodes[k]
+        start, stop = int(node["start"]), int(node["stop"])
+        if not node["leaf"]:
             # the stored distance to this node's centre bounds a child before its own centre is looked at
-            bound = np.abs(d - nodes["to_parent"][start:stop]) - nodes["radius"][start:stop]
-            for c in (np.flatnonzero(score_at(np.maximum(bound, 0)) >= floor) + start).tolist():
-                dc = float(distances(points[nodes["centre"][c]][None], point)[0])
-                low = max(0.0, dc - float(nodes["radius"][c]))
-                if score_at(low) >= floor:
-                    heapq.heappush(heap, (low, c, dc))
+            children = nodes[start:stop]
+            bound = np.abs(d - children["to_parent"]) - children["radius"]
+            near = np.flatnonzero(score_at(np.maximum(bound, 0)) >= floor)
+            if len(near):
+                to_centre = distances(points[children["centre"][near]], point)
+                low = np.maximum(to_centre - children["radius"][near], 0)
+                for c in np.flatnonzero(score_at(low) >= floor).tolist():
+                    heapq.heappush(heap, (float(low[c]), start + int(near[c]), float(to_centre[c])))
             continue
         near = np.flatnonzero(score_at(np.abs(d - entry_d[start:stop])) >= floor) + start
         if len(near):
-            scores = vectors[near] @ q
-            for s, e in zip(scores.tolist(), near.tolist(), strict=True):
-                if s >= floor:
-                    found.append((s, e))
-                    heapq.heappush(best, s)
-                    if len(best) > keep:
-                        heapq.heappop(best)
+            # where hardly any entry is skipped, one product over the page costs less than picking them out
+            scores = vectors[near] @ q if 2 * len(near) < stop - start else (vectors[start:stop] @ q)[near - start]
+            good = scores >= floor
+            scores, near = scores[good], near[good]
+            found.append((scores, near))
+            best = np.concatenate([best, scores])
+            if len(best) > keep:
+                best = np.partition(best, len(best) - keep)[-keep:]
             if len(best) == keep:
-                floor = max(floor, best[0])
-    return [x for x in found if x[0] >= floor]
+                floor = max(floor, float(best.min()))
+    return [(int(s), e) for scores, near in found for s, e in zip(scores[scores >= floor].tolist(), near[scores >= floor].tolist(), strict=True)]
 
 
 def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
     out = np.zeros((len(column), dim), np.int64)
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) == out.size:
+        return flat.reshape(out.shape).astype(np.int64)
     if len(flat):
         out[np.repeat(np.arange(len(column)), lengths), np.concatenate([np.arange(n) for n in lengths])] = flat
     return out
@@ -180,16 +186,19 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                tree = {c: batch.column(c)[r].as_py() for c in ("n", "vectors", "ids", "nodes", "entry_distances", "queries")}
+                tree = {c: batch.column(c)[r].as_py() for c in ("n", "vectors", "nodes", "entry_distances")}
+                asked = batch.column("queries")[r].values
+                keys, beats = asked.field("key").to_pylist(), asked.field("beat").to_pylist()
+                ids = batch.column("ids")[r].values
                 x = np.frombuffer(tree["vectors"], np.int64).reshape(tree["n"], dim)
                 nodes, entry_d, points = np.frombuffer(tree["nodes"], NODE), np.frombuffer(tree["entry_distances"]), lifted(x, most)
+                if most < 2**52:  # then all scores are whole numbers that doubles hold exactly, and multiply faster
+                    x = x.astype(np.float64)
                 out = []
-                for q in tree["queries"]:
-                    v = np.zeros(dim, np.int64)
-                    v[: len(q["q"])] = q["q"]
-                    beat = -np.inf if q["beat"] is None else q["beat"]
-                    best = sorted((-s, i) for s, e in search(v, most, x, points, nodes, entry_d, k + 1, beat) for i in tree["ids"][e])[: k + 1]
-                    out += [(q["key"], i, -s) for s, i in best]
+                for key, v, beat in zip(keys, vectors_of(asked.field("q"), dim).astype(x.dtype), beats, strict=True):
+                    beat = -np.inf if beat is None else beat
+                    best = sorted((-s, i) for s, e in search(v, most, x, points, nodes, entry_d, k + 1, beat) for i in ids[e].as_py())[: k + 1]
+                    out += [(key, i, -s) for s, i in best]
                 cols = list(zip(*out, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["key", "vec_id", "score"])
 
