@@ -8,7 +8,8 @@ A window is a string of ``LENGTH`` bytes. The work is split so that equal window
    a common line doesn't gather its neighbourhoods in one group.
 2. Fragments meet by anchor, as hashes and places only. Equal fragments are resolved at once: all but the first are
    repeats, already in the map task where possible. An anchor with one fragment left can't have repeats.
-3. The texts of the fragments that are left are fetched, and each task builds, chunk of anchors by chunk, the
+3. The texts of the fragments that are left are fetched and cut once more, by the largest hash of their windows, so that
+   windows meet only where both anchors are the same; equal strings are resolved again. Of what is left each task builds, chunk of anchors by chunk, the
    Burrows-Wheeler transform and the common prefixes of the chunk's strings column by column: each round inserts the next
    symbol of every string, from the right, at the place given by its rank, and updates the common prefixes there. After
    the last round the suffixes that share LENGTH symbols stand together; all but the first window of each are repeats.
@@ -39,7 +40,7 @@ PIECE_BITS = 22
 PIECE = 1 << PIECE_BITS
 FREQUENT, COUNTERS = 2000, 20_000
 #: Fragments of a chunk (more only if one anchor has more).
-CHUNK = 4096
+CHUNK = 8192
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SYMBOLS = np.random.default_rng(97).integers(0, 2**64, 256, np.uint64)
 FIRST = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -99,8 +100,9 @@ def hasher() -> Hasher:
     return _hasher
 
 
-def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, start in the row, number of windows, anchor's hash, fragment's hash; over at most PIECE bytes."""
+def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray, largest: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, start in the row, number of windows, anchor's hash, fragment's hash; over at most PIECE bytes. The anchor of a
+    window is its smallest hash, or its largest."""
     h = hasher()
     n = len(data)
     if n < LENGTH:
@@ -108,7 +110,7 @@ def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray) -> tu
     prefix = h.prefix(data)
     grams = h.grams(prefix)
     low = np.uint64(PIECE - 1)
-    keys = grams >> np.uint64(1)
+    keys = (~grams if largest else grams) >> np.uint64(1)
     if len(frequent):
         table = np.zeros(1 << 16, bool)
         table[(frequent >> np.uint64(48)).astype(np.int64)] = True
@@ -339,7 +341,8 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, pack: np.ndarray) ->
 
 
 def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """ah, doc, pack, text (binary): the bytes of the fragments of ``first`` (ah, doc, pack)."""
+    """ah, fh, doc, pack, part (binary): the bytes of the fragments of ``first`` (ah, doc, pack), cut once more by the
+    largest hash of their windows: equal windows have both anchors in common, so fewer strings meet, in smaller groups."""
     lists = first.groupBy("doc", F.shiftright("pack", 43).alias("th")).agg(F.collect_list(F.struct("ah", "pack")).alias("parts"))
     joined = keyed(docs).join(lists.hint("shuffle_hash"), ["doc", "th"])
 
@@ -349,35 +352,64 @@ def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
             parts = batch.column("parts")
             flat = parts.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
-            ah, pack = flat.field(0), flat.field(1).to_numpy()
+            ah, pack = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
             start = offsets[row] + ((pack >> 7) & ((1 << 36) - 1))
-            stop = start + (pack & 127) - 1 + LENGTH
-            raw = data.tobytes()
-            texts = [raw[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ah, batch.column("doc").take(pa.array(row)), flat.field(1), pa.array(texts, pa.binary())], names=["ah", "doc", "pack", "part"])
-
-    return joined.mapInArrow(run, "ah long, doc long, pack long, part binary")
+            size = (pack & 127) - 1 + LENGTH
+            doc = batch.column("doc").to_numpy()[row]
+            ends, s = np.cumsum(size), 0
+            while s < len(size):  # as many fragments as a piece holds
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PIECE, "right")))
+                bounds = np.concatenate([[0], np.cumsum(size[s:e])])
+                joint = data[np.repeat(start[s:e] - bounds[:-1], size[s:e]) + np.arange(bounds[-1])]
+                k, at, count, second, fh = fragments(bounds, joint, np.zeros(0, np.uint64), True)
+                raw, begin = joint.tobytes(), bounds[k] + at
+                texts = [raw[x:y] for x, y in zip(begin.tolist(), (begin + count - 1 + LENGTH).tolist(), strict=True)]
+                k = k + s
+                with np.errstate(over="ignore"):
+                    both = _mixed(ah[k] * np.uint64(_BASE) ^ second)
+                own = (pack[k] & ~np.int64(127)) + (at.astype(np.int64) << 7) + count
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc[k]), pa.array(own), pa.array(texts, pa.binary())], names=["ah", "fh", "doc", "pack", "part"])
+                s = e
+
+    return joined.mapInArrow(run, "ah long, fh long, doc long, pack long, part binary")
 
 
 def compare(parts: DataFrame) -> DataFrame:
-    """doc, pack: the runs of repeated windows within the first fragments."""
+    """doc, pack: the runs of repeated windows within ``parts``. Equal strings are resolved as they pass; of anchors with
+    several different ones the first of each goes to the construction, in chunks of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last: tuple | None = None  # anchor, string, doc and pack of the first of the strings that pass
 
         def chunk(table: pa.Table) -> pa.RecordBatch:
-            doc, pack = (table.column(k).to_numpy() for k in ("doc", "pack"))
-            d, p = repeated_windows(table.column("part").to_pylist(), doc, pack)
+            ah = table.column("ah").to_numpy()
+            group = np.cumsum(np.concatenate([[True], ah[1:] != ah[:-1]])) - 1
+            table = table.filter(pa.array((np.bincount(group) > 1)[group]))
+            d = p = np.zeros(0, np.int64)
+            if table.num_rows:
+                d, p = repeated_windows(table.column("part").to_pylist(), table.column("doc").to_numpy(), table.column("pack").to_numpy())
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], names=["doc", "pack"])
 
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK:
+            if not batch.num_rows:
+                continue
+            ah, fh, doc, pack = (batch.column(k).to_numpy() for k in ("ah", "fh", "doc", "pack"))
+            same = np.concatenate([[last is not None and last[:2] == (ah[0], fh[0])], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1])])
+            head = np.maximum.accumulate(np.where(same, -1, np.arange(len(ah))))
+            first_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
+            first_pack = np.where(head >= 0, pack[head], last[3] if last else 0)
+            again = same & ((doc != first_doc) | (pack != first_pack))
+            last = (ah[-1], fh[-1], first_doc[-1], first_pack[-1])
+            if again.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(pack[again])], names=["doc", "pack"])
+            held.append(batch.filter(pa.array(~same)))
+            if sum(b.num_rows for b in held) >= 2 * CHUNK:
                 table = pa.Table.from_batches(held)
                 ah = table.column("ah").to_numpy()
-                ends = np.append(np.flatnonzero(np.diff(ah)) + 1, len(ah))[:-1]  # the last anchor may go on
+                ends = np.flatnonzero(ah[1:] != ah[:-1]) + 1  # the last anchor may go on
                 done = 0
-                while len(ends) and ends[-1] - done > 0:
+                while len(ends) and ends[-1] > done:
                     cut = int(ends[max(0, int(np.searchsorted(ends, done + CHUNK, "right")) - 1)])
                     if cut <= done:
                         cut = int(ends[np.searchsorted(ends, done, "right")])
@@ -387,7 +419,7 @@ def compare(parts: DataFrame) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield chunk(pa.Table.from_batches(held))
 
-    return parts.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, "doc long, pack long")
+    return parts.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "pack").mapInArrow(run, "doc long, pack long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:

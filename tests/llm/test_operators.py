@@ -308,3 +308,12 @@ def test_empty_tables(spark, run):
 def test_empty_conversations_and_vectors(spark):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeats_in_a_text_of_several_pieces(spark):
+    r = np.random.default_rng(8)
+    text = "".join(map(chr, r.integers(33, 127, repeats.PIECE + 300_000)))
+    cut = repeats.PIECE - 400  # the copies lie across the end of the first piece and in the second one
+    text = text[:cut] + text[1000:1900] + text[cut:] + text[5000:5150]
+    got = repeats._remove(documents(spark, [(1, text, "en", "a", 1), (2, text[-2000:-1000], "en", "a", 1)]), True).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in got] == [(len(text), 1050, 2), (1000, 1000, 1)]
