@@ -73,3 +73,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def frequent(df: DataFrame, column: str, most: int, counters: int, together: int = 512) -> DataFrame:
+    """item, count: at most ``most`` values of a column that are surely among the most frequent, from Misra-Gries
+    summaries of ``counters`` counters: one per task, merged ``together`` at a time, then all, so that no task reads the
+    summaries of very many others. Nothing for an empty table."""
+    states = df.groupBy(F.floor(F.spark_partition_id() / together).alias("g")).agg(F.expr(f"approx_top_k_accumulate({column}, {int(counters)})").alias("state"))
+    merged = states.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(state, {int(counters)})").alias("state"))
+    return merged.select(F.explode(F.expr(f"approx_top_k_estimate(state, {int(most)})")).alias("e")).select("e.item", "e.count")

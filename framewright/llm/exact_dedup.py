@@ -1,8 +1,8 @@
 """Exact deduplication with a heavy-hitter split, in DataFrame functions only.
 
 1. One scan of the texts writes a lean table of digests (no text travels through any exchange).
-2. ``approx_top_k`` keeps a Misra-Gries summary per task (the frequent-items sketch is its weighted form) and merges
-   the summaries: at most ``max_heavy`` candidate digests.
+2. A Misra-Gries summary per task (the frequent-items sketch is its weighted form), merged in two levels, names at most
+   ``max_heavy`` candidate digests.
 3. The candidates are counted exactly and their winners found with map-side aggregation: the verified winners.
 4. The winners (at most ``max_heavy`` rows) are broadcast; rows of heavy digests are decided map-side, without shuffle.
 5. The remaining digests have small groups and go through an ordinary window.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, read_table, written
+from .common import WHITE, frequent, read_table, written
 
 #: Most digests that are treated as heavy, and counters of the summary: a digest of over 1 in 2,000 rows is always found.
 MAX_HEAVY, COUNTERS = 1000, 10_000
@@ -47,7 +47,7 @@ def decide(docs: DataFrame, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS
         "digests",
     )
     order = [(-F.col("len")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid")]
-    candidates = rows.agg(F.expr(f"approx_top_k(dig, {int(max_heavy)}, {int(counters)})").alias("top")).select(F.explode("top.item").alias("dig"))
+    candidates = frequent(rows, "dig", max_heavy, counters).select(F.col("item").alias("dig"))
     winners = written(
         rows.join(F.broadcast(candidates), "dig", "left_semi").groupBy("dig").agg(F.min(F.struct(*order)).alias("w"), F.count(F.lit(1)).alias("group_size")),
         "winners",

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, utf8, written
+from .common import frequent, read_table, small_batches, utf8, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -100,7 +100,7 @@ def hasher() -> Hasher:
     return _hasher
 
 
-def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray, largest: bool = False) -> tuple[np.ndarray, ...]:
+def fragments(offsets: np.ndarray, data: np.ndarray, common: np.ndarray, largest: bool = False) -> tuple[np.ndarray, ...]:
     """Row, start in the row, number of windows, anchor's hash, fragment's hash; over at most PIECE bytes. The anchor of a
     window is its smallest hash, or its largest."""
     h = hasher()
@@ -111,11 +111,11 @@ def fragments(offsets: np.ndarray, data: np.ndarray, frequent: np.ndarray, large
     grams = h.grams(prefix)
     low = np.uint64(PIECE - 1)
     keys = (~grams if largest else grams) >> np.uint64(1)
-    if len(frequent):
+    if len(common):
         table = np.zeros(1 << 16, bool)
-        table[(frequent >> np.uint64(48)).astype(np.int64)] = True
+        table[(common >> np.uint64(48)).astype(np.int64)] = True
         maybe = np.flatnonzero(table[grams.view(np.uint16)[3::4]])  # by the highest two bytes
-        maybe = maybe[frequent[np.minimum(np.searchsorted(frequent, grams[maybe]), len(frequent) - 1)] == grams[maybe]]
+        maybe = maybe[common[np.minimum(np.searchsorted(common, grams[maybe]), len(common) - 1)] == grams[maybe]]
         keys[maybe] |= np.uint64(1 << 63)
     keys &= ~low
     keys |= np.arange(len(keys), dtype=np.uint64)  # the place breaks ties, leftmost first
@@ -169,14 +169,14 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
         for _, offsets, data, _ in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(fragments(offsets, data, np.zeros(0, np.uint64))[3].view(np.int64))], names=["ah"])
 
-    top = keyed(docs).mapInArrow(run, "ah long").agg(F.expr(f"approx_top_k(ah, {FREQUENT}, {COUNTERS})").alias("top")).first()
-    return np.sort(np.array([r.item for r in top.top or []], np.int64).view(np.uint64))
+    top = frequent(keyed(docs).mapInArrow(run, "ah long"), "ah", FREQUENT, COUNTERS).collect()  # FREQUENT rows at most
+    return np.sort(np.array([r.item for r in top], np.int64).view(np.uint64))
 
 
-def all_fragments(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def all_fragments(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """ah, fh, doc, pack: the fragments of all texts, but for those that a task has seen before in the same piece: they
     are repeats, marked by a negative pack, and have no anchor to meet at."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, offsets, data, base in pieces(batches):
