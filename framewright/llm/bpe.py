@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches
 
 #: Pre-tokens kept with their ids; longer ones than LONG bytes are not kept. Bytes of text in a block.
-KEPT, LONG, BLOCK = 1 << 19, 64, 8 << 20
+KEPT, LONG, BLOCK = 1 << 18, 64, 4 << 20
 
 
 class RankQueue:
