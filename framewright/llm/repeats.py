@@ -153,13 +153,17 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def packed(th: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """20 bits of the text's hash, 36 of the start, 7 of the number of windows: ordered as the windows are."""
+    """36 bits of the start, 7 of the number of windows: ordered as the windows of a text are. ``th`` (20 bits) stands above
+    them; it is 0 here, as 20 bits don't tell the texts of one id apart: their hash is a column of its own."""
     return th << 43 | start << 7 | count
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (null as FIRST), th (20 bits of a hash of the text) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc (null as FIRST), th (63 bits of a hash of the text, its lowest 20 bits first) and text. doc and th are the key of
+    a document, in order."""
+    h = F.xxhash64("text")
+    th = F.shiftleft(h.bitwiseAND(F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def frequent_anchors(docs: DataFrame) -> np.ndarray:
@@ -173,47 +177,52 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.item for r in top], np.int64).view(np.uint64))
 
 
+def differ(*columns: np.ndarray) -> np.ndarray:
+    """Of each row but the first, whether it differs from the one before in any of ``columns``."""
+    return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+
+
 def all_fragments(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """ah, fh, doc, pack: the fragments of all texts, but for those that a task has seen before in the same piece: they
+    """ah, fh, doc, th, pack: the fragments of all texts, but for those that a task has seen before in the same piece: they
     are repeats, marked by a negative pack, and have no anchor to meet at."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, offsets, data, base in pieces(batches):
             row, start, count, ah, fh = fragments(offsets, data, sent.value)
-            doc = batch.column("doc").to_numpy()[row]
-            pack = packed(batch.column("th").to_numpy()[row], start + base, count)
-            order = np.lexsort((pack, doc, fh, ah))
-            ah, fh, doc, pack = ah[order], fh[order], doc[order], pack[order]
-            again = np.concatenate([[False], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1]) & ((doc[1:] != doc[:-1]) | (pack[1:] != pack[:-1]))]) if len(ah) else np.zeros(0, bool)
+            doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
+            pack = packed(np.int64(0), start + base, count)
+            order = np.lexsort((pack, th, doc, fh, ah))
+            ah, fh, doc, th, pack = ah[order], fh[order], doc[order], th[order], pack[order]
+            again = np.concatenate([[False], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1]) & differ(doc, th, pack)]) if len(ah) else np.zeros(0, bool)
             with np.errstate(over="ignore"):
-                ah = np.where(again, (doc.view(np.uint64) * np.uint64(_BASE)) ^ pack.view(np.uint64), ah)
-            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(np.where(again, 0, fh.view(np.int64))), pa.array(doc), pa.array(np.where(again, pack | np.int64(FIRST), pack))], names=["ah", "fh", "doc", "pack"])
+                ah = np.where(again, (doc.view(np.uint64) * np.uint64(_BASE)) ^ th.view(np.uint64) ^ pack.view(np.uint64), ah)
+            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(np.where(again, 0, fh.view(np.int64))), pa.array(doc), pa.array(th), pa.array(np.where(again, pack | np.int64(FIRST), pack))], names=["ah", "fh", "doc", "th", "pack"])
 
-    return keyed(docs).mapInArrow(run, "ah long, fh long, doc long, pack long")
+    return keyed(docs).mapInArrow(run, "ah long, fh long, doc long, th long, pack long")
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """ah, doc, pack: of the fragments, the repeats (negative pack), and the first ones of anchors that have several."""
+    """ah, doc, th, pack: of the fragments, the repeats (negative pack), and the first ones of anchors that have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of an anchor that may go on: its fragments' first rows
 
         def decide(rows: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
-            ah, fh, doc, pack = rows
+            ah, fh, doc, th, pack = rows
             same = np.concatenate([[False], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1])])
-            again = same & np.concatenate([[False], (doc[1:] != doc[:-1]) | (pack[1:] != pack[:-1])])
+            again = same & np.concatenate([[False], differ(doc, th, pack)])
             group = np.cumsum(np.concatenate([[True], ah[1:] != ah[:-1]])) - 1
             several = np.bincount(group[~same], minlength=int(group[-1]) + 1) > 1
             stays = ~same & several[group]
             tail = (group == group[-1]) & (not last)  # the last anchor waits for the next batch
             out = rows[:, (stays & ~tail) | again]
-            out[3] = np.where(again[(stays & ~tail) | again], out[3] | FIRST, out[3])
+            out[4] = np.where(again[(stays & ~tail) | again], out[4] | FIRST, out[4])
             return out, rows[:, tail & ~same]
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in ("ah", "fh", "doc", "pack")])
-            marked = rows[3] < 0
+            rows = np.stack([batch.column(k).to_numpy() for k in ("ah", "fh", "doc", "th", "pack")])
+            marked = rows[4] < 0
             ready = [rows[:, marked]]
             rows = np.concatenate([*held, rows[:, ~marked]], 1)
             if rows.shape[1]:
@@ -221,12 +230,12 @@ def resolve(found: DataFrame) -> DataFrame:
                 ready.append(out)
                 held = [rest]
             ready = np.concatenate(ready, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ready[k]) for k in (0, 2, 3)], names=["ah", "doc", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(ready[k]) for k in (0, 2, 3, 4)], names=["ah", "doc", "th", "pack"])
         if held and held[0].shape[1]:
             out, _ = decide(held[0], True)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3)], names=["ah", "doc", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3, 4)], names=["ah", "doc", "th", "pack"])
 
-    return found.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "pack").mapInArrow(run, "ah long, doc long, pack long")
+    return found.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "th", "pack").mapInArrow(run, "ah long, doc long, th long, pack long")
 
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,9 +350,9 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, pack: np.ndarray) ->
 
 
 def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """ah, fh, doc, pack, part (binary): the bytes of the fragments of ``first`` (ah, doc, pack), cut once more by the
+    """ah, fh, doc, th, pack, part (binary): the bytes of the fragments of ``first`` (ah, doc, th, pack), cut once more by the
     largest hash of their windows: equal windows have both anchors in common, so fewer strings meet, in smaller groups."""
-    lists = first.groupBy("doc", F.shiftright("pack", 43).alias("th")).agg(F.collect_list(F.struct("ah", "pack")).alias("parts"))
+    lists = first.groupBy("doc", "th").agg(F.collect_list(F.struct("ah", "pack")).alias("parts"))
     joined = keyed(docs).join(lists.hint("shuffle_hash"), ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +364,7 @@ def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
             ah, pack = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
             start = offsets[row] + ((pack >> 7) & ((1 << 36) - 1))
             size = (pack & 127) - 1 + LENGTH
-            doc = batch.column("doc").to_numpy()[row]
+            doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
             ends, s = np.cumsum(size), 0
             while s < len(size):  # as many fragments as a piece holds
                 e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + PIECE, "right")))
@@ -368,41 +377,49 @@ def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     both = _mixed(ah[k] * np.uint64(_BASE) ^ second)
                 own = (pack[k] & ~np.int64(127)) + (at.astype(np.int64) << 7) + count
-                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc[k]), pa.array(own), pa.array(texts, pa.binary())], names=["ah", "fh", "doc", "pack", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc[k]), pa.array(th[k]), pa.array(own), pa.array(texts, pa.binary())], names=["ah", "fh", "doc", "th", "pack", "part"])
                 s = e
 
-    return joined.mapInArrow(run, "ah long, fh long, doc long, pack long, part binary")
+    return joined.mapInArrow(run, "ah long, fh long, doc long, th long, pack long, part binary")
 
 
 def compare(parts: DataFrame) -> DataFrame:
-    """doc, pack: the runs of repeated windows within ``parts``. Equal strings are resolved as they pass; of anchors with
+    """doc, th, pack: the runs of repeated windows within ``parts``. Equal strings are resolved as they pass; of anchors with
     several different ones the first of each goes to the construction, in chunks of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last: tuple | None = None  # anchor, string, doc and pack of the first of the strings that pass
+        last: tuple | None = None  # anchor, string, doc, th and pack of the first of the strings that pass
 
         def chunk(table: pa.Table) -> pa.RecordBatch:
             ah = table.column("ah").to_numpy()
             group = np.cumsum(np.concatenate([[True], ah[1:] != ah[:-1]])) - 1
             table = table.filter(pa.array((np.bincount(group) > 1)[group]))
-            d = p = np.zeros(0, np.int64)
+            d = t = p = np.zeros(0, np.int64)
             if table.num_rows:
-                d, p = repeated_windows(table.column("part").to_pylist(), table.column("doc").to_numpy(), table.column("pack").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p)], names=["doc", "pack"])
+                doc, th = table.column("doc").to_numpy(), table.column("th").to_numpy()
+                order = np.lexsort((th, doc))
+                doc, th = doc[order], th[order]
+                new = np.concatenate([[True], differ(doc, th)])
+                place = np.empty(len(order), np.int64)  # of the documents of the chunk, in order
+                place[order] = np.cumsum(new) - 1
+                d, p = repeated_windows(table.column("part").to_pylist(), place, table.column("pack").to_numpy())
+                d, t = doc[new][d], th[new][d]
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(p)], names=["doc", "th", "pack"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ah, fh, doc, pack = (batch.column(k).to_numpy() for k in ("ah", "fh", "doc", "pack"))
+            ah, fh, doc, th, pack = (batch.column(k).to_numpy() for k in ("ah", "fh", "doc", "th", "pack"))
             same = np.concatenate([[last is not None and last[:2] == (ah[0], fh[0])], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1])])
             head = np.maximum.accumulate(np.where(same, -1, np.arange(len(ah))))
             first_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
-            first_pack = np.where(head >= 0, pack[head], last[3] if last else 0)
-            again = same & ((doc != first_doc) | (pack != first_pack))
-            last = (ah[-1], fh[-1], first_doc[-1], first_pack[-1])
+            first_th = np.where(head >= 0, th[head], last[3] if last else 0)
+            first_pack = np.where(head >= 0, pack[head], last[4] if last else 0)
+            again = same & ((doc != first_doc) | (th != first_th) | (pack != first_pack))
+            last = (ah[-1], fh[-1], first_doc[-1], first_th[-1], first_pack[-1])
             if again.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(pack[again])], names=["doc", "pack"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(th[again]), pa.array(pack[again])], names=["doc", "th", "pack"])
             held.append(batch.filter(pa.array(~same)))
             if sum(b.num_rows for b in held) >= 2 * CHUNK:
                 table = pa.Table.from_batches(held)
@@ -419,15 +436,15 @@ def compare(parts: DataFrame) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield chunk(pa.Table.from_batches(held))
 
-    return parts.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "pack").mapInArrow(run, "doc long, pack long")
+    return parts.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "th", "pack").mapInArrow(run, "doc long, th long, pack long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, th, runs (array of long, pairs of start and number of windows packed): the repeated windows of all texts."""
     found = written(resolve(all_fragments(docs, frequent_anchors(docs))), "fragments")
     within = compare(fetch(docs, found.filter("pack >= 0")))
-    again = found.filter("pack < 0").select("doc", F.col("pack").bitwiseAND(F.lit((1 << 63) - 1)).alias("pack"))
-    return again.unionByName(within).groupBy("doc", F.shiftright("pack", 43).alias("th")).agg(F.collect_list(F.col("pack").bitwiseAND(F.lit((1 << 43) - 1))).alias("runs"))
+    again = found.filter("pack < 0").select("doc", "th", F.col("pack").bitwiseAND(F.lit((1 << 63) - 1)).alias("pack"))
+    return again.unionByName(within).groupBy("doc", "th").agg(F.collect_list("pack").alias("runs"))
 
 
 def remove(docs: DataFrame) -> DataFrame:

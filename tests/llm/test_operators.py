@@ -139,6 +139,17 @@ def test_repeats_agree_with_brute_force(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()) == Counter(want[(i, t or "")] for i, t, *_ in rows)
 
 
+def test_repeats_tell_texts_of_one_id_apart(spark):
+    passage = "".join(map(chr, np.random.default_rng(3).integers(33, 127, 400)))
+    clean = {xxh(t): t for t in (f"{k} clean" for k in range(5000))}
+    longer = (f"{k} {passage}. {passage}" for k in range(5000))
+    long = next(t for t in longer if xxh(t) in clean)  # one of the clean texts has a hash that agrees in 20 bits
+    rows = [(i, t, "en", "a", 1) for i, t in ((None, clean[xxh(long)]), (None, long), (7, passage), (8, long), (8, clean[xxh(long)]))]
+    want = removed_by_brute_force(rows)
+    got = repeats._remove(documents(spark, rows), True)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()) == Counter(want[(i, t)] for i, t, *_ in rows)
+
+
 def test_repeats_in_pieces_and_small_chunks(monkeypatch):
     text = b"".join(b"%d," % (k * k % 997) for k in range(4000))
     strings = [text[s : s + 150] for s in range(0, 9000, 37)]
