@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -221,19 +222,24 @@ register("t06_suppression", "findings", suppress)
 
 
 def spaced_top(findings: DataFrame, k: int = 3, apart: float = 1.0) -> DataFrame:
-    """Of each video the ``k`` least certain ambiguous findings that are ``apart`` seconds from each other. The group is
-    cut to the least of each time bucket first, so that it is bounded by the video's length."""
-
-    def pick(rows: list) -> list[tuple]:
-        chosen: list = []
-        for row in rows:
-            if len(chosen) < k and all(abs(row.ts_s - c.ts_s) >= apart for c in chosen):
-                chosen.append(row)
-        return [(c.video_id, c.finding_id) for c in chosen]
-
-    w = Window.partitionBy("video_id", F.floor(F.col("ts_s") / apart)).orderBy("confidence", "ts_s", "finding_id")
-    first = findings.filter("confidence between 0.5 and 0.85").withColumn("n", F.row_number().over(w)).filter(f"n <= {k}")
-    return by_group(first.select("video_id", "finding_id", "ts_s", "confidence"), ["video_id"], ["confidence", "ts_s", "finding_id"], pick, "video_id long, finding_id long")
+    """Of each video the ``k`` least certain ambiguous findings that are ``apart`` seconds from each other. A video's rows
+    stream by in order of confidence; only the times of the chosen ones are held."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, chosen = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.video_id != key:
+                    key, chosen = row.video_id, []
+                if len(chosen) < k and all(abs(row.ts_s - t) >= apart for t in chosen):
+                    chosen.append(row.ts_s)
+                    out.append((row.video_id, row.finding_id))
+            if out:
+                yield pd.DataFrame(out, columns=["video_id", "finding_id"])
+
+    wanted = findings.filter("confidence between 0.5 and 0.85").select("video_id", "finding_id", "ts_s", "confidence")
+    return wanted.repartition("video_id").sortWithinPartitions("video_id", "confidence", "ts_s", "finding_id").mapInPandas(pick, "video_id long, finding_id long")
 
 
 register("t05_spaced_top", "findings", spaced_top)

@@ -93,6 +93,23 @@ def test_suppression_and_spacing(spark):
     assert sorted(r.finding_id for r in consolidate.spaced_top(spaced).collect()) == [1, 2, 3]
 
 
+def spaced_by_brute_force(rows, k=3, apart=1.0):
+    chosen = []
+    for r in sorted((r for r in rows if 0.5 <= r[6] <= 0.85), key=lambda r: (r[6], r[2], r[0])):
+        if len(chosen) < k and all(abs(r[2] - c[2]) >= apart for c in chosen):
+            chosen.append(r)
+    return sorted(c[0] for c in chosen)
+
+
+def test_spacing_among_dense_findings(spark):
+    near = [finding(i, t, confidence=c) for i, (t, c) in enumerate(((0.95, 0.5), (1.0, 0.51), (1.1, 0.52), (1.2, 0.53), (1.97, 0.54), (9.0, 0.84)))]
+    assert sorted(r.finding_id for r in consolidate.spaced_top(table(spark, *near)).collect()) == spaced_by_brute_force(near) == [0, 4, 5]
+    r = np.random.default_rng(8)
+    for k in (3, 6):
+        dense = [finding(i, np.round(r.uniform(0, 8), 2), confidence=float(np.round(r.uniform(0.45, 0.9), 3))) for i in range(200)]
+        assert sorted(x.finding_id for x in consolidate.spaced_top(table(spark, *dense), k).collect()) == spaced_by_brute_force(dense, k)
+
+
 def test_spatial_scoring(spark):
     box = spark.createDataFrame([(0, 1, 0.0, "wall_hole", 0.1, 0.1, 0.2, 0.2), (1, 1, 5.0, "wall_crack", 0.4, 0.4, 0.05, 0.05)], "box_id long, video_id long, ts_s double, category string, x double, y double, width double, height double")
     df = table(spark, finding(0, 0.0, category="wall_stain"), finding(1, 5.0, category="wall_crack", box=(0.0, 0.0, 1.0, 1.0)), finding(2, 0.05, category="wall_hole"), finding(3, 0.0, category="wall_hole", box=(0.12, 0.1, 0.2, 0.2)))
