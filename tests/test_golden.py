@@ -187,6 +187,68 @@ def test_keyframes(spark):
     assert keyframes.without_neighbours(near, 0.94, 8.0) == [(1, 1, 1), (1, 2, 2)]
 
 
+def test_minimum_fill_sees_all_frames(spark):
+    view = [float(x) for x in np.random.default_rng(2).normal(size=16)]
+    # videos 1 and 2 have one good frame, late, and their best other ones are later still; video 3 has enough
+    sharp = {1: {20: 150.0}, 2: {16: 150.0}, 3: dict.fromkeys(range(40), 150.0)}
+    other = [[float(x) for x in v] for v in np.random.default_rng(3).normal(size=(40, 16))]
+    shots = [(v, *frame(n, n, sharp[v].get(n, 5.0 + n), signature=other[n] if v == 3 else view)[1:]) for v in sharp for n in range(40)]
+    full = frames.score_frames(spark.createDataFrame(shots, FRAME)).withColumn("scene_index", F.lit(0))
+    chosen = {(r.video_id, r.frame_number) for r in keyframes.select_keyframes(full).collect() if r.decision == "selected_keyframe"}
+    rows, want = full.collect(), set()
+    for v in sharp:
+        own = [r for r in rows if r.video_id == v]
+        times = [r.t for r in own if (v, r.frame_number) in chosen]
+        for spaced in (True, False):
+            for r in sorted(own, key=lambda r: (-r.quality, -r.sharpness, r.frame_number)):
+                if len(times) < 3 and (v, r.frame_number) not in chosen | want and not (spaced and any(abs(r.t - x) < 2.0 for x in times)):
+                    want.add((v, r.frame_number))
+                    times.append(r.t)
+    marked = keyframes._marked(full)
+    assert marked.count() == len(rows) and {(r.video_id, r.frame_number) for r in marked.filter("selected").collect()} == chosen
+    got = {(r.video_id, r.frame_number) for r in keyframes.fill_to_minimum(marked).collect()}
+    assert got == want and {v for v, _ in got} == {1, 2} and max(n for _, n in got) >= 12
+
+
+def views_by_brute_force(at, shots, most=3, apart=0.8):
+    near = sorted(((-q / 200, t) for t, q in shots if abs(t - at) <= 6.0))
+    chosen = [side[0][1] for side in ([x for x in near if x[1] < at], [x for x in near if x[1] > at]) if side]
+    for _, t in near:
+        if len(chosen) < most and t not in chosen and all(abs(t - c) >= apart for c in chosen):
+            chosen.append(t)
+    return chosen
+
+
+def test_alternate_views_of_all_findings(spark):
+    r = np.random.default_rng(6)
+    shots = [(float(t), float(q)) for t, q in zip(np.arange(0, 40, 0.5), r.uniform(1, 300, 80), strict=True)]
+    seen = [finding(i, np.round(r.uniform(0, 45), 1)) for i in range(20)]
+    f = spark.createDataFrame([frame(n, t, q) for n, (t, q) in enumerate(shots)], FRAME)
+    got = {(x.finding_id, x.t) for x in keyframes.alternate_views(keyframes._views(table(spark, *seen), f)).collect()}
+    assert got == {(x[0], t) for x in seen for t in views_by_brute_force(x[2], shots)} and len({i for i, _ in got}) > 9
+
+
+def test_registered_views_and_fill_cover_their_tables(spark):
+    from framewright.plans import catalog
+    from framewright.sources.views import view
+
+    sf = "/root/testdata/sf0.001"
+    shots, want = {}, set()
+    for r in view(spark, sf, "frames").select("video_id", "t", "sharpness").collect():
+        shots.setdefault(r.video_id, []).append((r.t, r.sharpness))
+    for r in view(spark, sf, "findings").collect():
+        want |= {r.finding_id for t, _ in shots[r.video_id] if 0 < abs(t - r.ts_s) <= 6.0}
+    got = {r.finding_id for r in catalog.QUERIES["t07_alternate_views"](spark, sf).collect()}
+    assert want <= got and any(i % 9 for i in got)
+    picked = {}
+    for r in catalog.QUERIES["t11_diverse_selection"](spark, sf).filter("decision = 'selected_keyframe'").collect():
+        picked[r.video_id] = picked.get(r.video_id, 0) + 1
+    filled = {}
+    for r in catalog.QUERIES["t10_minimum_fill"](spark, sf).collect():
+        filled[r.video_id] = filled.get(r.video_id, 0) + 1
+    assert filled == {v: n for v, s in shots.items() if (n := min(len(s), 3) - picked.get(v, 0)) > 0}
+
+
 def test_pixels():
     flat = np.full((16, 16), 128.0)
     assert pixels.sharpness(flat)[0] == 0 and pixels.exposure(flat)[0] == 128
