@@ -2,12 +2,10 @@
 
 1. One pass over the texts makes the fingerprints; copies meet in one row per distinct fingerprint (smallest doc_id).
 2. For each distinct fingerprint its Hamming distances to many reference fingerprints are computed once: the pivot table.
-   The references include a staircase (the numbers whose lowest t bits are set): the distances to two steps of it give,
-   by their difference, the number of bits set between the steps, and all steps together give every bit. Two fingerprints
-   within ``most`` bits can differ in at most ``most`` of the bands between steps, so equality of all other bands'
-   coordinates is a key on which all pairs of interest meet (for each choice of the bands that may differ), and an
-   ordinary hash exchange deals the candidates out.
-3. Within a block (one key), pairs whose coordinates to the random references differ by more than ``most`` anywhere are
+   It doesn't find candidates: these come from bands of the fingerprint's bits. Two fingerprints within ``most`` bits can
+   differ in at most ``most`` bands, so equality of all other bands is a key on which all pairs of interest meet (for each
+   choice of the bands that may differ), and an ordinary hash exchange deals the candidates out.
+3. Within a block (one key), pairs whose distances to the references differ by more than ``most`` anywhere are
    discarded by the triangle inequality; the survivors are verified. Blocks of over ``BLOCK`` rows are dealt out anew with
    twice as many bands, until the last level (16 bands of 4 bits), where a block can't hold more than 2**(4*most) rows.
    A block gives a spanning forest of its links, not all pairs: the components are the same.
@@ -35,7 +33,7 @@ from .graph import components
 WORDS, MOST_BITS, SEED = 3, 2, 42
 #: Bands of the levels, and most rows of a block that is compared as it is.
 LEVELS, BLOCK = (4, 8, 16), 256
-#: Random reference fingerprints beside the staircase.
+#: Random reference fingerprints.
 REFERENCES = np.random.default_rng(20240229).integers(0, 2**64, 32, np.uint64)
 
 
