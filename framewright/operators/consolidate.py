@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
 from .evaluate import iou
-from .groups import by_group
+from .groups import by_group, walked
 from .rangejoin import band_join
 
 # Words that carry no meaning, forms that mean one thing, and the weights of the signals.
@@ -124,13 +124,17 @@ def _tokens_of(text: str | None) -> list[str]:
     return [ALIASES.get(w, w) for w in re.findall("[a-z0-9]+", (text or "").lower()) if w not in STOP_WORDS]
 
 
-def text_similarity(a: str | None, b: str | None) -> float:
-    x, y = _tokens_of(a), _tokens_of(b)
+def words_alike(x: list[str], y: list[str]) -> float:
+    """The better of shared words over all words and the ratio of matching characters."""
     if not x or not y:
         return 0.0
     return max(len({*x} & {*y}) / len({*x} | {*y}), SequenceMatcher(None, " ".join(x), " ".join(y)).ratio())
 
 
+def text_similarity(a: str | None, b: str | None) -> float:
+    return words_alike(_tokens_of(a), _tokens_of(b))
+
+
 def box_overlap(a, b) -> float:
     w = max(0.0, min(a.x + a.width, b.x + b.width) - max(a.x, b.x))
     h = max(0.0, min(a.y + a.height, b.y + b.height) - max(a.y, b.y))
@@ -138,34 +142,53 @@ def box_overlap(a, b) -> float:
     return w * h / union if union > 0 else 0.0
 
 
+class Merging:
+    """The greedy merge of one island in order of time. A cluster is held until its last member is too far behind to be
+    matched; its members lie within the span, so what is held is bounded by the findings of a few seconds."""
+
+    def __init__(self, limits: MergeLimits):
+        self.limits, self.clusters = limits, []
+
+    @staticmethod
+    def told(clusters: list[list]) -> list[tuple]:
+        return [(m.finding_id, min(x.finding_id for x, _ in c), len(c)) for c in clusters for m, _ in c]
+
+    def score(self, m, words: list[str], row, own: list[str]) -> float | None:
+        gap, over = abs(m.ts_s - row.ts_s), box_overlap(m, row)
+        if gap > self.limits.pair_gap or over < self.limits.blind_iou:
+            return None
+        text = words_alike(words, own)
+        score = (WEIGHTS["time"] * max(0.0, 1 - gap / self.limits.pair_gap) + WEIGHTS["room"] + WEIGHTS["category"] + WEIGHTS["region"] * over + WEIGHTS["text"] * text) / (1 - WEIGHTS["image"])
+        return score if text >= self.limits.blind_text and score >= self.limits.blind_score else None
+
+    def push(self, row) -> list[tuple]:
+        own = _tokens_of(row.description)
+        gone = [c for c in self.clusters if row.ts_s - c[-1][0].ts_s > self.limits.pair_gap]
+        if gone:
+            self.clusters = [c for c in self.clusters if row.ts_s - c[-1][0].ts_s <= self.limits.pair_gap]
+        best = None
+        for cluster in self.clusters:
+            if row.ts_s - cluster[0][0].ts_s > self.limits.cluster_span:
+                continue
+            for m, words in cluster:
+                score = self.score(m, words, row, own)
+                if score is not None and (best is None or score > best[0]):
+                    best = (score, cluster)
+        if best is None:
+            self.clusters.append([(row, own)])
+        else:
+            best[1].append((row, own))
+        return self.told(gone)
+
+    def end(self) -> list[tuple]:
+        return self.told(self.clusters)
+
+
 def consolidate(findings: DataFrame, limits: MergeLimits = MergeLimits()) -> DataFrame:
     """cluster (the smallest finding of the cluster) of each finding: the greedy merge in order of time, one island a
     group. A finding joins the cluster of its best-scoring earlier match whose span would stay within the limit."""
-
-    def resolve(rows: list) -> list[tuple]:
-        clusters: list[list] = []
-        for row in rows:
-            best = None
-            for n, members in enumerate(clusters):
-                times = [m.ts_s for m in members] + [row.ts_s]
-                if max(times) - min(times) > limits.cluster_span:
-                    continue
-                for m in members:
-                    gap = abs(m.ts_s - row.ts_s)
-                    if gap > limits.pair_gap:
-                        continue
-                    over, text = box_overlap(m, row), text_similarity(m.description, row.description)
-                    score = (WEIGHTS["time"] * max(0.0, 1 - gap / limits.pair_gap) + WEIGHTS["room"] + WEIGHTS["category"] + WEIGHTS["region"] * over + WEIGHTS["text"] * text) / (1 - WEIGHTS["image"])
-                    if over >= limits.blind_iou and text >= limits.blind_text and score >= limits.blind_score and (best is None or score > best[0]):
-                        best = (score, n)
-            if best is None:
-                clusters.append([row])
-            else:
-                clusters[best[1]].append(row)
-        return [(m.finding_id, min(x.finding_id for x in members), len(members)) for members in clusters for m in members]
-
     wanted = islands(findings).select("video_id", "room", "category", "island", "finding_id", "ts_s", "description", "x", "y", "width", "height")
-    return by_group(wanted, ["video_id", "room", "category", "island"], ["ts_s", "finding_id"], resolve, "finding_id long, cluster long, members long")
+    return walked(wanted, ["video_id", "room", "category", "island"], ["ts_s", "finding_id"], lambda: Merging(limits), "finding_id long, cluster long, members long")
 
 
 register("q02_consolidation", "findings", consolidate)
@@ -245,25 +268,37 @@ def spaced_top(findings: DataFrame, k: int = 3, apart: float = 1.0) -> DataFrame
 register("t05_spaced_top", "findings", spaced_top)
 
 
+class Agreement:
+    """Clusters of one room's findings around their first member, let go of when it is too far behind to be joined."""
+
+    def __init__(self, gap: float, alike: float, alone: float):
+        self.gap, self.alike, self.alone = gap, alike, alone
+        self.clusters: list[list] = []  # first member's time and words, smallest id, members, most confidence
+
+    def told(self, clusters: list[list]) -> list[tuple]:
+        return [(least, n, top, n >= 2 or top >= self.alone) for _, _, least, n, top in clusters]
+
+    def push(self, row) -> list[tuple]:
+        own = _tokens_of(row.description)
+        gone = [c for c in self.clusters if row.ts_s - c[0] > self.gap]
+        if gone:
+            self.clusters = [c for c in self.clusters if row.ts_s - c[0] <= self.gap]
+        for c in self.clusters:
+            if words_alike(c[1], own) >= self.alike or len({*c[1]} & {*own}) >= 2:
+                c[2], c[3], c[4] = min(c[2], row.finding_id), c[3] + 1, max(c[4], row.confidence)
+                break
+        else:
+            self.clusters.append([row.ts_s, own, row.finding_id, 1, row.confidence])
+        return self.told(gone)
+
+    def end(self) -> list[tuple]:
+        return self.told(self.clusters)
+
+
 def consensus(findings: DataFrame, gap: float = 4.0, alike: float = 0.45, alone: float = 0.90) -> DataFrame:
     """Clusters of findings of a room that agree across frames; accepted with two supporters, or one that is sure."""
-
-    def resolve(rows: list) -> list[tuple]:
-        clusters: list[list] = []
-        for row in rows:
-            for c in clusters:
-                head = c[0]
-                if abs(head.ts_s - row.ts_s) <= gap and (text_similarity(head.description, row.description) >= alike or len({*_tokens_of(head.description)} & {*_tokens_of(row.description)}) >= 2):
-                    c.append(row)
-                    break
-            else:
-                clusters.append([row])
-        return [(min(m.finding_id for m in c), len(c), max(m.confidence for m in c), len(c) >= 2 or max(m.confidence for m in c) >= alone) for c in clusters]
-
-    w = Window.partitionBy("video_id", "room").orderBy("ts_s", "finding_id")
-    runs = findings.withColumn("s", F.coalesce((F.col("ts_s") - F.lag("ts_s").over(w) > gap).cast("int"), F.lit(0))).withColumn("run", F.sum("s").over(w))
-    wanted = runs.select("video_id", "room", "run", "finding_id", "ts_s", "description", "confidence")
-    return by_group(wanted, ["video_id", "room", "run"], ["ts_s", "finding_id"], resolve, "cluster long, support long, confidence double, accepted boolean")
+    wanted = findings.select("video_id", "room", "finding_id", "ts_s", "description", "confidence")
+    return walked(wanted, ["video_id", "room"], ["ts_s", "finding_id"], lambda: Agreement(gap, alike, alone), "cluster long, support long, confidence double, accepted boolean")
 
 
 register("a23_consensus", "findings", consensus)

@@ -156,8 +156,8 @@ SELECT i.interval_id, coalesce(c.finding_id, -1) AS candidate, CASE WHEN c.confi
 )
 register(
     "j23_evidence_alignment", "frames truth_intervals",
-    lambda f, i: band_join(i.select("video_id", "interval_id", (F.col("start_s") + 1.0).alias("mid")), f.filter("frame_number % 3 = 0").select("video_id", "t"), "video_id", "mid", "t", 0.01).select("video_id", "interval_id").distinct().groupBy("video_id").agg(F.count(F.lit(1)).alias("aligned")),
-    "SELECT i.video_id, count(DISTINCT i.interval_id) AS aligned FROM truth_intervals i JOIN frames f ON f.video_id = i.video_id AND abs(i.start_s + 1.0 - f.t) <= 0.01 WHERE f.frame_number % 3 = 0 GROUP BY i.video_id",
+    lambda f, i: band_join(i.select("video_id", "interval_id", (F.col("start_s") + 1.0).alias("mid")), f.select("video_id", "t"), "video_id", "mid", "t", 0.01).select("video_id", "interval_id").distinct().groupBy("video_id").agg(F.count(F.lit(1)).alias("aligned")),
+    "SELECT i.video_id, count(DISTINCT i.interval_id) AS aligned FROM truth_intervals i JOIN frames f ON f.video_id = i.video_id AND abs(i.start_s + 1.0 - f.t) <= 0.01 GROUP BY i.video_id",
 )
 
 
@@ -287,6 +287,6 @@ register(
 )
 register(
     "j18_nearest_frames", "frames findings",
-    lambda f, g: band_join(g.filter("finding_id % 7 = 0").select("video_id", "finding_id", "ts_s"), f.select("video_id", "frame_number", "t"), "video_id", "ts_s", "t", 10.0).withColumn("n", F.row_number().over(Window.partitionBy("finding_id").orderBy(F.abs(F.col("t") - F.col("ts_s")), "t", "frame_number"))).filter("n <= 4").select("finding_id", "frame_number", "n"),
-    "SELECT g.finding_id, f.frame_number, CAST(row_number() OVER (PARTITION BY g.finding_id ORDER BY abs(f.t - g.ts_s), f.t, f.frame_number) AS INTEGER) AS n FROM findings g JOIN frames f ON f.video_id = g.video_id AND abs(g.ts_s - f.t) <= 10.0 WHERE g.finding_id % 7 = 0 QUALIFY n <= 4",
+    lambda f, g: band_join(g.select("video_id", "finding_id", "ts_s"), f.select("video_id", "frame_number", "t"), "video_id", "ts_s", "t", 10.0).withColumn("n", F.row_number().over(Window.partitionBy("finding_id").orderBy(F.abs(F.col("t") - F.col("ts_s")), "t", "frame_number"))).filter("n <= 4").select("finding_id", "frame_number", "n"),
+    "SELECT g.finding_id, f.frame_number, CAST(row_number() OVER (PARTITION BY g.finding_id ORDER BY abs(f.t - g.ts_s), f.t, f.frame_number) AS INTEGER) AS n FROM findings g JOIN frames f ON f.video_id = g.video_id AND abs(g.ts_s - f.t) <= 10.0 QUALIFY n <= 4",
 )

@@ -111,8 +111,8 @@ register("x10_dead_letter_split", "job_events", lambda j: j.select("event_id", e
 REQUIRED = ("QUEUED", "PROCESSING", "PROGRESS", "COMPLETE")
 register(
     "x11_required_events", "job_events",
-    lambda j: j.filter("event_id % 3 = 0").groupBy("job_id").agg(F.collect_set("status").alias("have")).select("job_id", F.array_join(F.array_except(F.array(*[F.lit(x) for x in REQUIRED]), "have"), ",").alias("missing")),
-    "WITH h AS (SELECT job_id, list(DISTINCT status) AS have FROM job_events WHERE event_id % 3 = 0 GROUP BY job_id) SELECT job_id, array_to_string([x for x in ['QUEUED', 'PROCESSING', 'PROGRESS', 'COMPLETE'] if NOT list_contains(have, x)], ',') AS missing FROM h",
+    lambda j: j.groupBy("job_id").agg(F.collect_set("status").alias("have")).select("job_id", F.array_join(F.array_except(F.array(*[F.lit(x) for x in REQUIRED]), "have"), ",").alias("missing")),
+    "WITH h AS (SELECT job_id, list(DISTINCT status) AS have FROM job_events GROUP BY job_id) SELECT job_id, array_to_string([x for x in ['QUEUED', 'PROCESSING', 'PROGRESS', 'COMPLETE'] if NOT list_contains(have, x)], ',') AS missing FROM h",
 )
 
 
@@ -151,12 +151,11 @@ ROOTS = ("http://th", "http://an", "http://in", "http://e")
 
 def conflicts(inventory: DataFrame) -> DataFrame:
     """Rules whose prefix holds, or is held by, a retained root. The roots are a fixed list, so nothing is joined."""
-    prefix = F.substring("path", 1, 11)
-    hit = F.exists(F.array(*[F.lit(r) for r in ROOTS]), lambda r: F.startswith(prefix, r) | F.startswith(r, prefix))
+    hit = F.exists(F.array(*[F.lit(r) for r in ROOTS]), lambda r: F.startswith("path", r) | F.startswith(r, F.col("path")))
     return inventory.filter(hit).select("object_id")
 
 
-register("j20_retention_conflicts", "inventory", conflicts, "SELECT object_id FROM inventory WHERE " + " OR ".join(f"starts_with(substring(path, 1, 11), '{r}') OR starts_with('{r}', substring(path, 1, 11))" for r in ROOTS))
+register("j20_retention_conflicts", "inventory", conflicts, "SELECT object_id FROM inventory WHERE " + " OR ".join(f"starts_with(path, '{r}') OR starts_with('{r}', path)" for r in ROOTS))
 
 
 def merged_rules(inventory: DataFrame) -> DataFrame:

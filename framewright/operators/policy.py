@@ -199,8 +199,8 @@ def readiness(counts: DataFrame) -> DataFrame:
 
 register(
     "a16_readiness_score", "findings",
-    lambda f: readiness(classify(f).filter("finding_id % 5 = 0").groupBy("video_id").agg(*[F.count_if(F.col("severity") == s).alias(n) for n, s in (("fix", FIX), ("review", REVIEW), ("cosmetic", COSMETIC))])).select("video_id", "score"),
-    f"""WITH {CLASSIFIED}, c AS (SELECT video_id, sum(CASE severity WHEN '{FIX}' THEN 50 WHEN '{REVIEW}' THEN 15 ELSE 2 END) AS off FROM classified WHERE finding_id % 5 = 0 GROUP BY video_id)
+    lambda f: readiness(classify(f).groupBy("video_id").agg(*[F.count_if(F.col("severity") == s).alias(n) for n, s in (("fix", FIX), ("review", REVIEW), ("cosmetic", COSMETIC))])).select("video_id", "score"),
+    f"""WITH {CLASSIFIED}, c AS (SELECT video_id, sum(CASE severity WHEN '{FIX}' THEN 50 WHEN '{REVIEW}' THEN 15 ELSE 2 END) AS off FROM classified GROUP BY video_id)
 SELECT video_id, CAST((greatest(0, 1000 - off) + 5) // 10 AS BIGINT) AS score FROM c""",
 )
 _ORDER = f"CASE severity WHEN '{FIX}' THEN 0 WHEN '{COSMETIC}' THEN 2 ELSE 1 END"

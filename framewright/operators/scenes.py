@@ -107,7 +107,8 @@ def with_scenes(frames: DataFrame) -> DataFrame:
 
 
 def signed(frames: DataFrame, embeddings: DataFrame) -> DataFrame:
-    return score_frames(frames).join(embeddings.select(F.col("vec_id").alias("signature_id"), F.col("embedding").alias("signature")), "signature_id")
+    """Scored frames with their signatures; a frame that has none stays, without one."""
+    return score_frames(frames).join(embeddings.select(F.col("vec_id").alias("signature_id"), F.col("embedding").alias("signature")), "signature_id", "left")
 
 
 _SCENES = f"""{SCORED}, walk AS (
@@ -173,9 +174,9 @@ def fallbacks(scened: DataFrame) -> DataFrame:
 
 
 register(
-    "w05_scene_fallback", "frames", lambda f: fallbacks(with_scenes(f).filter("frame_number % 5 = 0")),
-    f"""WITH RECURSIVE {_SCENES}, s AS (SELECT * FROM scened WHERE frame_number % 5 = 0), c AS (SELECT DISTINCT video_id, scene_index FROM s WHERE reasons = '')
-SELECT video_id, scene_index, frame_number FROM s ANTI JOIN c USING (video_id, scene_index) QUALIFY row_number() OVER (PARTITION BY video_id, scene_index ORDER BY {_RANKED}) = 1""",
+    "w05_scene_fallback", "frames", lambda f: fallbacks(with_scenes(f)),
+    f"""WITH RECURSIVE {_SCENES}, c AS (SELECT DISTINCT video_id, scene_index FROM scened WHERE reasons = '')
+SELECT video_id, scene_index, frame_number FROM scened ANTI JOIN c USING (video_id, scene_index) QUALIFY row_number() OVER (PARTITION BY video_id, scene_index ORDER BY {_RANKED}) = 1""",
 )
 
 
