@@ -267,19 +267,41 @@ def test_chat_round_trip_and_machine(spark):
     assert formatted == r"<s>[INST] \</s>\[INST] ok \[/INST] [/INST]<a>\</s>\[INST] ok \[/INST]</s>" and len(formatted) == got[-7]["formatted_chars"]
 
 
-def test_top_k_agrees_with_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 64)
-    monkeypatch.setattr(topk, "BLOCK", 4)
+def vectors(spark, monkeypatch, shard, leaf, fan, block):
+    for name, value in (("SHARD", shard), ("LEAF", leaf), ("FAN", fan), ("BLOCK", block)):
+        monkeypatch.setattr(topk, name, value)
     r = np.random.default_rng(2)
     rows = [(k, [float(x) for x in r.normal(0, 0.3, 6)]) for k in range(600)]
     rows += [(600 + k, rows[50][1]) for k in range(300)] + [(2000, None), (2050, [float("nan")] * 6), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2150, [0.5]), (2200, []), (50, rows[50][1]), (-50, [0.0] * 6)]
-    valid = {i: [int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in valid if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(valid[q], v, strict=True)), i) for i, v in valid.items() if i != q)[:5]
-        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert {tuple(x) for x in got} == {tuple(map(int, x)) for x in want} and len(got) == len(want)
+    rows += [(100, rows[100][1])] * 3 + [(150, rows[7][1]), (150, rows[8][1]), (3000, rows[9][1]), (3000, rows[9][1]), (None, rows[9][1])]
+    return rows, spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, rank int, key string")
+
+
+@pytest.mark.parametrize(("shard", "leaf", "fan", "block"), [(64, 512, 16, 4), (200, 8, 3, 7), (10_000, 4, 2, 4096)])
+def test_top_k_agrees_with_brute_force(spark, monkeypatch, shard, leaf, fan, block):
+    rows, df = vectors(spark, monkeypatch, shard, leaf, fan, block)
+    valid = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] + [0] * (6 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, mine) in enumerate(valid):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for m, (i, v) in enumerate(valid) if m != n)[:5]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(map(tuple, topk.top_k(df).collect())) == want
+
+
+def test_trees_skip_by_stored_distances(monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 16)
+    monkeypatch.setattr(topk, "FAN", 4)
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(c, 3, (200, 4)) for c in r.normal(0, 200, (10, 4))]).round().astype(np.int64)
+    most = float((x * x).sum(1).max())
+    nodes, order, entry_d = topk.build(topk.lifted(x, most))
+    x = x[order]
+    assert np.count_nonzero(~nodes["leaf"]) > 3 and set(nodes["to_parent"]) != {0.0}
+    for q in x[::97]:
+        found, looked_at = topk.search(q, most, x, topk.lifted(x, most), nodes, entry_d, 6, -np.inf)
+        assert sorted((-s for s, _ in found))[:6] == sorted(-(x @ q))[:6]
+        assert looked_at < len(x) / 2
 
 
 def test_language_learns_and_answers(spark):
