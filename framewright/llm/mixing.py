@@ -4,15 +4,19 @@ Each source has a target of words (weights filled up to ``max_repeats`` times th
 and a schedule of its weight over training time t from 0 to 1: a line from ``start`` to ``end``, scaled so that its
 integral is 1. The integral W(t) is the share of the source's target that is demanded by time t. The source's documents
 lie one after another in a fixed pseudo-random order, repeated as often as the target asks; the words before a document
-are the cumulative demand at which it is due, and W's inverse gives its training position. Documents are then range-sorted
-by position.
+are the cumulative demand at which it is due, and W's inverse gives its training position, one for each time that it is
+taken. Documents are then range-sorted by position.
 
 The running sums that give each document its place are made in two levels, so no source is ever gathered in one task:
 sums per (source, bucket of the order key), a prefix over the buckets, and a window inside each bucket. The number of
 buckets is the square root of the number of rows, so both levels grow slowly.
 
+The order key is a digest of id and text, so rows that share an id, or have none, spread over the buckets too.
+
 Defined results: null text has size 0; null source is a source of its own, last in order; sources without words have
-target 0; rows without words take 0. Repeated rows are taken one by one. An empty table gives an empty result.
+target 0; rows without words take 0 and have no position. Repeated rows are taken one by one, each at a place of its own.
+Reruns give the same rows. An empty table gives an empty result; other columns are ignored by :func:`assign` and kept by
+:func:`mix`.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column) -> Column:
-    """A fixed pseudo-random order of documents, the same on each run."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A fixed pseudo-random order of documents, the same on each run; only rows that repeat id and text share a key."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def assign(docs: DataFrame) -> DataFrame:
 
     A source's whole passes take every document; the last, partial pass takes documents in the fixed order until the
     target (rounded down) is met, the last of them in part."""
-    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id")).alias("key")), "sized")
+    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("key")), "sized")
     n = sized.count()
     digits = max(1, round(math.log(max(n, 1), 16) / 2))  # hexadecimal digits: about the square root of n buckets
     placed = sized.withColumn("bucket", F.substring("key", 1, digits))
@@ -91,51 +95,68 @@ def assign(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("upto", F.sum("size").over(inside))
     joined = summed.join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    out = (
-        joined.withColumn("whole", F.floor("target").cast("long"))
-        .withColumn("passes", F.expr("if(source_size > 0, whole div source_size, 0)"))
-        .withColumn("ahead", F.col("base") + F.col("upto") - F.col("size"))
-        .withColumn("rest", F.col("whole") - F.col("passes") * F.col("source_size"))
-        .withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead"))))
-    )
+    out = joined.withColumn("ahead", F.col("base") + F.col("upto") - F.col("size")).withColumn("taken", taken())
     return out.select("doc_id", "source", "size", "source_size", "weight", "target", "taken", "ahead", "key")
 
 
+def taken() -> Column:
+    """Words that the mix takes of a row with ``ahead`` words of its source before it: whole passes, then a part of one."""
+    whole = F.floor("target").cast("long")
+    passes = F.expr("if(source_size > 0, floor(target) div source_size, 0)")
+    return passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), whole - passes * F.col("source_size") - F.col("ahead")))
+
+
+def times() -> Column:
+    """How often the mix takes a row, a last part counted as one."""
+    return F.when(F.col("taken") > 0, F.expr("(taken + size - 1) div size")).otherwise(0).cast("long")
+
+
 def due(ahead: Column, target: Column, weight: Column) -> Column:
     """The training position, 0 to 1, at which ``ahead`` words of a source's target have been demanded."""
     start, end = (F.coalesce(*[F.when(weight == w, F.lit(line[k])) for w, line in SCHEDULES.items()]) for k in (0, 1))
     return position(F.least(F.lit(1.0), ahead / target), start, end)
 
 
+def position_of(copy: Column) -> Column:
+    return due(F.col("ahead") + copy * F.col("source_size"), F.col("target"), F.col("weight"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """The training sequence: each copy that the mix takes of a row of ``docs``, with that row's columns, range-sorted by
-    position. A copy that is taken in part is there as a whole; rows that the mix doesn't take are not there."""
+    position. A copy that is taken in part is there as a whole; rows that the mix doesn't take are not there.
+
+    Rows find their plan by key; those that repeat id and text stand one after another from the smallest ``ahead`` on."""
     plan = written(
-        assign(docs)
-        .filter("taken > 0")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__n"))
-        .agg(F.array_sort(F.collect_list(F.struct("ahead", "taken", "source_size", "weight", "target"))).alias("__plans")),
+        assign(docs).groupBy(F.col("key").alias("__key"), F.col("source").alias("__src")).agg(F.min("ahead").alias("first"), *[F.first(c).alias(c) for c in ("size", "source_size", "weight", "target")]).select("__key", F.struct("__src", "first", "size", "source_size", "weight", "target").alias("__plan")),
         "mixed",
     )
-    keyed = docs.withColumn("__words", words(F.col("text")))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__n")))
-    repeat = F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy(F.lit(1)))  # rows that repeat id, source and size
-    one = joined.withColumn("__plan", F.try_element_at("__plans", repeat)).filter("__plan is not null")
-    copies = one.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__plan.taken") / F.col("__words")).cast("int") - 1)))
-    at = due(F.col("__plan.ahead") + F.col("__copy") * F.col("__plan.source_size"), F.col("__plan.target"), F.col("__plan.weight"))
-    return copies.withColumn("__at", at).orderBy("__at", "doc_id", "__copy").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("__own", order_key(F.col("doc_id"), F.col("text")))
+    repeat = F.row_number().over(Window.partitionBy("__own").orderBy(F.col("source").asc_nulls_last())) - F.lit(1)
+    inside = F.rank().over(Window.partitionBy("__own").orderBy(F.col("source").asc_nulls_last())) - F.lit(1)
+    placed = keyed.withColumn("__repeat", repeat - inside).join(plan, (F.col("__own") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__plan.__src")))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    one = placed.select(F.struct(*kept).alias("row"), "__own", "__plan.size", "__plan.source_size", "__plan.weight", "__plan.target", (F.col("__plan.first") + F.col("__repeat") * F.col("__plan.size")).alias("ahead"))
+    copies = one.withColumn("taken", taken()).filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times() - 1)))
+    return copies.withColumn("at", position_of(F.col("copy"))).orderBy("at", "__own", "copy").select("row.*")
+
+
+def positions(mixed: DataFrame) -> DataFrame:
+    """``times``, ``position`` (of the first copy) and ``positions`` (of all copies, in 1e-9 of the training, joined by
+    commas) beside the columns of ``mixed`` (assign's); null where a row isn't taken."""
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("times") - 1), lambda c: F.floor(position_of(c) * 1e9).cast("string"))
+    told = mixed.withColumn("times", times())
+    return told.withColumn("position", F.when(F.col("times") > 0, position_of(F.lit(0)))).withColumn("positions", F.when(F.col("times") > 0, F.array_join(each, ",")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = written(assign(read_table(spark, sf_dir, "documents")), "mixed")
-    at = F.when(F.col("taken") > 0, due(F.col("ahead"), F.col("target"), F.col("weight")))
-    return mixed.withColumn("at", at).orderBy(F.col("at").asc_nulls_last(), "key").select("doc_id", "size", "source_size", "target", "taken")
+    mixed = written(positions(assign(read_table(spark, sf_dir, "documents"))), "mixed")
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "key").select("doc_id", "size", "source_size", "target", "taken", "times", "position", "positions")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
 ), l AS (
@@ -147,11 +168,21 @@ WITH d AS (
   SELECT *, CAST(total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS BIGINT) AS free,
     CAST(sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS BIGINT) AS free_weight FROM c
 ), t AS (
-  SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * free AS DOUBLE) / free_weight END AS target FROM f
+  SELECT source, source_size, weight, CASE weight WHEN 1 THEN -1e0 WHEN 2 THEN 0e0 ELSE 1e0 END AS slope,
+    CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * free AS DOUBLE) / free_weight END AS target FROM f
 ), r AS (
-  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS whole,
+  SELECT d.*, t.source_size, t.target, t.slope, CAST(floor(t.target) AS BIGINT) AS whole,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), p AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes FROM r)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, whole - passes * source_size - ahead)) AS BIGINT) AS taken FROM p
+), p AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS passes FROM r
+), g AS (SELECT *, CAST(passes * size + greatest(0, least(size, whole - passes * source_size - ahead)) AS BIGINT) AS taken FROM p
+), m AS (SELECT *, CAST(CASE WHEN taken > 0 THEN (taken + size - 1) // size ELSE 0 END AS BIGINT) AS times FROM g
+), a AS (
+  -- the schedule of weight 1 is the line from 1.5 to 0.5, of 2 level, of 3 from 0.5 to 1.5: it begins at 1 - slope / 2
+  SELECT *, [least(1e0, (ahead + i * source_size) / target) for i in range(0, times)] AS shares FROM m
+), q AS (
+  SELECT *, [CASE WHEN slope = 0 THEN x ELSE (sqrt((1 - slope / 2) * (1 - slope / 2) + 2 * slope * x) - (1 - slope / 2)) / slope END for x in shares] AS due_at FROM a
+)
+SELECT doc_id, size, source_size, target, taken, times, CASE WHEN times > 0 THEN due_at[1] END AS position,
+  CASE WHEN times > 0 THEN array_to_string([CAST(floor(x * 1e9) AS BIGINT) for x in due_at], ',') END AS positions FROM q
 """
