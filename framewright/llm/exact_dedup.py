@@ -5,7 +5,8 @@
    ``max_heavy`` candidate digests.
 3. The candidates are counted exactly and their winners found with map-side aggregation: the verified winners.
 4. The winners (at most ``max_heavy`` rows) are broadcast; rows of heavy digests are decided map-side, without shuffle.
-5. The remaining digests have small groups and go through an ordinary window.
+5. Of the remaining digests the winners of those that occur more than once are found with map-side aggregation too, and
+   an ordinary join brings them to their rows: no group is ever gathered, and a join can be split where a window can't.
 
 Defined results: null text counts as empty; empty texts are equal to each other and to texts of white space only. Of
 equal texts the one with the most code points stays, then the smallest doc_id (null last), then one of the repeated rows.
@@ -53,26 +54,30 @@ def decide(docs: DataFrame, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS
         "winners",
     ).select("dig", "group_size", F.col("w.doc_id").alias("keep_id"), F.col("w.uid").alias("keep_uid"))
     heavy = rows.join(F.broadcast(winners), "dig").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("dig").alias("text_sha256"))
-    group = Window.partitionBy("dig")
-    ordered = group.orderBy(F.col("len").desc(), F.col("doc_id").asc_nulls_last(), F.col("uid"))
-    light = rows.join(F.broadcast(winners), "dig", "left_anti").select(
+    rest = rows.join(F.broadcast(winners), "dig", "left_anti")
+    several = written(rest.groupBy("dig").agg(F.min(F.struct(*order)).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
+    light = rest.join(several.withColumnRenamed("dig", "of"), F.col("dig") == F.col("of"), "left").select(
         "doc_id",
-        F.first("doc_id").over(ordered).alias("keep_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-        (F.row_number().over(ordered) == 1).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("w.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"),
+        (F.col("n").isNull() | (F.col("uid") == F.col("w.uid"))).alias("kept"),
         F.col("dig").alias("text_sha256"),
     )
     return heavy.unionByName(light)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = written(decide(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__dig")), "kept")
-    keyed = docs.withColumns({"__doc_dig": digest(F.col("text")), "__doc_len": F.char_length(F.coalesce("text", F.lit("")))})
-    same = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__doc_dig") == F.col("__dig")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns. Only the list of rows that go, or that repeat both the id and
+    the digest, meets the texts."""
+    key = lambda i, dig: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), dig)
+    judged = decide(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1")
+    marks = written(judged.select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"), F.col("stays").alias("__stays")), "marks")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__own", key(F.col("doc_id"), digest(F.col("text")))).join(marks, F.col("__own") == F.col("__key"), "left")
     # rows that repeat both the id and the digest: the longest of them is the one that was decided to stay
-    first = F.row_number().over(Window.partitionBy("doc_id", "__doc_dig").orderBy(F.col("__doc_len").desc()))
-    return same.withColumn("__n", first).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy("__own").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc()))
+    one = marked.filter("__stays").withColumn("__n", first).filter("__n = 1")
+    return marked.filter("__key is null").select(*kept).unionByName(one.select(*kept))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
