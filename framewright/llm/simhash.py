@@ -18,7 +18,8 @@ smallest doc_id of the component; null ids are ignored for it unless there is no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,30 +34,43 @@ from .graph import components
 WORDS, MOST_BITS, SEED = 3, 2, 42
 #: Bands of the levels, and most rows of a block that is compared as it is.
 LEVELS, BLOCK = (4, 8, 16), 256
+#: Bytes of a text that are cut into words at a time.
+PART = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Random reference fingerprints.
 REFERENCES = np.random.default_rng(20240229).integers(0, 2**64, 32, np.uint64)
 
 
-def shingle_hashes(raw: bytes, words: int = WORDS) -> list[int]:
-    """XXH64 of each shingle of the lower-cased words. ``bytes.split`` and ``bytes.lower`` know ASCII only, as asked."""
-    w = raw.lower().split()
-    if not w:
-        return []
-    digest = xxhash.xxh64_intdigest
-    if len(w) <= words:
-        return [digest(b" ".join(w), SEED)]
-    return [digest(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(words)), strict=False)]
+def shingle_hashes(raw: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of the lower-cased words, in parts, so that a very long text needs little memory.
+    ``bytes.split`` and ``bytes.lower`` know ASCII only, as asked."""
+    digest, held, start, short = xxhash.xxh64_intdigest, [], 0, True
+    while start < len(raw):
+        blank = _BLANK.search(raw, start + PART)
+        stop = blank.start() if blank else len(raw)
+        held = held + raw[start:stop].lower().split()
+        start = stop
+        if len(held) >= words:
+            short = False
+            yield np.array([digest(b" ".join(s), SEED) for s in zip(*(held[i:] for i in range(words)), strict=False)], np.uint64)
+            held = held[len(held) - words + 1 :]
+    if short and held:
+        yield np.array([digest(b" ".join(held), SEED)], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit by bit the majority (over half) of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for i in range(0, len(hashes), 65536):
+            part = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(raw: bytes, words: int = WORDS) -> int:
-    """Bit by bit the majority (over half) of the hashes; in parts, so that a very long text needs little memory."""
-    hashes = shingle_hashes(raw, words)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = np.array(hashes[i : i + 65536], "<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return majority(shingle_hashes(raw, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -194,11 +208,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS)
 
 def dedup(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> DataFrame:
     """One row of each component of ``docs``, the one with the smallest doc_id, with all its columns."""
-    first = near_duplicates(docs, words, most).filter("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("s"))
-    stay = written(first.select(F.col("s.doc_id").alias("__id"), F.col("s.th").alias("__th")), "stay")
-    same = docs.withColumn("__text", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(1)))  # of rows that repeat id and text
-    return same.withColumn("__n", one).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return first_of_each(docs, near_duplicates(docs, words, most).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")))
+
+
+def first_of_each(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """One row of each class of ``docs``, the one with the smallest doc_id, with all its columns. ``classed``: doc_id, th (a
+    hash of the text), root and n, the number of rows that repeat both. Only the list of rows that go, or that are repeated,
+    meets the texts."""
+    key = lambda i, th: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), th.cast("string"))
+    rows = written(classed, "rows")
+    stay = rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("s"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    judged = rows.join(stay, F.col("root") == F.col("of")).withColumn("stays", own.eqNullSafe(F.col("s")))
+    marks = written(judged.filter("not stays or n > 1").select(key(F.col("doc_id"), F.col("th")).alias("__key"), F.col("stays").alias("__stays")), "marks")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__own", key(F.col("doc_id"), F.xxhash64("text"))).join(marks, F.col("__own") == F.col("__key"), "left")
+    one = marked.filter("__stays").withColumn("__n", F.row_number().over(Window.partitionBy("__own").orderBy(F.lit(1)))).filter("__n = 1")
+    return marked.filter("__key is null").select(*kept).unionByName(one.select(*kept))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from framewright.llm import bpe, chat, exact_dedup, language, mixing, quality, repeats, secret_scan, simhash, topk
+from framewright.llm import bpe, chat, exact_dedup, language, mixing, near, quality, repeats, secret_scan, simhash, topk
 
 from .cases import SCHEMA, awkward, documents
 
@@ -67,11 +67,20 @@ def test_mixing_meets_targets_and_repeats(spark):
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(taken[s] == int(target[s] + 1e-9) for s in names)
-    key = lambda xs: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in xs)
+    key = lambda xs: sorted((str(r["doc_id"]), r["key"], r["size"], r["taken"], r["ahead"]) for r in xs)
     assert key(got) == key(rows_of(mixing.assign(documents(spark).repartition(7))))
+    for r in rows_of(mixing.positions(mixing.assign(documents(spark)))):
+        start, end = mixing.SCHEDULES[r["weight"]]
+        at = [int(x) / 1e9 for x in r["positions"].split(",")] if r["taken"] else []
+        assert r["times"] == len(at) == -(-r["taken"] // r["size"] if r["taken"] else 0) and (r["position"] is None) == (not at)
+        for n, x in enumerate(at):  # the share of the target demanded by then is what stands ahead
+            assert (start * x + (end - start) * x * x / 2) / ((start + end) / 2) * r["target"] == pytest.approx(r["ahead"] + n * r["source_size"], rel=1e-5, abs=1e-3)
     mixed = mixing.mix(documents(spark).selectExpr("*", "1 as taken", "2 as size"))
     assert mixed.columns[-2:] == ["taken", "size"]
-    assert mixed.count() == sum(-(-r["taken"] // r["size"]) for r in got if r["taken"])
+    want = Counter()
+    for r in got:
+        want[(r["doc_id"], r["source"], r["size"])] += -(-r["taken"] // r["size"]) if r["taken"] else 0
+    assert Counter((r["doc_id"], r["source"], size(r["text"])) for r in rows_of(mixed)) == +want
 
 
 def test_mixing_position_inverts_the_schedule():
@@ -228,6 +237,89 @@ def test_simhash_links_through_all_levels(spark, monkeypatch):
     assert got == {f: min(want[find(f)]) for f in fps}
 
 
+def test_fingerprints_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"w{k * k % 97}" for k in range(3000)).encode() + b"   \n"
+    whole = simhash.fingerprint(text), [int(h) for part in simhash.shingle_hashes(text, 5) for h in part]
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(simhash, "PART", size)
+        assert (simhash.fingerprint(text), [int(h) for part in simhash.shingle_hashes(text, 5) for h in part]) == whole
+    assert [len(x) for x in simhash.shingle_hashes(b" a b ", 5)] == [1] and list(simhash.shingle_hashes(b" \n", 5)) == []
+
+
+def test_pivots_discard_pairs_before_they_are_verified(monkeypatch):
+    fps = np.random.default_rng(6).integers(0, 2**64, 400, np.uint64)
+    fps[1], fps[7] = fps[0] ^ np.uint64(5), fps[3] ^ np.uint64(1 << 40)
+    tried = []
+    real = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: tried.append(len(x)) or real(x))
+    table = real(fps[:, None] ^ simhash.REFERENCES[None, :]).astype(np.uint8)
+    assert sorted(map(sorted, simhash.forest(fps, table, 2))) == [[0, 1], [3, 7]]
+    with_table = sum(tried)
+    tried.clear()
+    assert sorted(map(sorted, simhash.forest(fps, np.zeros_like(table), 2))) == [[0, 1], [3, 7]]
+    assert with_table < sum(tried) / 1000  # the table spares nearly all verifications
+
+
+def near_copies(seed, groups, size):
+    """Groups of texts that differ from their group's text in a few words, near and across the similarity of 0.8."""
+    r = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{x}" for x in r.integers(0, 500, 120)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(int(r.integers(0, 4))):
+                own[int(r.integers(0, len(own)))] = f"x{r.integers(0, 10**6)}"
+            out.append((len(out) + 1000, " ".join(own), "en", "a", 1))
+    return out
+
+
+def shingle_classes(rows, words=5, least=0.8):
+    """The components of texts by brute force, as lists of row numbers."""
+    sets = []
+    for _, text, *_ in rows:
+        w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else {()})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    out = defaultdict(list)
+    for k in range(len(rows)):
+        out[find(k)].append(k)
+    return list(out.values())
+
+
+@pytest.mark.parametrize("group", [1024, 6])
+def test_near_copies_agree_with_brute_force(spark, group):
+    rows = awkward() + near_copies(3, 5, 40)
+    want = Counter()
+    for members in shingle_classes(rows):
+        want[frozenset((rows[k][0], rows[k][1]) for k in members)] += 1
+    got = defaultdict(set)
+    texts = {(i, hash_of(t)): t for i, t, *_ in rows}
+    for r in near.similar(documents(spark, rows), group=group).collect():
+        got[r["root"]].add((r["doc_id"], texts[(r["doc_id"], r["th"])]))
+    assert Counter(map(frozenset, got.values())) == want
+    kept = near.dedup(documents(spark, rows).selectExpr("*", "1 as n", "2 as node", "3 as root", "4 as th"))
+    assert kept.columns[-4:] == ["n", "node", "root", "th"]
+    firsts = [min(((rows[k][0] is None, rows[k][0] or 0) for k in m)) for m in shingle_classes(rows)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(firsts)
+
+
+def hash_of(text):
+    """Spark's 64-bit hash of a string, as a signed number; 42 for null."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_secret_scan_agrees_with_regular_expressions(spark):
     want = Counter()
     for i, t, *_ in awkward():
@@ -332,7 +424,7 @@ def test_language_on_held_out_rows(spark):
 
 @pytest.mark.parametrize(
     "run",
-    [exact_dedup.decide, exact_dedup.dedup, mixing.assign, mixing.mix, bpe.round_trip, bpe.encode, repeats.remove, simhash.near_duplicates, simhash.dedup, secret_scan.scan, quality.features, lambda d: language.predict(d, language.train(d))],
+    [exact_dedup.decide, exact_dedup.dedup, mixing.assign, mixing.mix, bpe.round_trip, bpe.encode, repeats.remove, simhash.near_duplicates, simhash.dedup, near.similar, near.dedup, secret_scan.scan, quality.features, lambda d: language.predict(d, language.train(d))],
 )
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
