@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 _own_dir: str | None = None
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder that the cluster names. Where none is named, a folder of our own in local mode (tests); off local
+    mode that is an error, as driver and executors share no local folder."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-")
     return _own_dir
@@ -31,12 +35,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, so a lost executor costs no recomputation,
-    and later exchanges on the table are plain ones that adaptive execution can split."""
+    and later exchanges on the table are plain ones that adaptive execution can split. See :func:`forget`."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the list of written tables, for :func:`forget`."""
+    return len(_tables)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since ``since``, but for the one that ``keep`` reads: when a result is written or
+    collected, the tables on the way to it are of no more use."""
+    kept = {p.rsplit("/", 2)[-2] for p in keep.inputFiles()} if keep is not None else set()
+    for path in _tables[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables[since:] = [p for p in _tables[since:] if p.rsplit("/", 1)[-1] in kept]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

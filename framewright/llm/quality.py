@@ -183,5 +183,5 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = table.mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = table.mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

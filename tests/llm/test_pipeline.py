@@ -11,7 +11,9 @@ import numpy as np
 import tiktoken
 
 import corpus_pipeline
-from framewright.llm import bpe, quality, simhash
+from framewright.llm import bpe, common, quality
+
+from .cases import awkward, documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +27,11 @@ def one_of_each(rows, key):
 
 
 def near(rows):
-    prints = [simhash.fingerprint(r["text"].encode()) for r in rows]
+    """The row with the smallest id of each component of texts that share 0.8 of their five-word shingles."""
+    sets = []
+    for r in rows:
+        w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), r["text"].encode()).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
     root = list(range(len(rows)))
 
     def find(i):
@@ -35,7 +41,7 @@ def near(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     groups = defaultdict(list)
     for k, r in enumerate(rows):
@@ -84,7 +90,24 @@ def test_pipeline_agrees_with_brute_force(spark):
     for r in rows:
         ids = real.encode_ordinary(r["text"])
         want[(r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest())] += 1
+    mark = common.mark()
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+    assert common.mark() == mark + 1  # only the last stage's input is left of the tables on the way
+    common.forget(spark, mark)
+
+
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    rows = awkward()
+    docs = documents(spark, rows).selectExpr("*", "1 as n", "2 as root", "3 as kept", "'x' as key")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(1, 20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name != "encode":
+            assert got.columns == docs.columns, name
+            assert {(r.doc_id, r.text) for r in got.collect()} <= {(r[0], r[1]) for r in rows}, name
+        else:
+            assert got.count() == len(rows)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
 def test_stages_keep_the_columns_of_documents(spark):
