@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, exact_dedup, mixing, quality, simhash
-from framewright.llm.common import read_table, written
+from framewright.llm import bpe, exact_dedup, mixing, near, quality
+from framewright.llm.common import forget, mark, read_table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies."""
-    return simhash.dedup(docs)
+    """One of each group of texts that share 0.8 of their five-word shingles."""
+    return near.dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        forget(spark, since, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
