@@ -161,18 +161,18 @@ register(
 )
 
 
-def adjudicate(findings: DataFrame, intervals: DataFrame) -> DataFrame:
+def adjudicate(findings: DataFrame, intervals: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviewed matches: of the findings that confirm an interval the first counts, later ones are unmatched; a video with
-    a pending finding has no result."""
-    hits = covered_findings(findings, intervals).withColumn("n", F.row_number().over(Window.partitionBy("interval_id").orderBy("ts_s", "finding_id")))
-    per = hits.groupBy("video_id").agg(F.count_if(F.col("n") == 1).alias("matched"), F.count_if(F.col("n") > 1).alias("unmatched"), F.bool_and(F.col("finding_id") % 13 != 0).alias("complete"))
+    a pending review (finding_id, pending) has no result."""
+    hits = covered_findings(findings, intervals).withColumn("n", F.row_number().over(Window.partitionBy("interval_id").orderBy("ts_s", "finding_id"))).join(reviews, "finding_id", "left")
+    per = hits.groupBy("video_id").agg(F.count_if(F.col("n") == 1).alias("matched"), F.count_if(F.col("n") > 1).alias("unmatched"), F.bool_and(~F.coalesce("pending", F.lit(False))).alias("complete"))
     return per.select("video_id", F.when(F.col("complete"), F.col("matched")).otherwise(-1).cast("long").alias("matched"), F.when(F.col("complete"), F.col("unmatched")).otherwise(-1).cast("long").alias("unmatched"), "complete")
 
 
 register(
-    "j21_adjudication", "findings truth_intervals", adjudicate,
+    "j21_adjudication", "findings truth_intervals reviews", adjudicate,
     f"""WITH h AS (SELECT f.video_id, finding_id, row_number() OVER (PARTITION BY interval_id ORDER BY ts_s, finding_id) AS n {_COVERED}),
-p AS (SELECT video_id, count(*) FILTER (WHERE n = 1) AS m, count(*) FILTER (WHERE n > 1) AS u, bool_and(finding_id % 13 <> 0) AS complete FROM h GROUP BY video_id)
+p AS (SELECT video_id, count(*) FILTER (WHERE n = 1) AS m, count(*) FILTER (WHERE n > 1) AS u, count(*) FILTER (WHERE pending) = 0 AS complete FROM h JOIN reviews USING (finding_id) GROUP BY video_id)
 SELECT video_id, CASE WHEN complete THEN m ELSE -1 END AS matched, CASE WHEN complete THEN u ELSE -1 END AS unmatched, complete FROM p""",
 )
 
@@ -257,15 +257,13 @@ _BATCH = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY
 register("w11_batch_numbers", "requests", batches, f"{_BATCH} SELECT video_id, request_id, attempt, batch, place FROM b")
 
 
-def remap(requests: DataFrame) -> DataFrame:
-    """Batch-local places back to global ids; answers that name a place that isn't there are rejected."""
-    known = batches(requests)
-    answers = known.select("video_id", "batch", (F.col("place") + F.when(F.col("request_id") % 17 == 0, 8).otherwise(0)).alias("place"))
-    joined = answers.join(known, ["video_id", "batch", "place"], "left")
+def remap(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Batch-local places of ``answers`` (video_id, batch, place) back to global ids; a place that isn't there is rejected."""
+    joined = answers.join(batches(requests), ["video_id", "batch", "place"], "left")
     return joined.groupBy("video_id").agg(F.count("request_id").alias("mapped"), F.count_if(F.col("request_id").isNull()).alias("rejected"))
 
 
-register("j13_batch_remap", "requests", remap, f"{_BATCH} SELECT video_id, count(*) FILTER (WHERE request_id % 17 <> 0) AS mapped, count(*) FILTER (WHERE request_id % 17 = 0) AS rejected FROM b GROUP BY video_id")
+register("j13_batch_remap", "requests answers", remap, "SELECT video_id, count(*) FILTER (WHERE place < 8) AS mapped, count(*) FILTER (WHERE place >= 8) AS rejected FROM answers GROUP BY video_id")
 
 
 def evenly(requests: DataFrame, wanted: int = 5) -> DataFrame:

@@ -12,16 +12,46 @@ def by_job():
     return Window.partitionBy("job_id").orderBy("at_s", "event_id")
 _W = "OVER (PARTITION BY job_id ORDER BY at_s, event_id)"
 
-PHASE = """CASE WHEN status = 'QUEUED' THEN CASE WHEN event_id % 3 = 0 THEN 'UNAVAILABLE' ELSE 'PRIMARY_JOB' END WHEN status = 'PROCESSING' THEN CASE WHEN event_id % 3 = 0 THEN 'UNAVAILABLE' ELSE 'PRIMARY_JOB' END
-  WHEN status = 'PROGRESS' THEN 'PENDING' WHEN status = 'FAILED' THEN 'TERMINAL' WHEN status = 'COMPLETE' THEN CASE WHEN event_id % 4 = 0 THEN 'PENDING' WHEN event_id % 4 = 1 THEN 'AGENT_JOB' ELSE 'UI_ONLY' END ELSE 'UNAVAILABLE' END"""
-register("p25_cancellation_phase", "job_events", lambda j: j.select("event_id", ex(PHASE).alias("phase")), f"SELECT event_id, {PHASE} AS phase FROM job_events")
-ATTEMPT = "(event_id % 6 + 1)"
-TERMINAL = f"(status = 'FAILED' AND (amount > 100.0 OR {ATTEMPT} >= 5))"
-DELAY = f"least(900.0, greatest(5.0, pow(2.0, {ATTEMPT} - 1) * 30.0))"
-register("p26_terminal_and_delay", "job_events", lambda j: j.select("event_id", ex(TERMINAL).alias("is_terminal"), ex(DELAY).alias("delay")), f"SELECT event_id, {TERMINAL} AS is_terminal, {DELAY} AS delay FROM job_events")
-_DONE, _TOTAL = "(event_id % 30)", "(CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 0 ELSE 26 END)"
-PERCENT = f"CASE WHEN {_TOTAL} > 0 AND {_DONE} <= {_TOTAL} THEN least(CASE WHEN status = 'COMPLETE' THEN 100 ELSE 99 END, DIV(100 * {_DONE}, {_TOTAL})) END"
-register("p27_stage_percent", "job_events", lambda j: j.select("event_id", F.coalesce(ex(PERCENT), F.lit(-1)).cast("long").alias("percent")), f"SELECT event_id, CAST(coalesce({PERCENT}, -1) AS BIGINT) AS percent FROM job_events")
+PHASE = """CASE WHEN status IN ('QUEUED', 'PROCESSING') THEN CASE WHEN cancellable THEN 'PRIMARY_JOB' ELSE 'UNAVAILABLE' END WHEN status = 'PROGRESS' THEN 'PENDING' WHEN status = 'FAILED' THEN 'TERMINAL'
+  WHEN status = 'COMPLETE' THEN CASE follow_up WHEN 'pending' THEN 'PENDING' WHEN 'agent' THEN 'AGENT_JOB' ELSE 'UI_ONLY' END ELSE 'UNAVAILABLE' END"""
+
+
+def cancellation_phase(jobs: DataFrame) -> DataFrame:
+    """What a cancel request can reach: the job itself, work that follows it, or nothing (status, cancellable, follow_up)."""
+    return jobs.withColumn("phase", ex(PHASE))
+
+
+register(
+    "p25_cancellation_phase", "job_events", lambda j: cancellation_phase(j).select("event_id", "phase"),
+    """WITH p (status, cancellable, follow_up, phase) AS (VALUES ('QUEUED', true, NULL, 'PRIMARY_JOB'), ('PROCESSING', true, NULL, 'PRIMARY_JOB'), ('PROGRESS', NULL, NULL, 'PENDING'), ('FAILED', NULL, NULL, 'TERMINAL'),
+  ('COMPLETE', NULL, 'pending', 'PENDING'), ('COMPLETE', NULL, 'agent', 'AGENT_JOB'), ('COMPLETE', NULL, 'none', 'UI_ONLY'))
+SELECT event_id, coalesce(phase, 'UNAVAILABLE') AS phase FROM job_events j LEFT JOIN p ON j.status = p.status AND (p.cancellable IS NULL OR j.cancellable) AND (p.follow_up IS NULL OR p.follow_up = j.follow_up)""",
+)
+TERMINAL = "(status = 'FAILED' AND (amount > 100.0 OR attempt >= 5))"
+DELAY = "least(900.0, greatest(5.0, pow(2.0, attempt - 1) * 30.0))"
+
+
+def retries(jobs: DataFrame) -> DataFrame:
+    """Whether a failure is final, and how long the next attempt waits (status, amount, attempt)."""
+    return jobs.withColumns({"is_terminal": ex(TERMINAL), "delay": ex(DELAY)})
+
+
+register(
+    "p26_terminal_and_delay", "job_events", lambda j: retries(j).select("event_id", "is_terminal", "delay"),
+    "SELECT event_id, status = 'FAILED' AND NOT (amount <= 100.0 AND attempt < 5) AS is_terminal, CAST([30, 60, 120, 240, 480, 900][attempt] AS DOUBLE) AS delay FROM job_events",
+)
+PERCENT = "CASE WHEN total > 0 AND completed <= total THEN least(CASE WHEN status = 'COMPLETE' THEN 100 ELSE 99 END, DIV(100 * completed, total)) END"
+
+
+def stage_percent(jobs: DataFrame) -> DataFrame:
+    """Percent of a stage, 99 at most until it is complete; null where the total isn't known or is exceeded."""
+    return jobs.withColumn("percent", ex(PERCENT).cast("long"))
+
+
+register(
+    "p27_stage_percent", "job_events", lambda j: stage_percent(j).select("event_id", F.coalesce("percent", F.lit(-1)).alias("percent")),
+    "SELECT event_id, CAST(CASE WHEN total IS NULL OR total = 0 OR completed > total THEN -1 WHEN status <> 'COMPLETE' AND completed = total THEN 99 ELSE floor(100.0 * completed / total) END AS BIGINT) AS percent FROM job_events",
+)
 register(
     "p32_retention", "job_events", lambda j: (lambda m: j.crossJoin(F.broadcast(m)).filter("status = 'FAILED' and now - at_s >= 48 * 3600").select("event_id"))(j.agg(F.max("at_s").alias("now"))),
     "SELECT event_id FROM job_events WHERE status = 'FAILED' AND (SELECT max(at_s) FROM job_events) - at_s >= 48 * 3600",
@@ -158,11 +188,13 @@ def conflicts(inventory: DataFrame) -> DataFrame:
 register("j20_retention_conflicts", "inventory", conflicts, "SELECT object_id FROM inventory WHERE " + " OR ".join(f"starts_with(path, '{r}') OR starts_with('{r}', path)" for r in ROOTS))
 
 
-def merged_rules(inventory: DataFrame) -> DataFrame:
-    """New rules replace those of the same id; a legacy rule stays, disabled."""
-    old = inventory.select("object_id", F.when(F.col("object_id") % 10 == 0, "Disabled").otherwise("Enabled").alias("status"))
-    new = inventory.filter("object_id % 4 = 1").select("object_id", F.lit("New").alias("status"))
-    return old.join(new.select("object_id"), "object_id", "left_anti").unionByName(new)
+def merged_rules(saved: DataFrame, new: DataFrame) -> DataFrame:
+    """New rules (rule_id) replace saved ones (rule_id, legacy) of the same id; a legacy rule stays, disabled."""
+    old = saved.select("rule_id", F.when(F.col("legacy"), "Disabled").otherwise("Enabled").alias("status"))
+    return old.join(new.select("rule_id"), "rule_id", "left_anti").unionByName(new.select("rule_id", F.lit("New").alias("status")))
 
 
-register("u05_keyed_replace", "inventory", merged_rules, "SELECT object_id, CASE WHEN object_id % 4 = 1 THEN 'New' WHEN object_id % 10 = 0 THEN 'Disabled' ELSE 'Enabled' END AS status FROM inventory")
+register(
+    "u05_keyed_replace", "saved_rules new_rules", merged_rules,
+    "SELECT coalesce(n.rule_id, s.rule_id) AS rule_id, CASE WHEN n.rule_id IS NOT NULL THEN 'New' WHEN legacy THEN 'Disabled' ELSE 'Enabled' END AS status FROM saved_rules s FULL OUTER JOIN new_rules n ON s.rule_id = n.rule_id",
+)

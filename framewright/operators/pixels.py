@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dialect import r6
 from ..plans.registry import register
 
 
@@ -40,7 +41,10 @@ def hue_saturation(rgb: np.ndarray, hues: int = 50, levels: int = 60) -> np.ndar
     r, g, b = c.T
     hue = np.where(high == r, (g - b) / spread % 6, np.where(high == g, (b - r) / spread + 2, (r - g) / spread + 4)) * 30
     saturation = np.where(high > 0, (high - low) / np.where(high > 0, high, 1), 0) * 255
-    h = np.histogram2d(np.where(high > low, hue, 0), saturation, [hues, levels], [[0, 180], [0, 256]])[0].ravel()
+    # the least bit over an edge belongs to the bin above it, whatever the rounding
+    row = np.minimum(np.floor(np.where(high > low, hue, 0) * hues / 180 + 1e-9), hues - 1)
+    column = np.minimum(np.floor(saturation * levels / 256 + 1e-9), levels - 1)
+    h = np.bincount((row * levels + column).astype(np.int64), minlength=hues * levels).astype(float)
     return h / max(np.sqrt(h @ h), 1e-12)
 
 
@@ -155,3 +159,110 @@ def rule_scorer(batch):
 
 
 register("y02_batch_scorer", "frames", lambda f: score_batches(f.select("video_id", "frame_number", "sharpness"), rule_scorer, "video_id long, frame_number long, score double"), "SELECT video_id, frame_number, greatest(0.0, least(1.0, sharpness / 100)) AS score FROM frames")
+
+
+def parts_of(images: DataFrame, least: int = 150, wide: int = 8) -> DataFrame:
+    """The 4-connected parts of bright pixels of each image (video_id, frame_number, px: rows of ``wide`` gray values)."""
+    schema = pa.schema([("video_id", pa.int64()), ("frame_number", pa.int64()), *[(k, pa.int32()) for k in ("area", "x", "y", "width", "height")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v, n, px in zip(*(batch.column(k).to_pylist() for k in ("video_id", "frame_number", "px")), strict=True):
+                out += [(v, n, *part) for part in components(np.array(px).reshape(-1, wide) >= least)]
+            cols = list(zip(*out, strict=True)) or [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return images.select(F.col("video_id").cast("long"), F.col("frame_number").cast("long"), "px").mapInArrow(run, "video_id long, frame_number long, area int, x int, y int, width int, height int")
+
+
+register(
+    "f26_components", "frame_px", parts_of,
+    """WITH RECURSIVE m AS (SELECT video_id, frame_number, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(px) + 1)) AS i FROM frame_px) u WHERE px[i] >= 150),
+r AS (SELECT video_id, frame_number, pos AS a, pos AS b FROM m UNION SELECT r.video_id, r.frame_number, r.a, m.pos FROM r JOIN m ON r.video_id = m.video_id AND r.frame_number = m.frame_number AND (abs(m.pos - r.b) = 8 OR (abs(m.pos - r.b) = 1 AND m.pos // 8 = r.b // 8))),
+p AS (SELECT video_id, frame_number, b AS pos, min(a) AS root FROM r GROUP BY ALL)
+SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame_number AS BIGINT) AS frame_number, CAST(count(*) AS INTEGER) AS area, CAST(min(pos % 8) AS INTEGER) AS x, CAST(min(pos // 8) AS INTEGER) AS y,
+  CAST(max(pos % 8) - min(pos % 8) + 1 AS INTEGER) AS width, CAST(max(pos // 8) - min(pos // 8) + 1 AS INTEGER) AS height FROM p GROUP BY p.video_id, p.frame_number, root""",
+)
+
+
+def histograms(images: DataFrame) -> DataFrame:
+    """The hue and saturation histogram of each image (video_id, frame_number, rgb: three values a pixel): one row for each
+    bin that is not empty."""
+    schema = pa.schema([("video_id", pa.int64()), ("frame_number", pa.int64()), ("bin", pa.int32()), ("share", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v, n, rgb in zip(*(batch.column(k).to_pylist() for k in ("video_id", "frame_number", "rgb")), strict=True):
+                h = hue_saturation(np.array(rgb).reshape(-1, 3))
+                out += [(v, n, int(k), float(h[k])) for k in np.flatnonzero(h)]
+            cols = list(zip(*out, strict=True)) or [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return images.select(F.col("video_id").cast("long"), F.col("frame_number").cast("long"), "rgb").mapInArrow(run, "video_id long, frame_number long, bin int, share double")
+
+
+_HUE = "CASE WHEN hi = lo THEN 0.0 WHEN hi = r THEN CASE WHEN g < b THEN ((g - b) / (hi - lo) + 6) * 30 ELSE (g - b) / (hi - lo) * 30 END WHEN hi = g THEN ((b - r) / (hi - lo) + 2) * 30 ELSE ((r - g) / (hi - lo) + 4) * 30 END"
+register(
+    "f10_histogram", "frame_px",
+    lambda i: histograms(i.withColumn("rgb", F.slice("px", 1, 63))).select("video_id", "frame_number", "bin", r6(F.col("share")).alias("share")),
+    f"""WITH p AS (SELECT video_id, frame_number, CAST(px[i] AS DOUBLE) AS r, CAST(px[i + 1] AS DOUBLE) AS g, CAST(px[i + 2] AS DOUBLE) AS b FROM (SELECT *, unnest(range(1, 64, 3)) AS i FROM frame_px) u),
+m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM p),
+c AS (SELECT video_id, frame_number, CAST(least(49, floor(({_HUE}) * 50 / 180 + 1e-9)) * 60 + floor(CASE WHEN hi > 0 THEN (hi - lo) / hi * 255 ELSE 0 END * 60 / 256 + 1e-9) AS INTEGER) AS bin, count(*) AS n FROM m GROUP BY ALL)
+SELECT CAST(video_id AS BIGINT) AS video_id, CAST(frame_number AS BIGINT) AS frame_number, bin, R6(n / sqrt(sum(n * n) OVER (PARTITION BY video_id, frame_number))) AS share FROM c""",
+)
+
+
+def brightened(images: DataFrame, target: float = 127.5, most: float = 60.0, contrast: float = 1.15) -> DataFrame:
+    """Gray images (px) moved towards a mean and stretched around it, as expressions: ``shift`` and ``bright``."""
+    mean = F.aggregate("px", F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size("px"))
+    shift = F.greatest(F.lit(-most), F.least(F.lit(most), F.lit(target) - mean))
+    told = images.withColumn("shift", shift)
+    return told.withColumn("bright", F.transform("px", lambda x: F.bround(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (x + F.col("shift") - target) * contrast + target)), 0).cast("int")))
+
+
+register(
+    "f25_region_gain", "frame_px", lambda i: brightened(i).select("video_id", "frame_number", r6(F.col("shift")).alias("shift"), F.array_join("bright", ",").alias("bright")),
+    """WITH s AS (SELECT video_id, frame_number, px, greatest(-60.0, least(60.0, 127.5 - list_sum(px) / CAST(len(px) AS DOUBLE))) AS shift FROM frame_px)
+SELECT video_id, frame_number, R6(shift) AS shift, array_to_string([CAST(round_even(least(255.0, greatest(0.0, (x + shift - 127.5) * 1.15 + 127.5)), 0) AS INTEGER) for x in px], ',') AS bright FROM s""",
+)
+
+
+def quads(lines: DataFrame) -> DataFrame:
+    """Per frame the quad between its lines 1 and 2 (a) and the one between its lines 3 and 4 (b), corner by corner."""
+    at = lambda n, c: F.max(F.when(F.col("line_no") == n, F.col(c)))
+    corners = [(1, "1"), (1, "2"), (2, "2"), (2, "1")]
+    quad = lambda shift: F.array(*[F.struct(at(n + shift, f"x{k}").cast("double").alias("x"), at(n + shift, f"y{k}").cast("double").alias("y")) for n, k in corners])
+    return lines.filter("line_no <= 4").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("lines"), quad(0).alias("a"), quad(2).alias("b")).filter("n = 4 and lines = 4").drop("n", "lines")
+
+
+def viewpoint(pairs: DataFrame, wide: float = 640.0, high: float = 480.0) -> DataFrame:
+    """``change`` of each pair of quads (a, b: arrays of corners), as expressions: moved, grown and bent, 0 to 1."""
+    nxt = lambda q, i: F.get(q, (i + 1) % 4)
+    over = lambda q, f: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: f(F.get(q, i), nxt(q, i)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    area = lambda q: F.greatest(F.lit(1.0), F.abs(total(over(q, lambda p, r: p["x"] * r["y"] - p["y"] * r["x"])))) / 2
+    edges = lambda q: over(q, lambda p, r: F.greatest(F.lit(1e-6), F.sqrt((r["x"] - p["x"]) * (r["x"] - p["x"]) + (r["y"] - p["y"]) * (r["y"] - p["y"]))))
+    mean = lambda q, k: total(F.transform(q, lambda p: p[k])) / 4
+    a, b = F.col("a"), F.col("b")
+    dx, dy = mean(b, "x") - mean(a, "x"), mean(b, "y") - mean(a, "y")
+    moved = F.sqrt(dx * dx + dy * dy) / F.lit(max(1.0, float(np.hypot(wide, high))))
+    with_edges = pairs.withColumns({"moved": moved, "grown": F.abs(F.log(area(b) / area(a))), "ratios": F.zip_with(edges(b), edges(a), lambda x, y: F.log(x / y))})
+    centred = with_edges.withColumn("mid", total(F.col("ratios")) / 4)
+    bent = F.sqrt(total(F.transform("ratios", lambda x: (x - F.col("mid")) * (x - F.col("mid")))) / 4)
+    part = lambda w, x, full: w * F.least(F.lit(1.0), x / full)
+    return centred.withColumn("change", F.least(F.lit(1.0), part(0.45, F.col("moved"), 0.18) + part(0.30, F.col("grown"), 0.65) + part(0.25, bent, 0.30)))
+
+
+_QUAD = "SELECT frame_id, {k} AS k, {x} AS x, {y} AS y FROM lines WHERE line_no = {n}"
+_CORNERS = " UNION ALL ".join(f"SELECT '{q}' AS q, * FROM ({_QUAD.format(k=k, x=f'CAST(x{e} AS DOUBLE)', y=f'CAST(y{e} AS DOUBLE)', n=n + s)}) u" for q, s in (("a", 0), ("b", 2)) for k, (n, e) in enumerate(((1, 1), (1, 2), (2, 2), (2, 1))))
+register(
+    "f20_viewpoint_change", "lines", lambda x: viewpoint(quads(x)).select("frame_id", r6(F.col("change")).alias("change")),
+    f"""WITH c AS ({_CORNERS}), e AS (SELECT p.q, p.frame_id, p.k, p.x, p.y, p.x * n.y - p.y * n.x AS turn, greatest(1e-6, sqrt((n.x - p.x) ** 2 + (n.y - p.y) ** 2)) AS edge
+  FROM c p JOIN c n ON p.q = n.q AND p.frame_id = n.frame_id AND n.k = (p.k + 1) % 4),
+g AS (SELECT q, frame_id, sum(x) / 4 AS mx, sum(y) / 4 AS my, greatest(1.0, abs(sum(turn))) / 2 AS area FROM e GROUP BY ALL HAVING count(*) = 4 AND count(DISTINCT k) = 4),
+s AS (SELECT a.frame_id, stddev_pop(ln(b.edge / a.edge)) AS bent FROM e a JOIN e b ON a.q = 'a' AND b.q = 'b' AND a.frame_id = b.frame_id AND a.k = b.k GROUP BY ALL)
+SELECT frame_id, R6(least(1.0, 0.45 * least(1.0, sqrt((b.mx - a.mx) ** 2 + (b.my - a.my) ** 2) / 800.0 / 0.18) + 0.3 * least(1.0, abs(ln(b.area / a.area)) / 0.65) + 0.25 * least(1.0, bent / 0.3))) AS change
+FROM g a JOIN g b USING (frame_id) JOIN s USING (frame_id) WHERE a.q = 'a' AND b.q = 'b'""",
+)

@@ -133,11 +133,17 @@ register("p17_responsible_text", "findings", lambda f: f.select("finding_id", ex
 
 def scrub(findings: DataFrame) -> DataFrame:
     """Nested evidence, scrubbed text by text: every description in each room's list of structs."""
-    safe = ex(SAFE)
-    return findings.withColumn("safe", safe).groupBy("video_id", "room").agg(F.collect_list(F.struct("finding_id", "safe")).alias("payload")).select("video_id", "room", F.size("payload").cast("long").alias("items"), (~F.exists("payload", lambda p: F.regexp_like(F.lower(p["safe"]), F.lit(BEFORE + "mou?ld(s|y|ing)?" + AFTER)))).alias("clean"))
+    return findings.withColumn("safe", ex(SAFE)).groupBy("video_id", "room").agg(F.array_sort(F.collect_list(F.struct("finding_id", "safe"))).alias("payload"))
 
 
-register("p18_scrub_payload", "findings", scrub, "SELECT video_id, room, count(*) AS items, true AS clean FROM findings GROUP BY video_id, room")
+register(
+    "p18_scrub_payload", "findings",
+    lambda f: scrub(f).select("video_id", "room", F.size("payload").cast("long").alias("items"), F.sha2(F.array_join(F.transform("payload", lambda p: F.concat_ws(":", p["finding_id"].cast("string"), p["safe"])), ";"), 256).alias("payload_sha256")),
+    f"""WITH s AS (SELECT video_id, room, finding_id, array_to_string([x for x in [CASE WHEN regexp_matches(lower(description), '\\bmou?ld(s|y|ing)?\\b') THEN '{SAFE_TEXTS["no_mold_diagnosis"]}' END,
+  CASE WHEN regexp_matches(lower(description), '\\b(electrical|electric|wiring|wire|outlet|receptacle|socket|breaker|panel|fixture)\\b') AND regexp_matches(lower(description), '\\b(unsafe|hazard|hazardous|dangerous|live|fire +risk|code +violation|not +safe)\\b') THEN '{SAFE_TEXTS["no_electrical_safety_determination"]}' END,
+  CASE WHEN regexp_matches(lower(description), '\\bstructural(ly)?\\b') AND regexp_matches(lower(description), '\\b(crack|cracks|cracked|cracking|damage|damaged|failure|compromised)\\b') THEN '{SAFE_TEXTS["no_structural_significance_determination"]}' END] if x IS NOT NULL], ' ') AS hit, description FROM findings)
+SELECT video_id, room, count(*) AS items, sha256(string_agg(CAST(finding_id AS VARCHAR) || ':' || CASE WHEN hit = '' THEN description ELSE hit END, ';' ORDER BY finding_id)) AS payload_sha256 FROM s GROUP BY video_id, room""",
+)
 
 # Words of the checklist and of the report.
 FALLBACK_SUBJECTS = {

@@ -40,9 +40,11 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, *paths: str) -> DataFrame:
-    """Detector reports of two layouts (``<clip>/detector_report.json``, ``<clip>.detector_report.json``), one for each clip."""
+    """Detector reports, one for each clip, of the layouts ``<clip>/detector_report.json``, ``<clip>.detector_report.json`` and
+    ``clip=<clip>/`` with any file in it, as Spark writes them."""
     docs = spark.read.schema("issues array<struct<category:string,description:string,timestamp:double,confidence:double>>").option("multiLine", True).json(list(paths))
-    named = docs.withColumn("clip", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)[/.]detector_report\.json$", 1))
+    path = F.col("_metadata.file_path")
+    named = docs.withColumn("clip", F.coalesce(F.nullif(F.regexp_extract(path, r"/clip=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)[/.]detector_report\.json$", 1)))
     twice = named.groupBy("clip").agg(F.count(F.lit(1)).alias("n")).filter("n <> 1").limit(5).collect()
     if twice:
         raise ValueError(f"clips without exactly one report: {[r.clip for r in twice]}")

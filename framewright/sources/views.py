@@ -85,7 +85,9 @@ FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) u""",
     "job_events": (
         (),
         """SELECT event_id, ts, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'PROGRESS'
-    WHEN 'purchase' THEN 'COMPLETE' ELSE 'FAILED' END AS status, value AS amount, {EPOCH} AS at_s FROM events""",
+    WHEN 'purchase' THEN 'COMPLETE' ELSE 'FAILED' END AS status, value AS amount, {EPOCH} AS at_s,
+  event_id % 6 + 1 AS attempt, event_id % 30 AS completed, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 0 ELSE 26 END AS total,
+  event_id % 3 <> 0 AS cancellable, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'agent' ELSE 'none' END AS follow_up FROM events""",
     ),
     "clip_verdicts": (
         (),
@@ -107,6 +109,15 @@ FROM findings WHERE finding_id % 3 = 0""",
         """SELECT page_id AS object_id, url AS path, page_id % 40 AS issue_id,
   CASE page_id % 4 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'video/quicktime' WHEN 2 THEN 'image/jpeg' ELSE 'text/html' END AS content_type,
   CASE page_id % 3 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'clip.mov' ELSE 'clip.txt' END AS filename, page_id * 3 % 120 AS age_hours FROM pages""",
+    ),
+    "saved_rules": ((), "SELECT page_id AS rule_id, page_id % 10 = 0 AS legacy FROM pages WHERE page_id % 9 <> 0"),
+    "new_rules": ((), "SELECT page_id AS rule_id FROM pages WHERE page_id % 4 = 1"),
+    "reviews": (("findings",), "SELECT finding_id, finding_id % 13 = 0 AS pending FROM findings"),
+    "answers": (
+        (),
+        """SELECT l_suppkey AS video_id, CAST((n - 1) / 8 - (n - 1) % 8 / 8e0 AS BIGINT) AS batch,
+  CAST((n - 1) % 8 + CASE WHEN l_orderkey % 17 = 0 THEN 8 ELSE 0 END AS BIGINT) AS place
+FROM (SELECT l_suppkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) numbered""",
     ),
     "frame_px": (
         (),
