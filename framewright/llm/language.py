@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import held_out, read_table, small_batches, written
 
 PLACES, FIT_ROWS, ROUNDS, TASKS = 1 << 14, 12_000, 3, 6
+#: Rows that a language is fitted on at least (in expectation, if it has so many), and languages that are learned at most:
+#: the most frequent ones. The model that is broadcast has PLACES numbers for each.
+FLOOR, MOST_LANGS = 200, 1000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 TEMPERATURES = np.round(np.geomspace(0.05, 5, 41), 6)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -106,8 +109,8 @@ class Model:
         return self.langs[k], float(p[k])
 
 
-def measured(known: DataFrame, share: float) -> DataFrame:
-    """lang, doc_id, at, counts: the n-grams of the sampled rows of ``known`` (doc_id, text, lang, u); then one row a task
+def measured(known: DataFrame) -> DataFrame:
+    """lang, doc_id, at, counts: the n-grams of the sampled rows of ``known`` (doc_id, text, lang, taken); then one row a task
     with null lang whose counts are the number of the task's texts and, for each place, of those that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +118,11 @@ def measured(known: DataFrame, share: float) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
         for batch in small_batches(batches, "text"):
             out = []
-            for i, text, lang, u in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "lang", "u")), strict=True):
+            for i, text, lang, taken in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "lang", "taken")), strict=True):
                 at, counts = grams(text)
                 seen[at] += 1
                 total += 1
-                if u < share and len(at):
+                if taken and len(at):
                     out.append({"doc_id": i, "lang": lang, "at": at, "counts": counts})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
@@ -132,9 +135,13 @@ def train(docs: DataFrame) -> Model:
     """From the rows of ``docs`` (doc_id, text, lang) that aren't held out."""
     spark = docs.sparkSession
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text", "lang", unit.alias("u"))
-    rows = known.count()
-    table = written(measured(known, min(1.0, FIT_ROWS / max(rows, 1))), "grams")
+    labelled = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # of the two short columns alone
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    share = F.greatest(F.lit(FIT_ROWS / max(rows, 1)), F.lit(float(FLOOR)) / F.col("n"))
+    shares = written(counts.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS).select(F.col("lang").alias("of"), share.alias("share")), "shares")
+    known = labelled.filter(F.col("text").isNotNull()).join(F.broadcast(shares), F.col("lang") == F.col("of"), "left")
+    table = written(measured(known.select(F.col("doc_id").cast("long"), "text", "lang", F.coalesce(unit < F.col("share"), F.lit(False)).alias("taken"))), "grams")
     tallies = table.filter("lang is null")
     total = tallies.agg(F.sum("doc_id")).first()[0] or 0
     places = tallies.select(F.explode(F.arrays_zip("at", "counts")).alias("e")).groupBy("e.at").agg(F.sum("e.counts").alias("n")).toPandas()  # PLACES rows at most
@@ -142,7 +149,7 @@ def train(docs: DataFrame) -> Model:
     seen[places["at"]] = places["n"]
     idf = np.log((1 + total) / (1 + seen)) + 1
     sample = table.filter("lang is not null")
-    langs = tuple(sorted(r[0] for r in sample.select("lang").distinct().collect()))
+    langs = tuple(sorted(r[0] for r in sample.select("lang").distinct().collect()))  # MOST_LANGS at most
     if not langs:
         return Model((), idf, np.zeros((0, PLACES)), 1.0)
     number = {x: k for k, x in enumerate(langs)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -422,6 +423,128 @@ def test_language_on_held_out_rows(spark):
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97
 
 
+def test_quality_agrees_with_a_plain_discriminant(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = np.array([quality.statistics((r.text or "").encode()) for r in docs])
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs])
+    y = np.array([label.get(r.doc_id, -1) for r in docs])
+    known = [x[(y == c) & ~held] for c in (0, 1)]
+    n = np.array([len(k) for k in known])
+    own = [np.cov(k.T, ddof=0) for k in known]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / n.sum()
+    density = []
+    for c in (0, 1):
+        lean = min(1.0, quality.POOLED + quality.SIZE / (n[c] + quality.SIZE))
+        s = (1 - quality.DIAGONAL) * ((1 - lean) * own[c] + lean * pooled) + quality.DIAGONAL * np.diag(np.maximum(np.diag(pooled), 1e-3))
+        d = x - known[c].mean(0)
+        density.append(quality.TEMPERATURE * np.log(n[c] / n.sum()) - np.linalg.slogdet(s)[1] / 2 - (d * np.linalg.solve(s, d.T).T).sum(1) / 2)
+    want = 1 / (1 + np.exp(-(density[1] - density[0]) / quality.TEMPERATURE))
+    got = {r.doc_id: r for r in quality.op1_quality(spark, sf).collect()}
+    for r, s, h in zip(docs, want, held, strict=True):
+        assert got[r.doc_id].score == pytest.approx(s, abs=1e-6) and got[r.doc_id].held_out == h and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_quality_statistics_by_hand():
+    s = dict(zip(quality.NAMES, quality.statistics(b"Stop STOP stop 12\nstop!\nstop!\n"), strict=True))
+    assert s["words"] == pytest.approx(np.log(7)) and s["distinct_words"] == pytest.approx(np.log(6 / 7))
+    assert s["upper"] == pytest.approx(np.log(5.5 / (len("Stop STOP stop 12\nstop!\nstop!\n") - 5 + 0.5))) and s["longest_word"] == pytest.approx(np.log(6))
+    assert s["repeated_lines"] == pytest.approx(np.log(1.5 / 2.5)) and s["loud_words"] == pytest.approx(np.log(1.5 / 5.5))
+
+
+def test_quality_on_awkward_documents(spark):
+    docs = documents(spark).selectExpr("*", "1 as x", "2 as label", "3 as score")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 60)] + [(3, 1, 0), (3, None, 0), (None, 1, 0), (5, 7, 0)], "doc_id long, quality int, toxic int")
+    for given in (labels, labels.filter("quality = 1"), labels.limit(0)):
+        model = quality.train(quality.features(docs), given)
+        scores = model.score(np.array([r.x for r in quality.features(docs).collect()]))
+        assert len(scores) == len(awkward()) and np.isfinite(scores).all() and (scores >= 0).all() and (scores <= 1).all()
+        assert quality.filter_quality(docs, given).columns == docs.columns
+        assert quality.filter_quality(docs, given).count() == np.count_nonzero(scores >= 0.3)
+
+
+def test_leader_updates_agree_with_the_formula():
+    r = np.random.default_rng(5)
+    state = language.State(np.zeros((3, language.PLACES)), np.zeros((3, language.PLACES)))
+    z, n = defaultdict(float), defaultdict(float)
+    for _ in range(60):
+        at, label = np.sort(r.choice(40, 12, replace=False)), int(r.integers(0, 3))
+        x = r.uniform(0, 1, 12)
+        w = {}
+        for k in range(3):
+            for i in at:
+                over = abs(z[k, i]) - language.L1
+                w[k, i] = 0.0 if over <= 0 else -np.sign(z[k, i]) * over / ((language.BETA + n[k, i] ** 0.5) / language.ALPHA + language.L2)
+        e = [np.exp(sum(w[k, i] * v for i, v in zip(at, x, strict=True))) for k in range(3)]
+        for k in range(3):
+            for i, v in zip(at, x, strict=True):
+                g = (e[k] / sum(e) - (k == label)) * v
+                step = ((n[k, i] + g * g) ** 0.5 - n[k, i] ** 0.5) / language.ALPHA
+                z[k, i] += g - step * w[k, i]
+                n[k, i] += g * g
+        state.learn(at, x, label)
+    assert all(state.z[k, i] == pytest.approx(v) and state.n[k, i] == pytest.approx(n[k, i]) for (k, i), v in z.items())
+    assert np.count_nonzero(state.weights()) < len(z)  # the penalty leaves some weights at zero
+
+
+def test_language_query_agrees_with_plain_scoring(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    rows = docs.collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    learned = [r.text for r in rows if not held[r.doc_id] and r.lang is not None and r.text is not None]
+    seen = Counter(k for text in learned for k in plain_grams(text))
+    assert model.langs == tuple(sorted({r.lang for r in rows if not held[r.doc_id] and r.lang}))
+    got = {r.doc_id: r for r in language.op2_language_id(spark, sf).collect()}
+    for r in rows:
+        counts = plain_grams(r.text or "")
+        if not counts:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        v = {k: (1 + np.log(c)) * (np.log((1 + len(learned)) / (1 + seen[k])) + 1) for k, c in counts.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        z = np.array([sum(x / norm * model.weights[k, i] for i, x in v.items()) for k in range(len(model.langs))]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id].lang_pred == model.langs[int(p.argmax())] and got[r.doc_id].score == pytest.approx(p.max(), abs=1e-5) and got[r.doc_id].held_out == held[r.doc_id]
+
+
+def plain_grams(text):
+    """Counts of character n-grams, one to three long, of a text whose runs of other characters are one blank."""
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not low.strip():
+        return Counter()
+    padded = " " + re.sub(" +", " ", low) + " "
+    mask, mix = (1 << 64) - 1, [int(x) for x in language._MIX]
+    shift, out = 64 - (language.PLACES.bit_length() - 1), Counter()
+    for i, c in enumerate(padded):
+        h = ord(c) * mix[0] & mask
+        out[h >> shift] += 1
+        for n in (1, 2):
+            if i + n < len(padded):
+                h = ((h ^ h >> 29) * mix[n] + ord(padded[i + n]) * mix[0]) & mask
+                out[(h ^ h >> 31) * mix[2] % (1 << 64) >> shift] += 1
+    return out
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_ROWS", 100)
+    monkeypatch.setattr(language, "FLOOR", 30)
+    rows = [(k, "the with thorn ing" if k % 100 else "sch über keit und", "xx" if k % 100 == 0 else "en", "s", 0) for k in range(4000)]
+    model = language.train(documents(spark, rows))
+    assert model.langs == ("en", "xx") and model.predict("über keit")[0] == "xx" and model.predict("thorn")[0] == "en"
+    monkeypatch.setattr(language, "MOST_LANGS", 1)
+    assert language.train(documents(spark, rows)).langs == ("en",)
+
+
+def test_language_on_awkward_documents(spark):
+    docs = documents(spark).selectExpr("*", "1 as at", "2 as share", "3 as of", "4 as counts")
+    got = rows_of(language.predict(docs, language.train(docs)))
+    assert len(got) == len(awkward()) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (4, 5, 6, 17)} == {"und"}
+
+
 @pytest.mark.parametrize(
     "run",
     [exact_dedup.decide, exact_dedup.dedup, mixing.assign, mixing.mix, bpe.round_trip, bpe.encode, repeats.remove, simhash.near_duplicates, simhash.dedup, near.similar, near.dedup, secret_scan.scan, quality.features, lambda d: language.predict(d, language.train(d))],
@@ -430,6 +553,29 @@ def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+CLASHING = ("doc", "th", "pack", "runs", "spans", "start", "ids", "n", "key", "keys", "uid", "len", "dig", "w", "of", "fp", "root", "node", "label", "x", "size", "weight", "target", "taken", "bucket", "words", "share", "decoded", "n_tokens", "row", "at", "kept")
+
+
+@pytest.mark.parametrize(
+    ("run", "names"),
+    [(bpe.round_trip, ["doc_id", "n_tokens", "ids_sha256"]), (repeats.remove, ["doc_id", "n_removed", "kept"]), (secret_scan.scan, ["doc_id", "spans"]), (simhash.near_duplicates, ["doc_id", "fp", "component_id"]), (exact_dedup.decide, ["doc_id", "keep_id", "kept"]), (mixing.assign, ["doc_id", "taken", "ahead"]), (quality.features, ["doc_id", "x"])],
+)
+def test_columns_of_clashing_names_change_nothing(spark, run, names):
+    rows = [r for r in awkward() if len(r[1] or "") < 20_000]
+    plain = documents(spark, rows)
+    clashing = plain.selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(CLASHING)])
+    told = lambda df: Counter(map(str, df.select(*names).collect()))
+    assert told(run(clashing)) == told(run(plain))
+
+
+def test_chats_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (-7, 0, "user", "own"), (-7, 1, "assistant", "kept")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = plain.selectExpr("*", "1 as seq", "2 as state", "3 as loss", "4 as valid", "5 as n_turns", "6 as segment")
+    told = lambda df: Counter(map(str, chat.read_back(chat.format_chats(df)).collect()))
+    assert told(clashing) == told(plain)
+
+
 def test_empty_conversations_and_vectors(spark):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
