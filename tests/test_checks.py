@@ -50,7 +50,7 @@ def test_entry_points_without_the_training_data_part(monkeypatch):
 
     def refuse(name, *args, **kwargs):
         if name.startswith("corpus_pipeline") or name.startswith("framewright.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", refuse)
