@@ -1,7 +1,7 @@
 """Job events as streams: telemetry windows, idempotence, progress throttling, leases, scene boundaries.
 
-Each stateful operator keeps one small record per live key and gives it up on a terminal status or a timeout, so state is
-bounded by what is live. The same functions run on batch DataFrames where their batch twin is compared with them.
+Each stateful operator keeps one small record per key. With ``idle_ms`` it gives up the record of a key that has been silent so
+long, so state is bounded by what is live; Spark then never sees the stream as drained, so batch-like runs go without. The same functions run on batch DataFrames where their batch twin is compared with them.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ def once_per_job(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "status"])
 
 
+def timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
 PROGRESS = "job_id long, at double, stage string, message string, percent int"
 
 
@@ -74,7 +78,7 @@ def throttle(progress: DataFrame, every: float = 2.0, idle_ms: int | None = None
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PROGRESS.split(", ")])
 
-    return progress.groupBy("job_id").applyInPandasWithState(step, PROGRESS, "stage string, message string, last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return progress.groupBy("job_id").applyInPandasWithState(step, PROGRESS, "stage string, message string, last double", "append", timeout(idle_ms))
 
 
 LIFE = "job_id long, at double, kind string, attempt int"
@@ -115,30 +119,38 @@ def lease_rows(job: int, rows: Iterable, state: tuple | None, lease: float, most
     return out, (attempt, until, over)
 
 
-def lifecycle(events: DataFrame, lease: float = 3600.0, most: int = 3) -> DataFrame:
+def lifecycle(events: DataFrame, lease: float = 3600.0, most: int = 3, idle_ms: int | None = None) -> DataFrame:
     """Claims, refusals, retries and ends of a stream of job events (job_id, ts, status)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples(index=False)
         out, left = lease_rows(int(key[0]), rows, state.get if state.exists else None, lease, most)
         state.update(left)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in LIFE.split(", ")])
 
     timed = events.select("job_id", "event_id", "status", (F.unix_micros("ts") / 1e6).alias("at"))
-    return timed.groupBy("job_id").applyInPandasWithState(step, LIFE, "attempt int, until double, over boolean", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("job_id").applyInPandasWithState(step, LIFE, "attempt int, until double, over boolean", "append", timeout(idle_ms))
 
 
 SCENE_STATE = "scene int, start double, prior array<double>, reference array<double>"
 
 
-def scene_stream(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
+def scene_stream(frames: DataFrame, c: SceneLimits = SceneLimits(), idle_ms: int | None = None) -> DataFrame:
     """Scenes of frames as they come (video_id, frame_number, t, reasons, motion_pct, signature): a video's rows of one
     micro-batch are sorted, so the source must not deliver a frame behind one that it delivered before."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = SceneState()
         if state.exists:
             scene, start, prior, reference = state.get
@@ -150,10 +162,12 @@ def scene_stream(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame
             out.append((key[0], r.frame_number, scene, why))
         listed = lambda x: None if x is None else [float(v) for v in x]
         state.update((s.scene, s.start, listed(s.prior), listed(s.reference)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "frame_number", "scene_index", "boundary"])
 
     wanted = frames.select("video_id", "frame_number", "t", "reasons", "motion_pct", F.col("signature").cast("array<double>").alias("signature"))
-    return wanted.groupBy("video_id").applyInPandasWithState(step, "video_id long, frame_number long, scene_index int, boundary string", SCENE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return wanted.groupBy("video_id").applyInPandasWithState(step, "video_id long, frame_number long, scene_index int, boundary string", SCENE_STATE, "append", timeout(idle_ms))
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -169,14 +183,28 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert_latest(events: DataFrame, path: str, checkpoint: str):
-    """A sink that keeps the last state of each job: each micro-batch is merged with the table before it."""
+#: Parts of an upserted table; a micro-batch rewrites those that it touches.
+PARTS = 64
+
+
+def upsert_latest(events: DataFrame, path: str, checkpoint: str, parts: int = PARTS):
+    """A sink that keeps the last state of each job in a table of ``parts`` partitions. A micro-batch merges its jobs into
+    the partitions that they are in, by way of a staging folder, and replaces those; the merge is a maximum, so one that
+    is repeated after a failure changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status", "amount")).alias("s"))
-        if number:
-            fresh = fresh.unionByName(spark.read.parquet(f"{path}/v{number - 1}")).groupBy("job_id").agg(F.max("s").alias("s"))
-        fresh.write.mode("overwrite").parquet(f"{path}/v{number}")
+        part = F.pmod(F.xxhash64("job_id"), F.lit(parts)).cast("int")
+        fresh = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status", "amount")).alias("s")).withColumn("part", part)
+        touched = [r.part for r in fresh.select("part").distinct().collect()]  # ``parts`` at most
+        if not touched:
+            return
+        known = spark.read.schema(fresh.schema).option("ignoreMissingFiles", True).parquet(path).filter(F.col("part").isin(touched)) if number else fresh.limit(0)
+        merged = fresh.unionByName(known).groupBy("job_id", "part").agg(F.max("s").alias("s"))
+        staged = scratch(spark, "upsert")
+        merged.write.parquet(staged)
+        spark.read.schema(merged.schema).parquet(staged).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        gone = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

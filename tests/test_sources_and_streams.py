@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 import numpy as np
@@ -115,10 +116,22 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert once.groupBy("job_id", "status").count().count() == events.select("job_id", "status").distinct().count()
     out = str(tmp_path / "state")
     streams.upsert_latest(streams.event_stream(spark, SF), out, str(tmp_path / "ck")).awaitTermination()
-    last = spark.read.parquet(f"{out}/v0").select("job_id", F.col("s.event_id").alias("event_id"))
+    last = spark.read.parquet(out).select("job_id", F.col("s.event_id").alias("event_id"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, jobs.latest_state(events).select("job_id", "event_id").collect()))
 
 
+def test_upsert_replaces_the_parts_that_a_batch_touches(spark, tmp_path):
+    schema = "event_id long, job_id long, ts timestamp, status string, amount double"
+    rows = [(k, k % 7, datetime(2024, 1, 1) + timedelta(minutes=k), "PROGRESS" if k % 5 else "FAILED", float(k)) for k in range(60)]
+    for n in range(3):
+        part = rows[n * 20 : n * 20 + 20] if n else [r for r in rows[:20] if r[1] != 6]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    streams.upsert_latest(source, str(tmp_path / "state"), str(tmp_path / "ck"), parts=4).awaitTermination()
+    got = {r.job_id: (r.s.event_id, r.s.status) for r in spark.read.parquet(str(tmp_path / "state")).collect()}
+    assert got == {j: max((r[0], r[3]) for r in rows if r[1] == j) for j in range(7)}
+
+
 def test_scene_stream_agrees_with_batch(spark, tmp_path):
     full = scenes.signed(view(spark, SF, "frames"), spark.read.parquet(f"{SF}/embeddings.parquet")).select("video_id", "frame_number", "t", "reasons", "motion_pct", F.col("signature").cast("array<double>").alias("signature"))
     for n in range(3):
