@@ -66,15 +66,20 @@ _SIDES = "a AS (SELECT workload_id, avg(wall_clock_seconds) AS va FROM runs WHER
 register("j15_run_equivalence", "runs", equivalence, f"WITH {_SIDES} SELECT count(*) AS positions, count(*) FILTER (WHERE NOT same) AS different, count(*) FILTER (WHERE va IS NULL OR vb IS NULL) AS one_sided, bool_and(same) AS equivalent FROM j")
 
 
-def invariants(runs: DataFrame) -> DataFrame:
-    """Expected against actual counts per environment and phase, matched exactly; missing fields are a drift."""
+def invariants(runs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Runs that there are against those that the plan (environment, phase, expected) asks for, matched exactly; a field
+    that is on one side only is a drift too."""
     actual = runs.groupBy("environment", "phase").agg(F.count(F.lit(1)).alias("actual"))
-    expected = runs.filter("success").groupBy("environment", "phase").agg(F.count(F.lit(1)).alias("expected"))
-    joined = actual.join(expected, ["environment", "phase"], "full_outer")
-    return joined.select("environment", "phase", (F.coalesce("actual", F.lit(0)) - F.coalesce("expected", F.lit(0))).alias("drift"))
+    joined = actual.join(plan, ["environment", "phase"], "full_outer")
+    state = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "unplanned").when(F.col("actual") == F.col("expected"), "equal").otherwise("drift")
+    return joined.select("environment", "phase", (F.coalesce("actual", F.lit(0)) - F.coalesce("expected", F.lit(0))).alias("drift"), state.alias("state"))
 
 
-register("j16_invariants", "runs", invariants, "SELECT environment, phase, count(*) - count(*) FILTER (WHERE success) AS drift FROM runs GROUP BY environment, phase")
+register(
+    "j16_invariants", "runs run_plan", invariants,
+    """WITH s AS (SELECT environment, phase, 1 AS n, 1 AS a, 0 AS p FROM runs UNION ALL SELECT environment, phase, -expected, 0, 1 FROM run_plan)
+SELECT environment, phase, CAST(sum(n) AS BIGINT) AS drift, CASE WHEN sum(a) = 0 THEN 'missing' WHEN sum(p) = 0 THEN 'unplanned' WHEN sum(n) = 0 THEN 'equal' ELSE 'drift' END AS state FROM s GROUP BY environment, phase""",
+)
 _METRICS = ("wall_clock_seconds", "frames_per_second")
 
 

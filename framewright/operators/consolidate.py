@@ -105,6 +105,9 @@ register("f02_centre_distance", "findings", lambda f: near_pairs(f).select("find
 register("f04_text_similarity", "findings", lambda f: near_pairs(f).select("finding_id", "r_finding_id", r6(jaccard(tokens(F.col("description")), tokens(F.col("r_description")))).alias("similarity")), f"WITH {_NEAR} SELECT finding_id, r_finding_id, R6({_TEXT}) AS similarity FROM near")
 
 
+register("f04_semantic_similarity", "findings", lambda f: compare_findings(f).select("finding_id", "r_finding_id", r6(F.col("text")).alias("text"), r6(F.col("score")).alias("score"), "merge"))
+
+
 def islands(findings: DataFrame, gap: float = 12.0) -> DataFrame:
     """Numbers the runs of findings of one video, room and category without a gap over ``gap`` seconds. Findings that can
     merge are always in one island, so islands can be resolved apart from each other, in parallel."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ex, r6
@@ -197,3 +197,46 @@ register(
     "f07_change_reason", "frames", lambda f: f.withColumn("elapsed", F.col("t") - F.lag("t", 3).over(Window.partitionBy("video_id").orderBy("frame_number"))).filter("elapsed is not null").select("video_id", "frame_number", ex(_CHANGE).alias("reason")),
     f"WITH e AS (SELECT *, t - lag(t, 3) OVER (PARTITION BY video_id ORDER BY frame_number) AS elapsed FROM frames) SELECT video_id, frame_number, {_CHANGE} AS reason FROM e WHERE elapsed IS NOT NULL",
 )
+
+
+def correlation(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Two signatures less their means, and their correlation (of these as ``__a`` and ``__b``) clamped to 0..1, as
+    expressions; 1 without one of them or without variation."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    centred = lambda x: F.transform(x, lambda v: v.cast("double") - total(F.transform(x, lambda w: w.cast("double"))) / F.size(x))
+    dot = lambda x, y: total(F.zip_with(x, y, lambda v, w: v * w))
+    spread = F.sqrt(dot(F.col("__a"), F.col("__a")) * dot(F.col("__b"), F.col("__b")))
+    told = F.when(spread == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("__a"), F.col("__b")) / spread)))
+    return centred(a), centred(b), F.when(F.col("__a").isNull() | F.col("__b").isNull(), 1.0).otherwise(told)
+
+
+def correlated(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    x, y, value = correlation(F.col(a), F.col(b))
+    return df.withColumn("__a", x).withColumn("__b", y).withColumn(name, r6(value)).drop("__a", "__b")
+
+
+_STILL = "(CASE WHEN motion_pct IS NULL THEN 1.0 ELSE greatest(0.0, 1.0 - motion_pct / 24.0) END)"
+COMBINED = f"(0.9 * (0.6 * prior + 0.4 * reference) + 0.1 * {_STILL})"
+CHANGE = f"""CASE WHEN elapsed >= 30.0 THEN 'maximum_scene_duration' WHEN elapsed < 4.0 AND {COMBINED} < 0.55 THEN 'suppressed_by_minimum_scene_duration' WHEN elapsed < 4.0 THEN 'similar_scene'
+  WHEN greatest(prior, reference) < 0.6 AND {COMBINED} < 0.55 THEN 'hsv_drop_features_unavailable' WHEN reference < 0.495 AND prior < 0.5775 THEN 'scene_reference_divergence'
+  WHEN reference < 0.495 AND prior >= 0.6875 THEN 'stable_view_differs_from_scene_reference' WHEN motion_pct >= 12.0 AND {COMBINED} < 0.55 THEN 'visual_drop_with_camera_motion' ELSE 'similar_scene' END"""
+
+
+def change_scores(frames: DataFrame) -> DataFrame:
+    """The fused similarity and the reason for each frame against the one before it and the video's first, as if the scene
+    had begun three frames ago. ``frames``: video_id, frame_number, t, motion_pct, signature."""
+    w = Window.partitionBy("video_id").orderBy("frame_number")
+    seen = frames.select("video_id", "frame_number", "t", "motion_pct", "signature", F.lag("signature").over(w).alias("before"), F.first("signature").over(w).alias("opening"), (F.col("t") - F.lag("t", 3).over(w)).alias("elapsed"))
+    both = correlated(correlated(seen.filter("elapsed is not null"), "before", "signature", "prior"), "opening", "signature", "reference")
+    return both.withColumns({"combined": ex(COMBINED), "reason": ex(CHANGE)})
+
+
+_CENTRED = "[CAST(v AS DOUBLE) - list_sum([CAST(w AS DOUBLE) for w in {x}]) / len({x}) for v in {x}]"
+_CORR = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN 1.0 WHEN sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})) = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})))) END"
+register(
+    "f07_change_score", "frames embeddings", lambda f, e: change_scores(signed(f, e)).select("video_id", "frame_number", "prior", "reference", r6(F.col("combined")).alias("combined"), "reason"),
+    f"""WITH s AS (SELECT video_id, frame_number, t, motion_pct, {_CENTRED.format(x="embedding")} AS c FROM frames LEFT JOIN embeddings ON vec_id = signature_id),
+w AS (SELECT *, lag(c) OVER v AS b, first_value(c) OVER v AS o, t - lag(t, 3) OVER v AS elapsed FROM s WINDOW v AS (PARTITION BY video_id ORDER BY frame_number)),
+k AS (SELECT video_id, frame_number, motion_pct, elapsed, R6({_CORR.format(a="b", b="c")}) AS prior, R6({_CORR.format(a="o", b="c")}) AS reference FROM w WHERE elapsed IS NOT NULL)
+SELECT video_id, frame_number, prior, reference, R6({COMBINED}) AS combined, {CHANGE} AS reason FROM k""",
+)

@@ -67,6 +67,7 @@ FROM frames WHERE event_id % 11 = 0""",
         """SELECT l_linestatus AS environment, l_partkey AS workload_id, CASE WHEN l_linenumber = 1 THEN 'warmup' ELSE 'measured' END AS phase,
   l_returnflag <> 'A' AS success, l_extendedprice / 100e0 AS wall_clock_seconds, l_quantity AS frames_per_second FROM lineitem""",
     ),
+    "run_plan": ((), "SELECT o_orderstatus AS environment, CASE WHEN o_custkey % 7 = 0 THEN 'warmup' ELSE 'measured' END AS phase, count(*) AS expected FROM orders GROUP BY 1, 2"),
     "grid_cells": (
         (),
         (
