@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
@@ -76,24 +78,40 @@ class SceneState:
         return self.scene, reason if change else ""
 
 
-def segment(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
-    """video_id, frame_number, scene_index, boundary (the reason, where a scene begins) of each frame of ``frames``
-    (video_id, frame_number, t, reasons, motion_pct, signature). Each video's frames pass through one task in order; the
-    state is constant in size, so a video of any length can be segmented."""
+def arrays(column: pa.Array) -> list[np.ndarray | None]:
+    """The lists of an array column as slices of one array."""
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    here = column.is_valid().to_pylist()
+    return [flat[s:e] if ok else None for ok, s, e in zip(here, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def segmented(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
+    """scene_index and boundary (the reason, where a scene begins) beside the columns of ``frames`` (video_id, frame_number,
+    t, reasons, motion_pct, signature). Each video's frames pass through one task in order; the state is constant in size,
+    so a video of any length can be segmented, and the columns pass along, so nothing has to be joined again."""
+    names = [*frames.columns, "scene_index", "boundary"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, SceneState()
         for batch in batches:
-            out = []
-            for v, n, t, reasons, motion, s in batch[["video_id", "frame_number", "t", "reasons", "motion_pct", "signature"]].itertuples(index=False):
+            videos, times, reasons, motions = (batch.column(k).to_pylist() for k in ("video_id", "t", "reasons", "motion_pct"))
+            scenes, why = [], []
+            for v, t, r, motion, signature in zip(videos, times, reasons, motions, arrays(batch.column("signature")), strict=True):
                 if v != video:
                     video, state = v, SceneState()
-                signature = None if s is None else np.asarray(s, float)
-                out.append((v, n, *state.step(t, signature, bool(reasons), None if motion != motion else motion, c)))
-            yield pd.DataFrame(out, columns=["video_id", "frame_number", "scene_index", "boundary"])
+                scene, reason = state.step(t, signature, bool(r), motion, c)
+                scenes.append(scene)
+                why.append(reason)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scenes, pa.int32()), pa.array(why, pa.string())], names=names)
 
+    schema = StructType([*frames.schema.fields, StructField("scene_index", IntegerType()), StructField("boundary", StringType())])
+    return frames.repartition("video_id").sortWithinPartitions("video_id", "t", "frame_number").mapInArrow(run, schema)
+
+
+def segment(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
+    """video_id, frame_number, scene_index, boundary of each frame of ``frames``: see :func:`segmented`."""
     wanted = frames.select("video_id", "frame_number", "t", "reasons", "motion_pct", "signature")
-    return wanted.repartition("video_id").sortWithinPartitions("video_id", "t", "frame_number").mapInPandas(run, "video_id long, frame_number long, scene_index int, boundary string")
+    return segmented(wanted, c).select("video_id", "frame_number", "scene_index", "boundary")
 
 
 def unsigned(frames: DataFrame) -> DataFrame:
@@ -102,8 +120,8 @@ def unsigned(frames: DataFrame) -> DataFrame:
 
 
 def with_scenes(frames: DataFrame) -> DataFrame:
-    scored = score_frames(frames)
-    return scored.join(segment(unsigned(frames)).select("video_id", "frame_number", "scene_index"), ["video_id", "frame_number"])
+    """Scored frames with their scenes, by duration alone."""
+    return segmented(unsigned(frames)).drop("signature", "boundary")
 
 
 def signed(frames: DataFrame, embeddings: DataFrame) -> DataFrame:
