@@ -233,9 +233,12 @@ def suppress(findings: DataFrame, gap: float = 5.0, overlap: float = 0.3) -> Dat
 
     def keep(rows: list) -> list[tuple]:
         kept: list = []
+        near: dict[int, list] = {}  # those kept, by time in steps of the gap
         for row in sorted(rows, key=lambda r: (-r.confidence, r.finding_id)):
-            if not any(abs(row.ts_s - k.ts_s) <= gap and box_overlap(row, k) >= overlap for k in kept):
+            step = int(row.ts_s // gap)
+            if not any(abs(row.ts_s - k.ts_s) <= gap and box_overlap(row, k) >= overlap for s in (step - 1, step, step + 1) for k in near.get(s, ())):
                 kept.append(row)
+                near.setdefault(step, []).append(row)
         return [(k.finding_id,) for k in kept]
 
     w = Window.partitionBy("video_id", "category").orderBy("ts_s", "finding_id")
