@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -58,6 +58,43 @@ def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -
     _tables[since:] = [p for p in _tables[since:] if p.rsplit("/", 1)[-1] in kept]
 
 
+#: Bits of the map that stands for a list of rows (8 MB in all), those of one of Spark's bitmaps, and of an entry cut from it.
+MAP_BITS, BITMAP_BITS, ENTRY_BITS = 1 << 26, 1 << 15, 1 << 9
+
+
+def row_key(doc_id: Column, th: Column) -> Column:
+    """Names the rows that have this id and this hash of the text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), th.cast("string"))
+
+
+def parted(docs: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, text) that surely aren't in ``listed`` (__key: see :func:`row_key`; written), and those
+    that may be, with their ``__own`` key. What is broadcast is a bit map of fixed size, so the texts of nearly all other
+    rows never travel; the longer the list, the fuller the map, and in the end all rows go the second way."""
+    place = F.pmod(F.xxhash64("__key"), F.lit(MAP_BITS))
+    maps = listed.select(place.alias("p")).groupBy(F.floor(F.col("p") / BITMAP_BITS).alias("m")).agg(F.bitmap_construct_agg(F.col("p") % BITMAP_BITS).alias("bits"))
+    cut = maps.select("m", "bits", F.explode(F.sequence(F.lit(0), F.lit(BITMAP_BITS // ENTRY_BITS - 1))).alias("i"))
+    bits = cut.select((F.col("m") * (BITMAP_BITS // ENTRY_BITS) + F.col("i")).alias("__entry"), F.substring("bits", F.col("i") * (ENTRY_BITS // 8) + 1, F.lit(ENTRY_BITS // 8)).alias("__bits")).filter(F.col("__bits") != F.lit(bytes(ENTRY_BITS // 8)))  # 131,072 rows at most
+    own = docs.withColumn("__own", row_key(F.col("doc_id"), F.xxhash64("text"))).withColumn("__p", F.pmod(F.xxhash64("__own"), F.lit(MAP_BITS)))
+    at = F.col("__p") % ENTRY_BITS
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = own.join(F.broadcast(bits), F.floor(F.col("__p") / ENTRY_BITS) == F.col("__entry"), "left").withColumn("__hit", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return told.filter("not __hit").select(*kept), told.filter("__hit").select(*kept, "__own")
+
+
+def staying(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (doc_id, th: a hash of the text, stays, n: rows that have both) lets stay, one
+    of those that repeat id and text. Only rows that go or are repeated, and the few that share their bits, are shuffled."""
+    listed = written(judged.filter("not stays or n > 1").select(row_key(F.col("doc_id"), F.col("th")).alias("__key"), F.col("stays").alias("__stays")), "marks")
+    others, hit = parted(docs, listed)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    # the same join at every size: it brings a mark to a row that has one
+    met = hit.join(listed.hint("merge"), F.col("__own") == F.col("__key"), "left")
+    first = met.filter("__stays").withColumn("__n", F.row_number().over(Window.partitionBy("__own").orderBy(F.lit(1)))).filter("__n = 1")
+    return others.unionByName(met.filter("__key is null").select(*kept)).unionByName(first.select(*kept))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

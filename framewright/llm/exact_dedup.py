@@ -15,10 +15,10 @@ An empty table gives an empty result; other columns are ignored by :func:`decide
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, frequent, read_table, written
+from .common import WHITE, frequent, read_table, staying, written
 
 #: Most digests that are treated as heavy, and counters of the summary: a digest of over 1 in 2,000 rows is always found.
 MAX_HEAVY, COUNTERS = 1000, 10_000
@@ -37,12 +37,13 @@ def digest(text: Column) -> Column:
 
 
 def decide(docs: DataFrame, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs`` (doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, text_sha256, th (a hash of the text) for each row of ``docs`` (doc_id, text)."""
     rows = written(
         docs.select(
             "doc_id",
             digest(F.col("text")).alias("dig"),
             F.char_length(F.coalesce("text", F.lit(""))).alias("len"),
+            F.xxhash64("text").alias("th"),
             F.monotonically_increasing_id().alias("uid"),
         ),
         "digests",
@@ -53,7 +54,7 @@ def decide(docs: DataFrame, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS
         rows.join(F.broadcast(candidates), "dig", "left_semi").groupBy("dig").agg(F.min(F.struct(*order)).alias("w"), F.count(F.lit(1)).alias("group_size")),
         "winners",
     ).select("dig", "group_size", F.col("w.doc_id").alias("keep_id"), F.col("w.uid").alias("keep_uid"))
-    heavy = rows.join(F.broadcast(winners), "dig").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("dig").alias("text_sha256"))
+    heavy = rows.join(F.broadcast(winners), "dig").select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("dig").alias("text_sha256"), "th")
     rest = rows.join(F.broadcast(winners), "dig", "left_anti")
     several = written(rest.groupBy("dig").agg(F.min(F.struct(*order)).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
     light = rest.join(several.withColumnRenamed("dig", "of"), F.col("dig") == F.col("of"), "left").select(
@@ -62,26 +63,18 @@ def decide(docs: DataFrame, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS
         F.coalesce("n", F.lit(1)).alias("group_size"),
         (F.col("n").isNull() | (F.col("uid") == F.col("w.uid"))).alias("kept"),
         F.col("dig").alias("text_sha256"),
+        "th",
     )
     return heavy.unionByName(light)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only the list of rows that go, or that repeat both the id and
-    the digest, meets the texts."""
-    key = lambda i, dig: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), dig)
-    judged = decide(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1")
-    marks = written(judged.select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"), F.col("stays").alias("__stays")), "marks")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__own", key(F.col("doc_id"), digest(F.col("text")))).join(marks, F.col("__own") == F.col("__key"), "left")
-    # rows that repeat both the id and the digest: the longest of them is the one that was decided to stay
-    first = F.row_number().over(Window.partitionBy("__own").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc()))
-    one = marked.filter("__stays").withColumn("__n", first).filter("__n = 1")
-    return marked.filter("__key is null").select(*kept).unionByName(one.select(*kept))
+    """The rows of ``docs`` that stay, with all their columns."""
+    return staying(docs, decide(docs).groupBy("doc_id", "th").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide(read_table(spark, sf_dir, "documents"))
+    return decide(read_table(spark, sf_dir, "documents")).drop("th")
 
 
 ORACLE = r"""

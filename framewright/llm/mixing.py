@@ -39,9 +39,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, text: Column) -> Column:
-    """A fixed pseudo-random order of documents, the same on each run; only rows that repeat id and text share a key."""
-    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+def order_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """A fixed pseudo-random order of documents, the same on each run; only rows that repeat id, source and text share a key."""
+    named = F.coalesce(F.concat(F.lit("+"), source), F.lit("-"))
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), named).cast("binary"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def assign(docs: DataFrame) -> DataFrame:
 
     A source's whole passes take every document; the last, partial pass takes documents in the fixed order until the
     target (rounded down) is met, the last of them in part."""
-    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("key")), "sized")
+    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")), "sized")
     n = sized.count()
     digits = max(1, round(math.log(max(n, 1), 16) / 2))  # hexadecimal digits: about the square root of n buckets
     placed = sized.withColumn("bucket", F.substring("key", 1, digits))
@@ -125,15 +126,14 @@ def mix(docs: DataFrame) -> DataFrame:
     """The training sequence: each copy that the mix takes of a row of ``docs``, with that row's columns, range-sorted by
     position. A copy that is taken in part is there as a whole; rows that the mix doesn't take are not there.
 
-    Rows find their plan by key; those that repeat id and text stand one after another from the smallest ``ahead`` on."""
+    Rows find their plan by key; those that share one stand one after another from the smallest ``ahead`` on."""
     plan = written(
-        assign(docs).groupBy(F.col("key").alias("__key"), F.col("source").alias("__src")).agg(F.min("ahead").alias("first"), *[F.first(c).alias(c) for c in ("size", "source_size", "weight", "target")]).select("__key", F.struct("__src", "first", "size", "source_size", "weight", "target").alias("__plan")),
+        assign(docs).groupBy(F.col("key").alias("__key")).agg(F.min("ahead").alias("first"), *[F.first(c).alias(c) for c in ("size", "source_size", "weight", "target")]).select("__key", F.struct("first", "size", "source_size", "weight", "target").alias("__plan")),
         "mixed",
     )
-    keyed = docs.withColumn("__own", order_key(F.col("doc_id"), F.col("text")))
-    repeat = F.row_number().over(Window.partitionBy("__own").orderBy(F.col("source").asc_nulls_last())) - F.lit(1)
-    inside = F.rank().over(Window.partitionBy("__own").orderBy(F.col("source").asc_nulls_last())) - F.lit(1)
-    placed = keyed.withColumn("__repeat", repeat - inside).join(plan, (F.col("__own") == F.col("__key")) & F.col("source").eqNullSafe(F.col("__plan.__src")))
+    # partitioned by key once: for the numbers of rows that share one, and for the join
+    numbered = docs.withColumn("__own", order_key(F.col("doc_id"), F.col("source"), F.col("text"))).withColumn("__repeat", F.row_number().over(Window.partitionBy("__own").orderBy(F.lit(1))) - 1)
+    placed = numbered.join(plan.hint("merge"), F.col("__own") == F.col("__key"))
     kept = [F.col(f"`{c}`") for c in docs.columns]
     one = placed.select(F.struct(*kept).alias("row"), "__own", "__plan.size", "__plan.source_size", "__plan.weight", "__plan.target", (F.col("__plan.first") + F.col("__repeat") * F.col("__plan.size")).alias("ahead"))
     copies = one.withColumn("taken", taken()).filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times() - 1)))
@@ -156,7 +156,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':' || coalesce('+' || source, '-')) AS k FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
 ), l AS (

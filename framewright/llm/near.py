@@ -6,8 +6,9 @@ what they can: they discard candidates before the exact comparison.
 
 1. One pass makes for each text its fingerprint and ``BANDS`` keys, each from ``ROWS`` smallest mixed shingle hashes. A pair
    of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8, more above.
-2. Texts that share a key form a block. Blocks go to tasks in groups of about ``GROUP`` rows: those of a larger block are
-   dealt out at random, and ``ANCHORS`` rows of it go to all its groups, so that its copies hang together.
+2. Texts that share a key form a block. Blocks go to tasks in groups of about ``GROUP`` rows and ``GROUP_SHINGLES`` shingles
+   (8 MB): the rows of a larger block are dealt out at random, and ``ANCHORS`` rows of it go to all its groups, so that its
+   copies hang together.
 3. In a group, pairs of rows that aren't connected yet are tried: pairs whose distances to the pivots or whose fingerprints
    differ by over ``BITS``, or whose sizes rule the similarity out, are discarded; the shingles of the others are compared.
 4. A first round takes the first ``EARLY`` bands. Then only blocks that hold several components are left. Their rows are
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import parted, row_key, small_batches, written
 from .graph import components
 from .simhash import REFERENCES, first_of_each, majority, shingle_hashes
 
@@ -36,7 +37,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS, EARLY = 16, 4, 4
 #: Differing bits at which a pair is discarded: five deviations above what a similarity of 0.8 gives.
 BITS = 25
-GROUP, ANCHORS = 1024, 16
+GROUP, GROUP_SHINGLES, ANCHORS = 1024, 1 << 20, 16
 _KEYS = np.random.default_rng(88).integers(0, 2**64, (3, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
@@ -50,8 +51,10 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     """One key for each band, from the smallest mixed hashes of a set of shingles."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
-        for i in range(0, len(own), 8192):
-            least = np.minimum(least, ((own[i : i + 8192, None] ^ _KEYS[0]) * _KEYS[1]).min(0))
+        for i in range(0, len(own), 1024):
+            mixed = own[i : i + 1024, None] ^ _KEYS[0]
+            mixed *= _KEYS[1]
+            least = np.minimum(least, mixed.min(0))
         rows = (least * _KEYS[2]).reshape(BANDS, ROWS)
         keys = np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
@@ -60,20 +63,22 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, th (a hash of the text), fp, keys of each row of ``docs`` (doc_id, text)."""
+    """doc_id, th (a hash of the text), fp, size (of the set of shingles), keys of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            fps, keys = [], []
+            fps, sizes, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 parts = list(shingle_hashes((text or "").encode(), words))
                 fps.append(majority(parts))
-                keys.append(band_keys(np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)))
+                own = np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+                sizes.append(len(own))
+                keys.append(band_keys(own))
             flat = np.concatenate(keys).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["doc_id", "th", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "th", "fp", "size", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, size long, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -161,7 +166,7 @@ def dealt(number, group: int):
 
 
 def first_links(members: DataFrame, sets: DataFrame, least: float, bits: int, group: int) -> DataFrame:
-    """Links within the groups of ``members`` (key, node, n), all rows of a group with all others."""
+    """Links within the groups of ``members`` (key, node, n: the block's weight), all rows of a group with all others."""
     zero = F.lit(0).cast("long")
     spread = members.withColumn("sub", F.pmod(F.xxhash64("node"), dealt(F.col("n"), group)))
     large = members.filter(F.col("n") > group).withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(5)))))
@@ -172,12 +177,12 @@ def first_links(members: DataFrame, sets: DataFrame, least: float, bits: int, gr
 
 
 def later_links(members: DataFrame, sets: DataFrame, least: float, bits: int, group: int) -> DataFrame:
-    """Links across the components (``label``) of the blocks of ``members`` (key, node, n, label), which have several."""
+    """Links across the components (``label``) of the blocks of ``members`` (key, node, size, n, label), which have several."""
     zero = F.lit(0).cast("long")
     small = members.filter(F.col("n") <= group).select("key", zero.alias("sub"), zero.alias("chunk"), "node", "label", F.lit(2).alias("visits"))
     large = members.filter(F.col("n") > group)
-    counts = large.groupBy("key", "label", "n").agg(F.count(F.lit(1)).alias("rows"))
-    main = counts.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), (F.max("n") - F.max("rows")).alias("others"))
+    counts = large.groupBy("key", "label").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") * group / GROUP_SHINGLES)).cast("long").alias("rows"))
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), (F.sum("rows") - F.max("rows")).alias("others"))
     large = large.join(written(main, "main"), "key").withColumns({"subs": dealt(F.col("n"), group), "chunks": dealt(F.col("others"), group)})
     stay = large.withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs"))).withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1))).withColumn("visits", F.lit(0))
     visit = large.filter("label <> main").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks"))).withColumn("sub", F.explode(F.sequence(zero, F.col("subs") - 1))).withColumn("visits", F.lit(1))
@@ -188,16 +193,19 @@ def later_links(members: DataFrame, sets: DataFrame, least: float, bits: int, gr
 
 def similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """doc_id, th, n (how many rows repeat both), root (the same for all rows of a component) of ``docs`` (doc_id, text)."""
-    once = sketches(docs, words).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    once = sketches(docs, words).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    blocks = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(written(blocks, "blocks"), "key").select("key", "band", "node", "n"), "members")
-    wanted = written(members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "fp"), "node"), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))).select("node", "fp", "text")
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    # the weight of a block: its rows, or what its shingles count for in rows
+    weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("size") * group / GROUP_SHINGLES)).cast("long")
+    blocks = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), weight.alias("n")).filter("rows > 1").drop("rows")
+    members = written(keyed.join(written(blocks, "blocks"), "key").select("key", "band", "node", "size", "n"), "members")
+    wanted = written(members.select("node").distinct().join(nodes.select("node", row_key(F.col("doc_id"), F.col("th")).alias("__key"), "fp"), "node"), "wanted")
+    _, hit = parted(docs.select("doc_id", "text"), wanted)
+    texts = hit.join(wanted.hint("merge"), F.col("__own") == F.col("__key")).select("node", "fp", "text")
     sets = written(shingle_sets(texts, words).groupBy("node").agg(F.first("fp").alias("fp"), F.first("own").alias("own")), "shingles")
     early = components(first_links(members.filter(F.col("band") < EARLY), sets, least, bits, group))
-    labelled = written(members.join(early.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("label")), "labelled")
+    labelled = written(members.join(early.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("label")), "labelled")
     mixed = written(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key"), "mixed_blocks")
     late = components(later_links(labelled.join(mixed, "key"), sets, least, bits, group))
     first = nodes.select("node", "doc_id", "th", "rows").join(early.select(F.col("node").alias("of"), F.col("root").alias("label")), F.col("node") == F.col("of"), "left").select("doc_id", "th", "rows", F.coalesce("label", "node").alias("label"))

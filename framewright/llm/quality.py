@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,9 +165,10 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__id"), "left_semi")
     model = train(features(rows), labels)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(vectors(texts)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model.score(vectors(texts.slice(i, 512).to_pylist())) for i in range(0, len(texts), 512)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.filter(score(F.col("text")) >= threshold)
 

@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, written
+from .common import read_table, small_batches, staying, written
 from .graph import components
 
 WORDS, MOST_BITS, SEED = 3, 2, 42
@@ -213,18 +213,11 @@ def dedup(docs: DataFrame, words: int = WORDS, most: int = MOST_BITS) -> DataFra
 
 def first_of_each(docs: DataFrame, classed: DataFrame) -> DataFrame:
     """One row of each class of ``docs``, the one with the smallest doc_id, with all its columns. ``classed``: doc_id, th (a
-    hash of the text), root and n, the number of rows that repeat both. Only the list of rows that go, or that are repeated,
-    meets the texts."""
-    key = lambda i, th: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), th.cast("string"))
+    hash of the text), root and n, the number of rows that repeat both."""
     rows = written(classed, "rows")
-    stay = rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("s"))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    judged = rows.join(stay, F.col("root") == F.col("of")).withColumn("stays", own.eqNullSafe(F.col("s")))
-    marks = written(judged.filter("not stays or n > 1").select(key(F.col("doc_id"), F.col("th")).alias("__key"), F.col("stays").alias("__stays")), "marks")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__own", key(F.col("doc_id"), F.xxhash64("text"))).join(marks, F.col("__own") == F.col("__key"), "left")
-    one = marked.filter("__stays").withColumn("__n", F.row_number().over(Window.partitionBy("__own").orderBy(F.lit(1)))).filter("__n = 1")
-    return marked.filter("__key is null").select(*kept).unionByName(one.select(*kept))
+    stay = rows.groupBy(F.col("root").alias("of")).agg(F.min(own).alias("s"))
+    return staying(docs, rows.join(stay, F.col("root") == F.col("of")).withColumn("stays", own.eqNullSafe(F.col("s"))))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

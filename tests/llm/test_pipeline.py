@@ -67,7 +67,7 @@ def mixed(rows):
     for s in names:
         ahead, whole = 0, int(target[s])
         passes = whole // total[s]
-        own = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest(), r["doc_id"]))
+        own = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}:+{r['source']}".encode()).hexdigest(), r["doc_id"]))
         for r in own:
             n = size[id(r)]
             taken = passes * n + max(0, min(n, whole - passes * total[s] - ahead))
