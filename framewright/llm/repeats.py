@@ -14,7 +14,9 @@ A window is a string of ``LENGTH`` bytes. The work is split so that equal window
    symbol of every string, from the right, at the place given by its rank, and updates the common prefixes there. After
    the last round the suffixes that share LENGTH symbols stand together; all but the first window of each are repeats.
    Spark's sorted shuffle files play the part of the sequential external files: a chunk is read once, in order.
-4. The repeated windows of each document are laid over its bytes.
+4. An anchor at which more than ``HEAVY`` different fragments meet isn't built in one task: its windows meet one by one,
+   by hash, as plain rows; the first of equal ones is found with map-side aggregation, and a join tells the others.
+5. The repeated windows of each document are laid over its bytes.
 
 Order of windows: doc_id (null first), then a hash of the text (for rows that repeat an id), then the start. Defined
 results: null texts are empty; texts of fewer than LENGTH bytes stay as they are; rows that repeat both id and text are
@@ -39,8 +41,8 @@ SPAN = LENGTH - GRAM + 1
 PIECE_BITS = 22
 PIECE = 1 << PIECE_BITS
 FREQUENT, COUNTERS = 2000, 20_000
-#: Fragments of a chunk (more only if one anchor has more).
-CHUNK = 8192
+#: Fragments of a chunk, and of one anchor at most, so that a chunk has no more than both together.
+CHUNK, HEAVY = 8192, 32_768
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SYMBOLS = np.random.default_rng(97).integers(0, 2**64, 256, np.uint64)
 FIRST = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -383,6 +385,39 @@ def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "ah long, fh long, doc long, th long, pack long, part binary")
 
 
+def crowded(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """doc, th, pack: the repeated windows of the fragments of ``first`` (ah, doc, th, pack), one row each. Windows are equal
+    if the anchor's and the window's own hash agree."""
+    lists = first.groupBy("doc", "th").agg(F.collect_list(F.struct("ah", "pack")).alias("parts"))
+    joined = keyed(docs).join(lists.hint("shuffle_hash"), ["doc", "th"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hasher()
+        for batch in small_batches(batches, "text"):
+            offsets, data = utf8(batch.column("text"))
+            parts = batch.column("parts")
+            flat = parts.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
+            ah, pack = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
+            for s in range(0, len(ah), PIECE // (2 * LENGTH)):  # as many fragments as a piece holds, at two lengths each at most
+                own = slice(s, s + PIECE // (2 * LENGTH))
+                count, at = pack[own] & 127, (pack[own] >> 7) & ((1 << 36) - 1)
+                size = count - 1 + LENGTH
+                bounds = np.concatenate([[0], np.cumsum(size)])
+                joint = data[np.repeat(offsets[row[own]] + at - bounds[:-1], size) + np.arange(bounds[-1])]
+                of = np.repeat(np.arange(len(count)), count)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                begin = bounds[:-1][of] + step
+                wh = h.of(h.prefix(joint), begin, begin + LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(ah[own][of]), pa.array(wh.view(np.int64)), pa.array(doc[own][of]), pa.array(th[own][of]), pa.array((at[of] + step) << 7 | 1)], names=["ah", "wh", "doc", "th", "pack"])
+
+    windows = written(joined.mapInArrow(run, "ah long, wh long, doc long, th long, pack long"), "windows")
+    earliest = windows.groupBy(F.col("ah").alias("a"), F.col("wh").alias("w")).agg(F.min(F.struct("doc", "th", "pack")).alias("first"))
+    met = windows.join(earliest, (F.col("ah") == F.col("a")) & (F.col("wh") == F.col("w")))
+    return met.filter(F.struct("doc", "th", "pack") != F.col("first")).select("doc", "th", "pack")
+
+
 def compare(parts: DataFrame) -> DataFrame:
     """doc, th, pack: the runs of repeated windows within ``parts``. Equal strings are resolved as they pass; of anchors with
     several different ones the first of each goes to the construction, in chunks of whole anchors."""
@@ -442,7 +477,11 @@ def compare(parts: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, th, runs (array of long, pairs of start and number of windows packed): the repeated windows of all texts."""
     found = written(resolve(all_fragments(docs, frequent_anchors(docs))), "fragments")
-    within = compare(fetch(docs, found.filter("pack >= 0")))
+    left = found.filter("pack >= 0")
+    heavy = written(left.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("ah"), "heavy")
+    within = compare(fetch(docs, left.join(heavy, "ah", "left_anti")))
+    if not heavy.isEmpty():
+        within = within.unionByName(crowded(docs, left.join(heavy, "ah", "left_semi")))
     again = found.filter("pack < 0").select("doc", "th", F.col("pack").bitwiseAND(F.lit((1 << 63) - 1)).alias("pack"))
     return again.unionByName(within).groupBy("doc", "th").agg(F.collect_list("pack").alias("runs"))
 

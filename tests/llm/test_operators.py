@@ -156,7 +156,9 @@ def xxh(t):
     return (xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42) % (1 << 20)
 
 
-def test_repeats_agree_with_brute_force(spark):
+@pytest.mark.parametrize("heavy", [32_768, 2, 0])
+def test_repeats_agree_with_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
     rows = awkward()
     want = removed_by_brute_force(rows)
     got = repeats._remove(documents(spark), True)
