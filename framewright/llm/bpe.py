@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import light, read_table, small_batches
 
 #: Pre-tokens kept with their ids; longer ones than LONG bytes are not kept. Bytes of text in a block.
 KEPT, LONG, BLOCK = 1 << 18, 64, 4 << 20
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             offsets = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return light(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -285,7 +285,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 text_sum.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return light(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

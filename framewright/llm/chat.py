@@ -11,7 +11,8 @@ backslashes; :func:`unescape` reverts it, so a text can never be read as a mark.
 Defined results: null texts are empty; a null role is the role ``""``; roles that the template doesn't name get a general
 mark that holds the (escaped) name, and no loss. Turn order is validated, not repaired: each segment carries ``valid``,
 false from the first row on at which the order is broken. Rows that repeat a turn are all formatted, ordered by role and
-text; null turns come first; rows of a null conv_id are one conversation. Empty tables give empty results.
+text; null turns come first; rows of a null conv_id are one conversation. The conversation -7 that the query adds joins rows
+that the table may already have under that number. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

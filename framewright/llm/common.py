@@ -58,6 +58,18 @@ def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -
     _tables[since:] = [p for p in _tables[since:] if p.rsplit("/", 1)[-1] in kept]
 
 
+#: Bytes of an Arrow batch on its way to a Python worker and back, where the session has Spark's default of 64 MB.
+ARROW_BYTES = 4 << 20
+
+
+def light(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of few bytes in its session: rows of text are wide, and each task holds a batch on both sides."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 #: Bits of the map that stands for a list of rows (8 MB in all), those of one of Spark's bitmaps, and of an entry cut from it.
 MAP_BITS, BITMAP_BITS, ENTRY_BITS = 1 << 26, 1 << 15, 1 << 9
 

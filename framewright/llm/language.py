@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, small_batches, written
+from .common import held_out, light, read_table, small_batches, written
 
 PLACES, FIT_ROWS, ROUNDS, TASKS = 1 << 14, 12_000, 3, 6
 #: Rows that a language is fitted on at least (in expectation, if it has so many), and languages that are learned at most:
@@ -128,7 +128,7 @@ def measured(known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema)
         yield pa.RecordBatch.from_pylist([{"doc_id": total, "lang": None, "at": np.flatnonzero(seen), "counts": seen[seen > 0]}], schema)
 
-    return known.mapInArrow(run, "doc_id long, lang string, at array<int>, counts array<long>")
+    return light(known).mapInArrow(run, "doc_id long, lang string, at array<int>, counts array<long>")
 
 
 def train(docs: DataFrame) -> Model:
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return light(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parted, row_key, small_batches, written
+from .common import light, parted, row_key, small_batches, written
 from .graph import components
 from .simhash import REFERENCES, first_of_each, majority, shingle_hashes
 
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "th", "fp", "size", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, size long, keys array<long>")
+    return light(docs).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, size long, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -207,8 +207,11 @@ def similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int
     early = components(first_links(members.filter(F.col("band") < EARLY), sets, least, bits, group))
     labelled = written(members.join(early.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("label")), "labelled")
     mixed = written(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key"), "mixed_blocks")
-    late = components(later_links(labelled.join(mixed, "key"), sets, least, bits, group))
+    across = written(later_links(labelled.join(mixed, "key"), sets, least, bits, group), "across")
     first = nodes.select("node", "doc_id", "th", "rows").join(early.select(F.col("node").alias("of"), F.col("root").alias("label")), F.col("node") == F.col("of"), "left").select("doc_id", "th", "rows", F.coalesce("label", "node").alias("label"))
+    if across.isEmpty():
+        return first.select("doc_id", "th", F.col("rows").alias("n"), F.col("label").alias("root"))
+    late = components(across)
     return first.join(late.select(F.col("node").alias("of"), "root"), F.col("label") == F.col("of"), "left").select("doc_id", "th", F.col("rows").alias("n"), F.coalesce("root", "label").alias("root"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, small_batches, written
+from .common import held_out, light, read_table, small_batches, written
 
 THRESHOLD = 0.3
 #: Weight of the pooled covariance, then of its diagonal, in each class covariance.
@@ -149,7 +149,7 @@ def features(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, SIZE, dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return light(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def train(table: DataFrame, labels: DataFrame) -> Model:
@@ -170,7 +170,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         parts = [model.score(vectors(texts.slice(i, 512).to_pylist())) for i in range(0, len(texts), 512)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.filter(score(F.col("text")) >= threshold)
+    return light(docs).filter(score(F.col("text")) >= threshold)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent, read_table, small_batches, utf8, written
+from .common import frequent, light, read_table, small_batches, utf8, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -165,7 +165,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     a document, in order."""
     h = F.xxhash64("text")
     th = F.shiftleft(h.bitwiseAND(F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    return light(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def frequent_anchors(docs: DataFrame) -> np.ndarray:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, staying, written
+from .common import light, read_table, small_batches, staying, written
 from .graph import components
 
 WORDS, MOST_BITS, SEED = 3, 2, 42
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fps = np.array([fingerprint((t or "").encode(), words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long")
+    return light(docs).select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def with_pivots(distinct: DataFrame) -> DataFrame:
