@@ -47,12 +47,20 @@ def safety(findings: DataFrame) -> DataFrame:
 
 
 register("p14_safety_sensitivity", "findings", safety, f"SELECT finding_id, {safety_reasons()} AS reasons, {SENSITIVE} AS sensitive FROM findings")
-_SEEN = "CAST(finding_id % 4 AS BIGINT)"
-_QUALITY = "confidence"
-MISSING = f"concat_ws(',', CASE WHEN {_SEEN} = 0 THEN 'candidate_visibility' END, CASE WHEN {_QUALITY} < 0.55 THEN 'evidence_quality' END, CASE WHEN {_SEEN} < 2 THEN 'independent_support' END)"
-SUFFICIENT = f"({_SEEN} >= 2 AND {_QUALITY} >= 0.55)"
-NEXT = f"CASE WHEN {SUFFICIENT} THEN 'VERIFY_EVIDENCE' ELSE 'CALL_INSPECT_INTERVAL' END"
-register("p15_evidence_sufficiency", "findings", lambda f: f.select("finding_id", ex(SUFFICIENT).alias("sufficient"), ex(MISSING).alias("missing"), ex(NEXT).alias("next_step")), f"SELECT finding_id, {SUFFICIENT} AS sufficient, {MISSING} AS missing, {NEXT} AS next_step FROM findings")
+MISSING = "concat_ws(',', CASE WHEN independent_views = 0 THEN 'candidate_visibility' END, CASE WHEN evidence_quality < 0.55 THEN 'evidence_quality' END, CASE WHEN independent_views < 2 THEN 'independent_support' END)"
+
+
+def sufficiency(findings: DataFrame) -> DataFrame:
+    """Whether the evidence of a finding (independent_views, evidence_quality) suffices, what is missing, and what to do next."""
+    told = findings.withColumn("missing", ex(MISSING)).withColumn("sufficient", F.col("missing") == "")
+    return told.withColumn("next_step", F.when(F.col("sufficient"), "VERIFY_EVIDENCE").otherwise("CALL_INSPECT_INTERVAL"))
+
+
+register(
+    "p15_evidence_sufficiency", "findings", lambda f: sufficiency(f.withColumn("evidence_quality", F.col("confidence"))).select("finding_id", "sufficient", "missing", "next_step"),
+    """WITH m AS (SELECT finding_id, independent_views >= 2 AND confidence >= 0.55 AS sufficient, [CASE WHEN independent_views = 0 THEN 'candidate_visibility' END, CASE WHEN confidence < 0.55 THEN 'evidence_quality' END, CASE WHEN independent_views < 2 THEN 'independent_support' END] AS parts FROM findings)
+SELECT finding_id, sufficient, array_to_string([x for x in parts if x IS NOT NULL], ',') AS missing, CASE WHEN sufficient THEN 'VERIFY_EVIDENCE' ELSE 'CALL_INSPECT_INTERVAL' END AS next_step FROM m""",
+)
 SUPPORT = "CASE WHEN frames_returned >= 3 THEN {a} ELSE {b} END"
 register(
     "p31_interval_evidence", "actions",
@@ -176,9 +184,21 @@ def titled(findings: DataFrame) -> DataFrame:
 
 
 register("p20_issue_title", "findings", titled, f"SELECT finding_id, {TITLE} AS title, {SUMMARY} || ' is visible in the selected evidence frame.' AS summary FROM findings")
-VERDICT = "CASE WHEN NOT (finding_id % 5 <> 0) THEN 'REJECT' WHEN confidence >= 0.85 THEN 'ACCEPT' WHEN confidence < 0.50 THEN 'REJECT' ELSE 'HUMAN_REVIEW' END"
-NORMAL = "CASE WHEN finding_id % 5 = 0 OR finding_id % 7 = 0 THEN 'REJECT' WHEN confidence < 0.80 THEN 'HUMAN_REVIEW' WHEN finding_id % 2 = 0 THEN 'ACCEPT_NORMALIZED' ELSE 'ACCEPT_UNCHANGED' END"
-register("p24_verification_verdicts", "findings", lambda f: f.select("finding_id", ex(VERDICT).alias("verdict"), ex(NORMAL).alias("normalizing")), f"SELECT finding_id, {VERDICT} AS verdict, {NORMAL} AS normalizing FROM findings")
+
+
+def verified(findings: DataFrame) -> DataFrame:
+    """Verdicts of a verification pass: by confidence of what is visible; and of one that may reword a finding (visible,
+    category_holds, reworded, confidence)."""
+    verdict = F.when(~F.col("visible"), "REJECT").when(F.col("confidence") >= 0.85, "ACCEPT").when(F.col("confidence") < 0.50, "REJECT").otherwise("HUMAN_REVIEW")
+    normal = F.when(~(F.col("visible") & F.col("category_holds")), "REJECT").when(F.col("confidence") < 0.80, "HUMAN_REVIEW").when(F.col("reworded"), "ACCEPT_NORMALIZED").otherwise("ACCEPT_UNCHANGED")
+    return findings.withColumns({"verdict": verdict, "normalizing": normal})
+
+
+register(
+    "p24_verification_verdicts", "findings", lambda f: verified(f).select("finding_id", "verdict", "normalizing"),
+    """SELECT finding_id, CASE WHEN visible AND confidence >= 0.85 THEN 'ACCEPT' WHEN visible AND confidence >= 0.50 THEN 'HUMAN_REVIEW' ELSE 'REJECT' END AS verdict,
+  CASE WHEN visible AND category_holds AND confidence >= 0.80 THEN CASE WHEN reworded THEN 'ACCEPT_NORMALIZED' ELSE 'ACCEPT_UNCHANGED' END WHEN visible AND category_holds THEN 'HUMAN_REVIEW' ELSE 'REJECT' END AS normalizing FROM findings""",
+)
 register(
     "t03_closest_to_gate", "findings", lambda f: f.filter("confidence between 0.45 and 0.80").groupBy("video_id").agg(F.min_by("finding_id", F.struct(F.abs(F.col("confidence") - 0.65), "finding_id")).alias("finding_id")),
     "SELECT video_id, finding_id FROM findings WHERE confidence BETWEEN 0.45 AND 0.80 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY abs(confidence - 0.65), finding_id) = 1",
@@ -268,10 +288,10 @@ register(
 )
 
 
-def agent_scores(actions: DataFrame) -> DataFrame:
-    """Accuracy before and after investigation, resolution and unnecessary calls: from flags per candidate."""
+def agent_scores(actions: DataFrame, truth: DataFrame) -> DataFrame:
+    """Against the truth (candidate_id, truth): accuracy before and after investigation, resolution and unnecessary calls: from flags per candidate."""
     steps = actions.withColumns({"outcome": ex(STEP), "n": F.row_number().over(Window.partitionBy("candidate_id").orderBy("sequence_no"))})
-    per = steps.groupBy("candidate_id").agg(F.min_by("outcome", "n").alias("initial"), F.max_by("outcome", "n").alias("final"), F.count(F.lit(1)).alias("calls")).withColumn("truth", F.when(F.col("candidate_id") % 2 == 0, "present").otherwise("absent"))
+    per = steps.groupBy("candidate_id").agg(F.min_by("outcome", "n").alias("initial"), F.max_by("outcome", "n").alias("final"), F.count(F.lit(1)).alias("calls")).join(truth, "candidate_id", "left")
     return per.agg(
         F.count(F.lit(1)).alias("candidates"), r6(F.avg((F.col("initial") == F.col("truth")).cast("int"))).alias("accuracy_before"), r6(F.avg((F.col("final") == F.col("truth")).cast("int"))).alias("accuracy_after"),
         F.count_if(F.col("initial") == "investigate").alias("ambiguous"), F.count_if((F.col("initial") == "investigate") & (F.col("final") != "investigate")).alias("resolved"),
@@ -282,9 +302,9 @@ def agent_scores(actions: DataFrame) -> DataFrame:
 
 
 register(
-    "a21_agent_scores", "actions", agent_scores,
+    "a21_agent_scores", "actions candidate_truth", agent_scores,
     f"""WITH s AS (SELECT *, {STEP} AS outcome FROM actions), p AS (
-  SELECT candidate_id, arg_min(outcome, sequence_no) AS initial, arg_max(outcome, sequence_no) AS final, count(*) AS calls, CASE WHEN candidate_id % 2 = 0 THEN 'present' ELSE 'absent' END AS truth FROM s GROUP BY candidate_id)
+  SELECT candidate_id, arg_min(outcome, sequence_no) AS initial, arg_max(outcome, sequence_no) AS final, count(*) AS calls, any_value(t.truth) AS truth FROM s LEFT JOIN candidate_truth t USING (candidate_id) GROUP BY candidate_id)
 SELECT count(*) AS candidates, R6(avg(CAST(initial = truth AS INT))) AS accuracy_before, R6(avg(CAST(final = truth AS INT))) AS accuracy_after, count(*) FILTER (WHERE initial = 'investigate') AS ambiguous,
   count(*) FILTER (WHERE initial = 'investigate' AND final <> 'investigate') AS resolved,
   R6(count(*) FILTER (WHERE initial = 'investigate' AND final <> 'investigate') / CAST(nullif(count(*) FILTER (WHERE initial = 'investigate'), 0) AS DOUBLE)) AS resolved_rate,

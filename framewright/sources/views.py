@@ -42,7 +42,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str | tuple[str, str]]] = {
   CAST(ev.k + 1 AS DOUBLE) / 100e0 AS confidence,
   (f.event_id * 37 % 60) / 100e0 AS x, (f.event_id * 53 % 60) / 100e0 AS y,
   CASE WHEN f.event_id % 97 = 0 THEN 95e-2 ELSE (5 + f.event_id * 11 % 35) / 100e0 END AS width,
-  (5 + f.event_id * 13 % 35) / 100e0 AS height
+  (5 + f.event_id * 13 % 35) / 100e0 AS height,
+  f.event_id % 4 AS independent_views, f.event_id % 5 <> 0 AS visible, f.event_id % 7 <> 0 AS category_holds, f.event_id % 2 = 0 AS reworded
 FROM frames f JOIN keyed ev ON f.event_id = ev.event_id""",
     ),
     "truth_intervals": (
@@ -56,6 +57,7 @@ FROM frames WHERE event_id % 11 = 0""",
         """SELECT conv_id AS candidate_id, turn + 1 AS sequence_no, role AS action, CAST(length(text) % 30 AS BIGINT) AS frames_returned,
   ((conv_id * 31 + turn * 17) % 101) / 100e0 AS confidence_after FROM conversations""",
     ),
+    "candidate_truth": ((), "SELECT DISTINCT conv_id AS candidate_id, CASE WHEN conv_id % 2 = 0 THEN 'present' ELSE 'absent' END AS truth FROM conversations"),
     "requests": (
         (),
         """SELECT l_orderkey AS request_id, l_linenumber AS attempt, l_suppkey AS video_id, l_returnflag AS model_id,
