@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,22 @@ class Model:
         return self.langs[k], float(p[k])
 
 
+def listed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of an id, a language, and two arrays, which become lists without a Python object for each of their numbers."""
+    ids, langs, at, counts = zip(*rows, strict=True)
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), schema.field(k).type.value_type)) for k, x in ((2, at), (3, counts))]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *lists], schema=schema)
+
+
+def samples(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """Places, counts and language of each row of a batch, as slices of two arrays."""
+    at, counts = (batch.column(k).flatten().to_numpy() for k in ("at", "counts"))
+    ends = np.cumsum(pc.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)).tolist()
+    for s, e, lang in zip([0, *ends[:-1]], ends, batch.column("lang").to_pylist(), strict=True):
+        yield at[s:e], counts[s:e], lang
+
+
 def measured(known: DataFrame) -> DataFrame:
     """lang, doc_id, at, counts: the n-grams of the sampled rows of ``known`` (doc_id, text, lang, taken); then one row a task
     with null lang whose counts are the number of the task's texts and, for each place, of those that have it."""
@@ -123,10 +140,10 @@ def measured(known: DataFrame) -> DataFrame:
                 seen[at] += 1
                 total += 1
                 if taken and len(at):
-                    out.append({"doc_id": i, "lang": lang, "at": at, "counts": counts})
+                    out.append((i, lang, at, counts))
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-        yield pa.RecordBatch.from_pylist([{"doc_id": total, "lang": None, "at": np.flatnonzero(seen), "counts": seen[seen > 0]}], schema)
+                yield listed(out, schema)
+        yield listed([(total, None, np.flatnonzero(seen), seen[seen > 0])], schema)
 
     return light(known).mapInArrow(run, "doc_id long, lang string, at array<int>, counts array<long>")
 
@@ -163,9 +180,8 @@ def train(docs: DataFrame) -> Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, count = State(sent.value.z.copy(), sent.value.n.copy()), 0
             for batch in batches:
-                for at, counts, lang in zip(*(batch.column(k).to_pylist() for k in ("at", "counts", "lang")), strict=True):
-                    at = np.array(at)
-                    own.learn(at, weigh(at, np.array(counts), idf), number[lang])
+                for at, counts, lang in samples(batch):
+                    own.learn(at, weigh(at, counts, idf), number[lang])
                     count += 1
             if count:
                 yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()]), pa.array([own.n.astype(np.float32).tobytes()])], names=["rows", "z", "n"])
@@ -185,10 +201,10 @@ def train(docs: DataFrame) -> Model:
     def surprise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(TEMPERATURES))
         for batch in batches:
-            for at, counts, lang in zip(*(batch.column(k).to_pylist() for k in ("at", "counts", "lang")), strict=True):
-                at = np.array(at)
-                z = weights[:, at] @ weigh(at, np.array(counts), idf)
-                sums -= [np.log(max(softmax(z / t)[number[lang]], 1e-12)) for t in TEMPERATURES]
+            for at, counts, lang in samples(batch):
+                z = (weights[:, at] @ weigh(at, counts, idf))[None, :] / TEMPERATURES[:, None]
+                e = np.exp(z - z.max(1, keepdims=True))
+                sums -= np.log(np.maximum(e[:, number[lang]] / e.sum(1), 1e-12))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "loss"])
 
     losses = {r.k: r.loss for r in dealt.filter("kept_back").mapInArrow(surprise, "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
