@@ -47,15 +47,13 @@ def mark() -> int:
     return len(_tables)
 
 
-def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the tables written since ``since``, but for the one that ``keep`` reads: when a result is written or
-    collected, the tables on the way to it are of no more use."""
-    kept = {p.rsplit("/", 2)[-2] for p in keep.inputFiles()} if keep is not None else set()
-    for path in _tables[since:]:
-        if path.rsplit("/", 1)[-1] not in kept:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _tables[since:] = [p for p in _tables[since:] if p.rsplit("/", 1)[-1] in kept]
+def forget(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the tables written from place ``since`` to before ``until``: when a result is written or collected, the
+    tables on the way to it are of no more use."""
+    for path in _tables[since:until]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _tables[since:until]
 
 
 #: Bytes of an Arrow batch on its way to a Python worker and back, where the session has Spark's default of 64 MB.
