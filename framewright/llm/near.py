@@ -7,7 +7,7 @@ what they can: they discard candidates before the exact comparison.
 1. One pass makes for each text its fingerprint and ``BANDS`` keys, each from ``ROWS`` smallest mixed shingle hashes. A pair
    of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS: 0.9998 at 0.8, more above.
 2. Texts that share a key form a block. Blocks go to tasks in groups of about ``GROUP`` rows and ``GROUP_SHINGLES`` shingles
-   (8 MB): the rows of a larger block are dealt out at random, and ``ANCHORS`` rows of it go to all its groups, so that its
+   (4 MB): the rows of a larger block are dealt out at random, and ``ANCHORS`` rows of it go to all its groups, so that its
    copies hang together.
 3. In a group, pairs of rows that aren't connected yet are tried: pairs whose distances to the pivots or whose fingerprints
    differ by over ``BITS``, or whose sizes rule the similarity out, are discarded; the shingles of the others are compared.
@@ -37,7 +37,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS, EARLY = 16, 4, 4
 #: Differing bits at which a pair is discarded: five deviations above what a similarity of 0.8 gives.
 BITS = 25
-GROUP, GROUP_SHINGLES, ANCHORS = 1024, 1 << 20, 16
+GROUP, GROUP_SHINGLES, ANCHORS = 512, 1 << 19, 16
 _KEYS = np.random.default_rng(88).integers(0, 2**64, (3, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 

@@ -163,14 +163,14 @@ def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     training; then each text is scored as it passes."""
     known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__id"), "left_semi")
-    model = train(features(rows), labels)
+    model = train(written(features(rows), "features"), labels)  # a table between the kernels: no task holds two workers
 
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        parts = [model.score(vectors(texts.slice(i, 512).to_pylist())) for i in range(0, len(texts), 512)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # whole rows, not a function of the text: tasks of one kind share their Python workers with the other operators
+        for batch in small_batches(batches, "text"):
+            yield batch.filter(pa.array(model.score(vectors(batch.column("text").to_pylist())) >= threshold))
 
-    return light(docs).filter(score(F.col("text")) >= threshold)
+    return light(docs).mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
