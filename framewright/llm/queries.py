@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, language, mixing, quality, repeats, secret_scan, simhash, topk
+from . import bpe, chat, exact_dedup, filter_audit, language, mixing, negatives, pages, quality, repeats, secret_scan, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op8_simhash,
         secret_scan.op9_secret_scan,
         chat.op10_chat_format,
+        filter_audit.op11_filter_audit,
+        pages.op12_main_text,
+        negatives.op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {
@@ -28,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_top_k": topk.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
