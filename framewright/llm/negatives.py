@@ -8,7 +8,8 @@ A tree's inner node has up to ``FAN`` split points; an entry belongs to the near
 split point the node stores the smallest and largest distance to the entries of every sibling's subtree. A query measures
 its distance to one split point after another; by the stored ranges each one eliminates those siblings whose subtree can't
 meet the annulus, often before they are measured. What is left is opened nearest first, and the annulus shrinks as good
-scores are found. Leaves are decided by exact whole-number inner products.
+scores are found. Leaves are decided by exact whole-number inner products. Queries go down a tree together, so that each
+node's distances and each leaf's scores are one array operation.
 
 The root of all is the same thing as a table: ``ROUTES`` split points at most, and a table of the distance ranges between
 split points and regions, which Spark aggregates. Regions are dealt out in shards of about ``SHARD`` entries, one tree each;
@@ -25,12 +26,11 @@ Defined results: rows with a null label, a null vector, null or non-finite compo
 shorter vectors count as padded with zeros; rows that repeat an id all count, and each is an anchor if the id is an anchor's;
 an anchor leaves out its own row only; ties go to the smaller vec_id; fewer positives or negatives give fewer rows, and a
 negative positive score gives an empty window; an empty table gives an empty result; other columns are ignored. Scores must
-fit 64 bits.
+fit 64 bits; where squared norms pass 2**52, the borders of windows are those of doubles.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +42,10 @@ from .common import read_table, written
 from .topk import distances, lifted, vectors_of
 
 K, EVERY = 5, 100
-#: Split points of the root at most; entries of a shard and of a leaf; split points of an inner node; queries a copy of a tree gets.
-ROUTES, SHARD, LEAF, FAN, BLOCK = 64, 4096, 128, 12, 4096
+#: Split points of the root at most; entries of a shard and of a leaf; split points of an inner node; queries that a copy of a
+#: tree gets, and that go down it together.
+ROUTES, SHARD, LEAF, FAN, BLOCK, TOGETHER = 64, 4096, 128, 12, 4096, 256
+NOBODY = np.iinfo(np.int64).min
 TREE = "family long, region int, shard long, vectors binary, labels binary, ids array<array<long>>, nodes binary, ranges binary"
 NODE = np.dtype([("point", "<i4"), ("start", "<i4"), ("stop", "<i4"), ("leaf", "?"), ("ranges", "<i8")])
 
@@ -89,63 +91,75 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, places, np.concatenate(tables) if tables else np.zeros(0)
 
 
-class Annulus:
-    """The distances from a query at which a score of the window can lie; it shrinks as ``floor`` rises."""
-
-    def __init__(self, qq: float, most: float, low: float, high: float):
-        self.base, self.slack, self.low = qq + most, 1e-7 * (qq + most) + 1e-3, low
-        self.inner = self.at(high + self.slack)
-        self.rise(low)
-
-    def at(self, score: float) -> float:
-        return float(np.sqrt(max(self.base - 2 * score, 0.0)))
-
-    def rise(self, floor: float) -> None:
-        self.floor = max(self.low, floor)
-        self.outer = self.at(self.floor - self.slack)
-
-    def meets(self, d: np.ndarray, least: np.ndarray, largest: np.ndarray) -> np.ndarray:
-        """Whether entries at distances ``least`` to ``largest`` of a point at distance ``d`` may lie in it."""
-        return (d - largest <= self.outer) & (least - d <= self.outer) & (d + largest >= self.inner)
-
-
-def search(q: np.ndarray, most: float, low: float, high: float, other_than: int | None, vectors: np.ndarray, points: np.ndarray, labels: np.ndarray, nodes: np.ndarray, ranges: np.ndarray, keep: int) -> tuple[list[tuple[int, int]], int]:
-    """(score, entry) of those that may be among the best ``keep`` scores of the window, ties included, and how many entries
-    were looked at; entries of label ``other_than`` don't count."""
-    ring = Annulus(float(q.astype(np.float64) @ q), most, low, high)
-    target = np.append(q.astype(np.float64), 0.0)
-    heap: list[tuple[float, int]] = [(0.0, 0)]
-    best, looked_at = np.zeros(0, np.int64), 0
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    while heap:
-        least, k = heapq.heappop(heap)
-        if least > ring.outer:
-            break
+class Annuli:
+    """The distances from each of some queries at which a score of its window can lie; they shrink as ``floor`` rises."""
+
+    def __init__(self, q: np.ndarray, most: float, low: np.ndarray, high: np.ndarray):
+        qq = (q.astype(np.float64) ** 2).sum(1)
+        self.base, self.slack, self.floor, self.high = qq + most, 1e-7 * (qq + most) + 1e-3, low.astype(np.float64), high.astype(np.float64)
+        self.inner = np.sqrt(np.maximum(self.base - 2 * (self.high + self.slack), 0))
+        self.outer = np.empty(len(q))
+        self.rise(np.arange(len(q)), self.floor)
+
+    def rise(self, at: np.ndarray, floor: np.ndarray) -> None:
+        self.floor[at] = np.maximum(self.floor[at], floor)
+        self.outer[at] = np.sqrt(np.maximum(self.base[at] - 2 * (self.floor[at] - self.slack[at]), 0))
+
+    def meet(self, at: np.ndarray, d: np.ndarray, least: np.ndarray, largest: np.ndarray) -> np.ndarray:
+        """Whether entries at distances ``least`` to ``largest`` of a point, at distance ``d`` of the queries ``at``, may lie
+        in each one's annulus: queries (rows) by ranges (columns)."""
+        d, inner, outer = d[:, None], self.inner[at, None], self.outer[at, None]
+        return (d - largest <= outer) & (least - d <= outer) & (d + largest >= inner)
+
+
+def search(q: np.ndarray, most: float, low: np.ndarray, high: np.ndarray, other_than: np.ndarray, tree: tuple, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Queries, entries and scores of the entries that may be among each query's best ``keep`` scores of its window, ties
+    included, and how many scores were computed. Entries of label ``other_than`` (where it isn't NOBODY) don't count. The
+    queries go down the tree together: each node is met by those that it can't be ruled out for."""
+    vectors, points, labels, nodes, ranges = tree
+    none = -np.inf if vectors.dtype == np.float64 else np.iinfo(np.int64).min
+    rings = Annuli(q, most, low, high)
+    targets = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], 1)
+    best = np.full((len(q), keep), none, vectors.dtype)
+    found, computed = [], 0
+    stack = [(0, np.arange(len(q)), np.zeros(len(q)))]  # node, queries, their least possible distance to what is below
+    while stack:
+        k, at, bound = stack.pop()
+        at = at[bound <= rings.outer[at]]  # annuli may have shrunk meanwhile
         start, stop = int(nodes["start"][k]), int(nodes["stop"][k])
+        if not len(at):
+            continue
         if not nodes["leaf"][k]:
             m = stop - start
             table = ranges[nodes["ranges"][k] : nodes["ranges"][k] + 2 * m * m].reshape(m, m, 2)
-            alive, bound = np.ones(m, bool), np.zeros(m)
+            alive, bound = np.ones((len(at), m), bool), np.zeros((len(at), m))
             for i in range(m):
-                if alive[i]:
-                    d = float(distances(points[nodes["point"][start + i]][None], target)[0])
-                    alive &= ring.meets(d, table[i, :, 0], table[i, :, 1])
-                    bound = np.maximum(bound, np.maximum(d - table[i, :, 1], table[i, :, 0] - d))
-            for j in np.flatnonzero(alive).tolist():
-                heapq.heappush(heap, (float(bound[j]), start + j))
+                on = np.flatnonzero(alive[:, i])
+                if len(on):
+                    d = distances(targets[at[on]], points[nodes["point"][start + i]])
+                    alive[on] &= rings.meet(at[on], d, table[i, :, 0], table[i, :, 1])
+                    bound[on] = np.maximum(bound[on], np.maximum(d[:, None] - table[i, :, 1], table[i, :, 0] - d[:, None]))
+            for j in np.argsort(-np.where(alive, bound, 0).sum(0) / np.maximum(alive.sum(0), 1)).tolist():  # the nearest is taken first
+                on = np.flatnonzero(alive[:, j])
+                stack.append((start + j, at[on], bound[on, j]))
             continue
-        scores = vectors[start:stop] @ q
-        looked_at += stop - start
-        good = (scores >= ring.floor) & (scores <= high)
-        if other_than is not None:
-            good &= labels[start:stop] != other_than
-        if good.any():
-            scores, at = scores[good], np.flatnonzero(good) + start
-            found.append((scores, at))
-            best = np.sort(np.concatenate([best, scores]))[-keep:]
-            if len(best) == keep:
-                ring.rise(float(best[0]))
-    return [(int(s), int(e)) for scores, at in found for s, e in zip(scores, at, strict=True) if s >= ring.floor], looked_at
+        scores = q[at] @ vectors[start:stop].T
+        computed += scores.size
+        good = (scores >= rings.floor[at, None]) & (scores <= rings.high[at, None]) & ((other_than[at, None] == NOBODY) | (labels[start:stop] != other_than[at, None]))
+        on = np.flatnonzero(good.any(1))
+        if len(on):
+            both = np.concatenate([best[at[on]], np.where(good[on], scores[on], none)], 1)
+            best[at[on]] = np.partition(both, both.shape[1] - keep, 1)[:, -keep:]
+            floor = best[at[on]].min(1).astype(np.float64)
+            rings.rise(at[on], np.where(floor == float(none), -np.inf, floor))
+            good &= scores >= rings.floor[at, None]
+            r, e = np.nonzero(good)
+            found.append((at[r], e + start, scores[r, e]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, vectors.dtype), computed
+    r, e, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    good = scores >= rings.floor[r]
+    return r[good], e[good], scores[good], computed
 
 
 def load(dim: int, most: float):
@@ -169,19 +183,29 @@ def visit(dim: int, most: float, keep: int):
         tree = ids = None
         for batch in batches:
             out: list[tuple] = []
-            is_tree = batch.column("nodes").is_valid().to_numpy(zero_copy_only=False)
+            trees = np.flatnonzero(batch.column("nodes").is_valid().to_numpy(zero_copy_only=False)).tolist()
             queries = vectors_of(batch.column("q").fill_null([]) if batch.column("q").null_count else batch.column("q"), dim)
-            asks = [batch.column(c).to_pylist() for c in ("qid", "low", "high", "other_than")]
-            for r in range(batch.num_rows):
-                if is_tree[r]:
-                    vectors, labels, nodes, ranges = (batch.column(c)[r].as_py() for c in ("vectors", "labels", "nodes", "ranges"))
-                    x, ids = np.frombuffer(vectors, np.int64).reshape(-1, dim), batch.column("ids")[r].values
+            numbers = lambda c, if_null: batch.column(c).fill_null(if_null).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            least, most_ = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            low, high = numbers("low", least).astype(np.float64), numbers("high", most_).astype(np.float64)
+            low[low == float(least)], high[high == float(most_)] = -np.inf, np.inf
+            other_than, qids = numbers("other_than", NOBODY), batch.column("qid")
+            for start, stop in zip([-1, *trees], [*trees, batch.num_rows], strict=True):
+                if start >= 0:
+                    vectors, labels, nodes, ranges = (batch.column(c)[start].as_py() for c in ("vectors", "labels", "nodes", "ranges"))
+                    x, ids = np.frombuffer(vectors, np.int64).reshape(-1, dim), batch.column("ids")[start].values
                     # doubles hold whole numbers of this size exactly, and multiply faster
                     tree = (x.astype(np.float64) if most < 2**52 else x, lifted(x, most), np.frombuffer(labels, np.int64), np.frombuffer(nodes, NODE), np.frombuffer(ranges))
-                    continue
-                qid, low, high, other_than = (a[r] for a in asks)
-                found, _ = search(queries[r].astype(tree[0].dtype), most, -np.inf if low is None else low, np.inf if high is None else high, other_than, *tree, keep)
-                out += [(qid, i, -s) for s, i in sorted((-s, i) for s, e in found for i in ids[e].as_py())[:keep]]
+                for k in range(start + 1, stop, TOGETHER):
+                    part = slice(k, min(k + TOGETHER, stop))
+                    r, e, scores, _ = search(queries[part].astype(tree[0].dtype), most, low[part], high[part], other_than[part], tree, keep)
+                    order = np.argsort(r, kind="stable")
+                    r, e, scores = r[order], e[order], scores[order].astype(np.int64)
+                    cuts = np.searchsorted(r, np.arange(part.stop - k + 1))
+                    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        some = [(-s, i) for s, x in zip(scores[a:b].tolist(), e[a:b].tolist(), strict=True) for i in ids[x].as_py()]
+                        qid = qids[k + n].as_py() if some else None
+                        out += [(qid, i, -s) for s, i in sorted(some)[:keep]]
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["qid", "vec_id", "score"])
 
@@ -233,19 +257,16 @@ class Forest:
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                q = vectors_of(batch.column("q"), dim).astype(np.float64)
-                low, high, own = (batch.column(c).to_pylist() for c in ("low", "high", "region"))
-                at, to = [], []
-                for r, x in enumerate(q):
-                    ring = Annulus(float(x @ x), most, -np.inf if low[r] is None else low[r], np.inf if high[r] is None else high[r])
-                    d = distances(centres, np.append(x, 0.0))[:, None]
-                    go = ring.meets(d, least, largest).all(0)
-                    if but_own:
-                        go[own[r]] = False
-                    regions = np.flatnonzero(go)
-                    at += [r] * len(regions)
-                    to += regions.tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at, pa.int64())), batch.column("family").take(pa.array(at, pa.int64())), pa.array(to, pa.int32())], names=["qid", "family", "region"])
+                q = vectors_of(batch.column("q"), dim)
+                low, high = (np.array([default if x is None else float(x) for x in batch.column(c).to_pylist()]) for c, default in (("low", -np.inf), ("high", np.inf)))
+                rings, everyone = Annuli(q, most, low, high), np.arange(len(q))
+                points, go = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], 1), np.ones((len(q), len(centres)), bool)
+                for c, a, b in zip(centres, least, largest, strict=True):
+                    go &= rings.meet(everyone, distances(points, c), a, b)
+                if but_own:
+                    go[everyone, batch.column("region").to_numpy()] = False
+                at, to = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(at)), batch.column("family").take(pa.array(at)), pa.array(to.astype(np.int32))], names=["qid", "family", "region"])
 
         return queries.select("qid", "family", "q", "low", "high", "region").mapInArrow(spread, "qid string, family long, region int")
 

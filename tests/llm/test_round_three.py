@@ -213,13 +213,15 @@ def test_siblings_are_eliminated_by_their_ranges(monkeypatch):
             for i in range(m):
                 d = topk.distances(points[below], points[nodes["point"][nodes["start"][k] + i]])
                 assert np.allclose(table[i, j], (d.min(), d.max()))
-    seen = 0
-    for n in range(0, len(x), 97):
-        scores = x @ x[n]
-        high = int(np.sort(scores[label == label[n]])[-3])
-        low = -(-4 * high // 5)
-        found, looked_at = negatives.search(x[n], most, low, high, int(label[n]), x, points, label, nodes, ranges, 5)
-        want = np.sort(scores[(label != label[n]) & (scores >= low) & (scores <= high)])[::-1][:5]
-        assert sorted((s for s, _ in found), reverse=True)[:5] == want.tolist()
-        seen += looked_at
-    assert seen < 0.5 * len(x) * len(range(0, len(x), 97))
+    asked = np.arange(0, len(x), 97)
+    scores = x[asked] @ x.T
+    high = np.array([np.sort(s[label == label[n]])[-3] for n, s in zip(asked, scores, strict=True)])
+    low = -(-4 * high // 5)
+    for kind in (np.int64, np.float64):
+        r, e, got, computed = negatives.search(x[asked].astype(kind), most, low, high, label[asked], (x.astype(kind), points, label, nodes, ranges), 5)
+        assert (x[asked][r] * x[e]).sum(1).tolist() == got.astype(int).tolist() and computed < 0.5 * scores.size
+        for n, s in enumerate(scores):
+            want = np.sort(s[(label != label[asked[n]]) & (s >= low[n]) & (s <= high[n])])[::-1][:5]
+            assert sorted(got[r == n].tolist(), reverse=True)[:5] == want.tolist()
+    r, _, got, _ = negatives.search(x[asked], most, np.full(len(asked), -np.inf), np.full(len(asked), np.inf), np.full(len(asked), negatives.NOBODY), (x, points, label, nodes, ranges), 5)
+    assert all(sorted(got[r == n].tolist(), reverse=True)[:5] == np.sort(s)[::-1][:5].tolist() for n, s in enumerate(scores))
