@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
+from .quantiles import quantiles
 
 
 def run_stats(runs: DataFrame, by: list[str]) -> DataFrame:
     """Mean, median, 95th percentile and sample deviation (0 for one run) of the measured, successful runs; failures."""
     ok = F.col("success")
     value = F.when(ok, F.col("wall_clock_seconds"))
-    stats = runs.filter("phase = 'measured'").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("successes"), r6(F.avg(value)).alias("mean"), r6(F.median(value)).alias("median"),
-        r6(F.percentile(value, 0.95)).alias("p95"), r6(F.when(F.count(value) > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0)))).alias("deviation"),
+    measured = runs.filter("phase = 'measured'")
+    stats = measured.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("successes"), r6(F.avg(value)).alias("mean"), r6(F.when(F.count(value) > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0)))).alias("deviation")
     )
-    return stats
+    ranked = quantiles(measured.filter(ok), by, "wall_clock_seconds", {"median": 0.5, "p95": 0.95})
+    return stats.join(ranked, by, "left").select(*by, "attempts", "successes", "mean", r6(F.col("median")).alias("median"), r6(F.col("p95")).alias("p95"), "deviation")
 
 
 _OK = "FILTER (WHERE success)"
 _STATS = f"""count(*) AS attempts, count(*) {_OK} AS successes, R6(avg(wall_clock_seconds) {_OK}) AS mean, R6(median(wall_clock_seconds) {_OK}) AS median, R6(quantile_cont(wall_clock_seconds, 0.95) {_OK}) AS p95,
   R6(CASE WHEN count(*) {_OK} > 0 THEN coalesce(stddev_samp(wall_clock_seconds) {_OK}, 0.0) END) AS deviation"""
 register("a12_run_stats", "runs", lambda r: run_stats(r, ["environment"]), f"SELECT environment, {_STATS} FROM runs WHERE phase = 'measured' GROUP BY environment")
-register("f17_percentile", "runs", lambda r: r.groupBy("workload_id").agg(r6(F.percentile("frames_per_second", 0.95)).alias("p95")), "SELECT workload_id, R6(quantile_cont(frames_per_second, 0.95)) AS p95 FROM runs GROUP BY workload_id")
+register("f17_percentile", "runs", lambda r: quantiles(r, ["workload_id"], "frames_per_second", {"p95": 0.95}).select("workload_id", r6(F.col("p95")).alias("p95")), "SELECT workload_id, R6(quantile_cont(frames_per_second, 0.95)) AS p95 FROM runs GROUP BY workload_id")
 
 
 def compare_environments(runs: DataFrame) -> DataFrame:

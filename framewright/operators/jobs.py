@@ -176,16 +176,29 @@ register(
     "j08_stale_anti_join", "inventory", lambda i: i.filter("age_hours >= 48").join(i.filter("content_type = 'text/html'").select("issue_id").distinct(), "issue_id", "left_anti").select("object_id"),
     "SELECT object_id FROM inventory WHERE age_hours >= 48 AND issue_id NOT IN (SELECT issue_id FROM inventory WHERE content_type = 'text/html')",
 )
-ROOTS = ("http://th", "http://an", "http://in", "http://e")
 
 
-def conflicts(inventory: DataFrame) -> DataFrame:
-    """Rules whose prefix holds, or is held by, a retained root. The roots are a fixed list, so nothing is joined."""
-    hit = F.exists(F.array(*[F.lit(r) for r in ROOTS]), lambda r: F.startswith("path", r) | F.startswith(r, F.col("path")))
-    return inventory.filter(hit).select("object_id")
+def cut_at(texts: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    """Each text with its own prefixes (``cut``) at those of the lengths that it has."""
+    n = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.char_length(column))
+    return texts.withColumn("cut", F.explode(F.transform(n, lambda x: F.substring(F.col(column), F.lit(1), x))))
 
 
-register("j20_retention_conflicts", "inventory", conflicts, "SELECT object_id FROM inventory WHERE " + " OR ".join(f"starts_with(path, '{r}') OR starts_with('{r}', path)" for r in ROOTS))
+def conflicts(rules: DataFrame, roots: DataFrame) -> DataFrame:
+    """rule_id of the enabled rules (rule_id, prefix, enabled, expires) that expire something and whose prefix holds a retained
+    root (root), or is held by one. A prefix join is two equi-joins: each side is cut at the lengths that the other side has
+    (object names, and so lengths, are bounded by 1,024), so no pair is formed that doesn't match."""
+    live = rules.filter("enabled and expires").select("rule_id", "prefix")
+    lengths = lambda df, c: [r.n for r in df.select(F.char_length(c).alias("n")).distinct().collect()]
+    held = cut_at(live, "prefix", lengths(roots, "root")).join(roots.select(F.col("root").alias("cut")), "cut", "left_semi")
+    holds = live.join(cut_at(roots, "root", lengths(live, "prefix")).select(F.col("cut").alias("prefix")), "prefix", "left_semi")
+    return held.select("rule_id").unionByName(holds.select("rule_id")).distinct()
+
+
+register(
+    "j20_retention_conflicts", "retention_rules retained_roots", conflicts,
+    "SELECT rule_id FROM retention_rules r WHERE enabled AND expires AND EXISTS (SELECT 1 FROM retained_roots p WHERE starts_with(p.root, r.prefix) OR starts_with(r.prefix, p.root))",
+)
 
 
 def merged_rules(saved: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .images import images_of
+
 FRAME = "struct<frame_number:bigint,timestamp_seconds:double,evidence_quality_score:double,decision:string,rejection_reasons:array<string>,scene_index:int,blur:struct<variance_of_laplacian:double>,motion:struct<percent_per_second:double>>"
 SCENE = "struct<scene_index:int,start_seconds:double,end_seconds:double,duration_seconds:double,start_reason:string,end_reason:string>"
 KEYFRAME = "struct<filename:string,frame_number:bigint,timestamp_seconds:double,scene_index:int,score_components:map<string,double>>"
@@ -56,6 +64,44 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path)
 
 
+FRAME_IMAGE = "path string, frame_number long, width int, height int, px array<int>, error string"
+
+
+def frame_images(spark: SparkSession, path: str, names: str = "*", most_bytes: int = 64 << 20, since: str | None = None) -> DataFrame:
+    """path, frame_number, width, height, px (gray, row by row), error of each image in files named like ``names``, written
+    ``since`` (a time stamp) if given; folders such as ``video_id=3`` are columns.
+
+    A file may hold one image or, as portable maps, many, so that frames need not be a small file each. The number of a frame is
+    its header's comment ``frame <n>``, else the last number in the file's name. Files over ``most_bytes`` aren't opened, and
+    those that can't be decoded don't end the scan: both give a row with an error."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", names)
+    files = (reader.option("modifiedAfter", since) if since else reader).load(path)
+    folders = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    large = files.filter(F.col("length") > most_bytes)  # the length is known without reading the file
+    kept = [c.strip() for c in FRAME_IMAGE.split(", ")]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, (name, data) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)):
+                own = re.findall(r"\d+", name.rsplit("/", 1)[-1])
+                try:
+                    for said, px in images_of(data.as_py()):
+                        number = re.search(r"frame (\d+)", said)
+                        rows.append((k, name, int(number[1]) if number else int(own[-1]) if own else None, px.shape[1], px.shape[0], px.ravel(), None))
+                except (ValueError, struct.error, zlib.error) as e:
+                    rows.append((k, name, None, None, None, None, f"{type(e).__name__}: {e}"))
+            places = pa.array([r[0] for r in rows], pa.int64())
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string())
+            columns = [pa.array([r[n + 1] for r in rows], kind) for n, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(places) for c in folders), *columns], names=[*folders, *(c.split()[0] for c in kept)])
+
+    types = ", ".join([*(f"`{c}` {t}" for c, t in files.dtypes if c in folders), *kept])
+    read = files.filter(F.col("length") <= most_bytes).select(*folders, "path", "content").mapInArrow(decode, types)
+    refused = large.select(*folders, "path", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in kept[1:-1]], F.format_string("%d bytes are more than %d", "length", F.lit(most_bytes)).alias("error"))
+    return read.unionByName(refused)
+
+
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
     """Structured log lines as a stream."""
     schema = "timestamp timestamp, event string, inspection_id string, job_id string, stage string, details map<string,string>"

@@ -137,6 +137,20 @@ def log_counts(events: DataFrame) -> DataFrame:
 register("s11_log_stream", "job_events", log_counts, "SELECT CAST(job_id AS VARCHAR) AS job_id, status AS event, count(*) AS lines, max(CAST(attempt AS VARCHAR)) AS attempt FROM job_events GROUP BY ALL")
 
 
+def image_rows(frame_px: DataFrame) -> DataFrame:
+    """Frames as image files, scanned and decoded."""
+    path = scratch(frame_px.sparkSession, "images")
+    sinks.write_images(frame_px, path)
+    found = readers.frame_images(frame_px.sparkSession, path, names="*.txt")
+    return found.select(F.col("video_id").cast("long").alias("video_id"), "frame_number", "width", "height", F.array_join("px", ",").alias("px"), "error")
+
+
+register(
+    "s05_image_scan", "frame_px", image_rows,
+    "SELECT CAST(video_id AS BIGINT) AS video_id, frame_number, CAST(8 AS INTEGER) AS width, CAST(ceil(len(px) / 8) AS INTEGER) AS height, array_to_string(px, ',') AS px, CAST(NULL AS VARCHAR) AS error FROM frame_px",
+)
+
+
 def recorded(frames: DataFrame) -> DataFrame:
     """Verdicts stored beside the limits that they were made with, read back."""
     path = scratch(frames.sparkSession, "recorded")

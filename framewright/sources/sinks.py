@@ -31,6 +31,14 @@ def action_log(actions: DataFrame) -> DataFrame:
     return actions.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("sequence_no", "action", "confidence_after"))).alias("actions")).select("candidate_id", F.to_json(F.struct("candidate_id", "actions")).alias("document"))
 
 
+def write_images(frames: DataFrame, path: str, width: int = 8) -> None:
+    """Frames (video_id, frame_number, px: whole numbers to 255, row by row) as plain gray maps: a folder for each video, in it
+    one file for each task that has some of its frames, each header naming its frame."""
+    height = F.ceil(F.size("px") / width).cast("int")
+    image = F.format_string("P2\n# frame %d\n%d %d\n255\n%s", "frame_number", F.lit(width), height, F.array_join(F.transform("px", lambda x: x.cast("string")), " "))
+    frames.select("video_id", image.alias("value")).write.partitionBy("video_id").text(path)
+
+
 def write_artifacts(artifacts: DataFrame, path: str) -> None:
     """Artifacts laid out by inspection and kind, so that readers prune to what they ask for."""
     artifacts.repartition("inspection_id", "kind").write.partitionBy("inspection_id", "kind").parquet(path)

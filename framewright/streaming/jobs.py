@@ -1,20 +1,22 @@
 """Job events as streams: telemetry windows, idempotence, progress throttling, leases, scene boundaries.
 
-Each stateful operator keeps one small record per key. With ``idle_ms`` it gives up the record of a key that has been silent so
-long, so state is bounded by what is live; Spark then never sees the stream as drained, so batch-like runs go without. The same functions run on batch DataFrames where their batch twin is compared with them.
+Each stateful operator keeps one small record per key, which it can give up when the key has been silent, so state is bounded by
+what is live. Rules over jobs run in order of event time with timers (:mod:`.ordered`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.jobs import LEGAL, stage_percent
 from ..operators.scenes import SceneLimits, SceneState
 from ..sources.scratch import scratch
+from .ordered import in_order
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 STATUS = {"signup": "QUEUED", "view": "PROCESSING", "click": "PROGRESS", "purchase": "COMPLETE", "error": "FAILED"}
@@ -46,96 +48,83 @@ def timeout(idle_ms: int | None) -> str:
 PROGRESS = "job_id long, at double, stage string, message string, percent int"
 
 
-def throttle_rows(rows: Iterable, state: tuple | None, every: float) -> tuple[list[tuple], tuple | None]:
-    """What is written of a job's progress (at, stage, message, completed, total, finished), in order of time: on a change
-    of stage or message, at the end, or ``every`` seconds. State: stage, message and time of the last write."""
-    stage, message, last = state or (None, None, float("-inf"))
-    out = []
-    for r in rows:
-        total = r.total if r.total == r.total and r.total is not None else None
-        ok = total is not None and total > 0 and 0 <= r.completed <= total
-        percent = min(100 if r.finished else 99, int(100 * r.completed / total)) if ok else None
-        if r.stage != stage or r.message != message or r.finished or r.at - last >= every:
-            out.append((r.job_id, r.at, r.stage, r.message, percent))
-            message, last = r.message, r.at
-        stage = r.stage
-    return out, (stage, message, last)
+class Throttle:
+    """What is written of a job's progress (at, stage, message, percent, finished): each row that says something new, ends a
+    stage, or comes ``every`` seconds or more after the last one written. State: the stage seen last, message and time written."""
 
+    def __init__(self, every: float):
+        self.every = every
 
-def throttle(progress: DataFrame, every: float = 2.0, idle_ms: int | None = None) -> DataFrame:
-    """The throttled stream of ``progress`` (job_id, at, stage, message, completed, total, finished). With ``idle_ms`` a job
-    that has been silent so long is forgotten; Spark then never sees the stream as drained, so batch-like runs go without."""
+    def step(self, key: int, row: dict, state: list | None) -> tuple[list[tuple], list]:
+        stage, message, at = state or [None, None, None]
+        news = [row["stage"], row["message"]] != [stage, message]
+        silent = at is None or row["at"] - at >= self.every
+        if not (news or silent or row["finished"]):
+            return [], [row["stage"], message, at]
+        return [(key, row["at"], row["stage"], row["message"], row["percent"])], [row["stage"], row["message"], row["at"]]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("at").itertuples(index=False)
-        out, left = throttle_rows(rows, state.get if state.exists else None, every)
-        state.update(left)
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in PROGRESS.split(", ")])
+    def due(self, state: list) -> None:
+        return None
+
+    def lapse(self, key: int, state: list) -> tuple[list[tuple], list]:
+        return [], state
 
-    return progress.groupBy("job_id").applyInPandasWithState(step, PROGRESS, "stage string, message string, last double", "append", timeout(idle_ms))
+
+def throttle(progress: DataFrame, every: float = 2.0, late: str = "0 seconds", forget_s: float | None = None) -> DataFrame:
+    """The throttled stream of ``progress`` (job_id, event_id, ts, stage, message, status, completed, total): one row for each
+    write, with the percentage of :func:`~framewright.operators.jobs.stage_percent`. Rows pass in order of time, whatever
+    micro-batches they come in; a job that has been silent ``forget_s`` seconds of event time is forgotten."""
+    told = stage_percent(progress).select("job_id", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "stage", "message", F.col("percent").cast("int").alias("percent"), (F.col("status") == "COMPLETE").alias("finished"))
+    return in_order(told, "job_id", "ts", "event_id", Throttle(every), PROGRESS, late, forget_s)
 
 
 LIFE = "job_id long, at double, kind string, attempt int"
-TERMINAL = ("COMPLETE", "DEAD")
 
 
-def lease_rows(job: int, rows: Iterable, state: tuple | None, lease: float, most: int) -> tuple[list[tuple], tuple]:
-    """A job's claims: claim, extend, fail, complete (at, status), in order of time. A claim that runs into a live lease is
-    refused; one after the lease has run out takes over; failures beyond ``most`` attempts are dead. State: attempt, end
-    of the lease (0: free), whether it is over."""
-    attempt, until, over = state or (0, 0.0, False)
-    out = []
-    for r in rows:
-        if over:
-            out.append((job, r.at, "refused_terminal", attempt))
-        elif r.status == "PROCESSING":
-            if until > r.at:
-                out.append((job, r.at, "refused_leased", attempt))
-            else:
-                out.append((job, r.at, "reclaimed" if until else "claimed", attempt + 1))
-                attempt, until = attempt + 1, r.at + lease
-        elif r.status == "PROGRESS":
-            live = until > r.at
-            out.append((job, r.at, "extended" if live else "stale", attempt))
-            until = r.at + lease if live else until
-        elif r.status in ("FAILED", "COMPLETE"):
-            if until <= r.at:
-                out.append((job, r.at, "stale", attempt))
-            elif r.status == "COMPLETE":
-                out.append((job, r.at, "completed", attempt))
-                over = True
-            elif attempt >= most:
-                out.append((job, r.at, "dead", attempt))
-                over = True
-            else:
-                out.append((job, r.at, "retry", attempt))
-                until = 0.0
-    return out, (attempt, until, over)
-
-
-def lifecycle(events: DataFrame, lease: float = 3600.0, most: int = 3, idle_ms: int | None = None) -> DataFrame:
-    """Claims, refusals, retries and ends of a stream of job events (job_id, ts, status)."""
+class Lease:
+    """A job's claims (at, status): claim, extend, fail, complete. A claim during a live lease is refused; a lease that nobody
+    extends ends by itself and is reported, and the next claim takes the job over; a failure after ``most`` attempts is the
+    last. State: attempt, end of the lease (null: none), whether one has lapsed, whether the job is over."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples(index=False)
-        out, left = lease_rows(int(key[0]), rows, state.get if state.exists else None, lease, most)
-        state.update(left)
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in LIFE.split(", ")])
+    def __init__(self, lease: float, most: int):
+        self.lease, self.most = lease, most
+
+    def due(self, state: list) -> float | None:
+        return state[1]
 
-    timed = events.select("job_id", "event_id", "status", (F.unix_micros("ts") / 1e6).alias("at"))
-    return timed.groupBy("job_id").applyInPandasWithState(step, LIFE, "attempt int, until double, over boolean", "append", timeout(idle_ms))
+    def lapse(self, key: int, state: list) -> tuple[list[tuple], list]:
+        return [(key, state[1], "expired", state[0])], [state[0], None, True, False]
+
+    def step(self, key: int, row: dict, state: list | None) -> tuple[list[tuple], list]:
+        out: list[tuple] = []
+        state = state or [0, None, False, False]
+        if state[1] is not None and state[1] <= row["at"]:  # it ended before this
+            out, state = self.lapse(key, state)
+        attempt, until, lapsed, over = state
+        status, live = row["status"], until is not None
+        if over:
+            kind = "refused_terminal"
+        elif status == "PROCESSING":
+            kind = "refused_leased" if live else "reclaimed" if lapsed else "claimed"
+            if not live:
+                attempt, until, lapsed = attempt + 1, row["at"] + self.lease, False
+        elif status not in ("PROGRESS", "FAILED", "COMPLETE"):
+            return out, state
+        elif not live:
+            kind = "stale"
+        elif status == "PROGRESS":
+            kind, until = "extended", row["at"] + self.lease
+        else:
+            kind = "completed" if status == "COMPLETE" else "dead" if attempt >= self.most else "retry"
+            until, over = None, kind != "retry"
+        return [*out, (key, row["at"], kind, attempt)], [attempt, until, lapsed, over]
+
+
+def lifecycle(events: DataFrame, lease: float = 3600.0, most: int = 3, late: str = "0 seconds", forget_s: float | None = None) -> DataFrame:
+    """Claims, refusals, lapses, retries and ends of a stream of job events (job_id, event_id, ts, status). A lapse is told when
+    the watermark has passed it, without waiting for the job's next event."""
+    timed = events.select("job_id", "event_id", "ts", "status", (F.unix_micros("ts") / 1e6).alias("at"))
+    return in_order(timed, "job_id", "ts", "event_id", Lease(lease, most), LIFE, late, forget_s)
 
 
 SCENE_STATE = "scene int, start double, prior array<double>, reference array<double>"
@@ -170,8 +159,8 @@ def scene_stream(frames: DataFrame, c: SceneLimits = SceneLimits(), idle_ms: int
     return wanted.groupBy("video_id").applyInPandasWithState(step, "video_id long, frame_number long, scene_index int, boundary string", SCENE_STATE, "append", timeout(idle_ms))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and gives the table that it wrote."""
+def drained(stream: DataFrame, name: str, mode: str = "append", session: SparkSession | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and gives the table that it wrote, read by ``session`` if it isn't the stream's."""
     spark = stream.sparkSession
     out = scratch(spark, name)
     if mode == "append":
@@ -180,31 +169,39 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).outputMode(mode)
     query = writer.option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return (session or spark).read.schema(stream.schema).parquet(out)
 
 
-#: Parts of an upserted table; a micro-batch rewrites those that it touches.
-PARTS = 64
+WRITES = "job_id long, event_id long, at double, prior string, status string, accepted boolean, version int"
 
 
-def upsert_latest(events: DataFrame, path: str, checkpoint: str, parts: int = PARTS):
-    """A sink that keeps the last state of each job in a table of ``parts`` partitions. A micro-batch merges its jobs into
-    the partitions that they are in, by way of a staging folder, and replaces those; the merge is a maximum, so one that
-    is repeated after a failure changes nothing."""
+class Guarded:
+    """Writes of a job's status: one that may not follow the present one is refused and told, and changes nothing; so is a
+    repeated one, which isn't told again. State: status, number of accepted writes, time and id of the last event."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("job_id"), F.lit(parts)).cast("int")
-        fresh = batch.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status", "amount")).alias("s")).withColumn("part", part)
-        touched = [r.part for r in fresh.select("part").distinct().collect()]  # ``parts`` at most
-        if not touched:
-            return
-        known = spark.read.schema(fresh.schema).option("ignoreMissingFiles", True).parquet(path).filter(F.col("part").isin(touched)) if number else fresh.limit(0)
-        merged = fresh.unionByName(known).groupBy("job_id", "part").agg(F.max("s").alias("s"))
-        staged = scratch(spark, "upsert")
-        merged.write.parquet(staged)
-        spark.read.schema(merged.schema).parquet(staged).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-        gone = spark._jvm.org.apache.hadoop.fs.Path(staged)
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    def step(self, key: int, row: dict, state: list | None) -> tuple[list[tuple], list]:
+        status, version, at, event = state or [None, 0, None, None]
+        if event is not None and (row["at"], row["event_id"]) <= (at, event):
+            return [], [status, version, at, event]
+        accepted = status is None or (status, row["status"]) in LEGAL
+        told = (key, row["event_id"], row["at"], status, row["status"], accepted, version + accepted)
+        return [told], [row["status"] if accepted else status, version + accepted, row["at"], row["event_id"]]
+
+    def due(self, state: list) -> None:
+        return None
+
+    def lapse(self, key: int, state: list) -> tuple[list[tuple], list]:
+        return [], state
+
+
+def guarded_writes(events: DataFrame, late: str = "0 seconds", forget_s: float | None = None) -> DataFrame:
+    """The log of all writes of a stream of job events (job_id, event_id, ts, status), accepted or refused: it is only ever
+    appended to, and :func:`latest_of` gives the present state of each job."""
+    timed = events.select("job_id", "event_id", "ts", "status", (F.unix_micros("ts") / 1e6).alias("at"))
+    return in_order(timed, "job_id", "ts", "event_id", Guarded(), WRITES, late, forget_s)
+
+
+def latest_of(log: DataFrame) -> DataFrame:
+    """Each job's present status and version, and how many writes were refused: the log, compacted (map-side maxima)."""
+    last = F.max_by(F.struct("status", "event_id", "version"), F.when(F.col("accepted"), F.col("version"))).alias("s")
+    return log.groupBy("job_id").agg(last, F.count_if(~F.col("accepted")).alias("refused")).select("job_id", "s.status", "s.event_id", "s.version", "refused")

@@ -182,3 +182,62 @@ def test_diverse_selection(spark, limits):
             why = "rejected_scene_limit" if len(chosen) >= limits.most else "rejected_adaptive_selection"
             want |= {r[2]: (why, 0) for r in left}
     assert {r.frame_number: (r.decision, r.selection_rank) for r in keyframes.select_keyframes(df, limits).collect()} == want
+
+
+@pytest.mark.parametrize("few", [1, 7, 10_000])
+def test_quantiles_agree_with_sorting(spark, monkeypatch, few):
+    from framewright.operators import quantiles as q
+
+    monkeypatch.setattr(q, "FEW", few)
+    monkeypatch.setattr(q, "BINS", 5)
+    monkeypatch.setattr(q, "MOST_PASSES", 40)
+    r = np.random.default_rng(6)
+    groups = {1: r.normal(0, 1, 400), 2: np.full(300, 2.5), 3: np.array([7.0]), 4: np.concatenate([np.full(200, -1.0), [1e300, -1e300], np.arange(50.0)]), 5: np.array([1.0, 2.0]), 6: np.round(r.exponential(1, 300), 1)}
+    rows = [(g, float(v), "x") for g, vs in groups.items() for v in vs] + [(1, None, "x"), (8, None, "x"), (None, 3.0, "x"), (None, 4.0, "x")]
+    wanted = {"low": 0.0, "half": 0.5, "most": 0.95, "top": 1.0}
+    df = spark.createDataFrame(rows, "g long, value double, rank string")
+    got = {r.g: [r[k] for k in wanted] for r in q.quantiles(df.filter("g is not null"), ["g"], "value", wanted).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert np.allclose(got[g], [np.quantile(vs, p) for p in wanted.values()], rtol=1e-12)
+    assert q.quantiles(df.limit(0), ["g"], "value", wanted).count() == 0
+
+
+def test_prefixes_meet_both_ways(spark):
+    from framewright.operators import jobs
+
+    rules = [(1, "a/b/", True, True), (2, "a/", True, True), (3, "", True, True), (4, "a/b/c/d", True, True), (5, "b/", True, True), (6, "a/b/", False, True), (7, "a/b/", True, False), (8, None, True, True), (9, "ä/", True, True), (10, "a/c", True, True)]
+    roots = ["a/b/c/", "ä/x", "q"]
+    want = {i for i, p, e, x in rules if e and x and p is not None and any(p.startswith(r) or r.startswith(p) for r in roots)}
+    df = jobs.conflicts(spark.createDataFrame(rules, "rule_id long, prefix string, enabled boolean, expires boolean"), spark.createDataFrame([(r,) for r in roots], "root string"))
+    assert sorted(r.rule_id for r in df.collect()) == sorted(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_neighbours_agree_with_a_plain_list(spark):
+    from framewright.operators import keyframes
+
+    r = np.random.default_rng(9)
+    views = r.normal(size=(4, 16))
+    rows = []
+    for v in range(6):
+        t, scene = 0.0, 0
+        for n in range(60):
+            t += float(r.choice([0.3, 1.0, 4.0]))
+            scene += int(r.random() < 0.4)
+            rows.append((v, scene, n, t, float(r.integers(0, 5)), [float(x) for x in views[r.integers(4)] + r.normal(0, 0.02, 16)]))
+    want = []
+    for v in range(6):
+        kept = []
+        for f in [x for x in rows if x[0] == v]:
+            far = [k for k, o in enumerate(kept) if f[3] - o[3] > 8.0]
+            near = [k for k, o in enumerate(kept) if k > max(far, default=-1) and abs(o[1] - f[1]) == 1 and keyframes.alike(keyframes.signature_of(o[5]), keyframes.signature_of(f[5])) >= 0.94]
+            if not near:
+                kept.append(f)
+            elif f[4] > kept[near[-1]][4]:
+                kept[near[-1]] = f
+        want += [x[:3] for x in kept]
+    df = spark.createDataFrame(rows, "video_id long, scene_index int, frame_number long, t double, sharpness double, signature array<double>")
+    got = sorted(map(tuple, keyframes.remove_across_scenes(df).collect()))
+    assert got == sorted(want) and len(got) < len(rows)

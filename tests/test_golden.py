@@ -184,7 +184,8 @@ def test_keyframes(spark):
     assert sum(d == "selected_keyframe" for d in got.values()) >= 3
     assert [keyframes.least_for(d, 3) for d in (4, 12, 30)] == [1, 2, 3] and keyframes.least_for(30, 0) == 0
     near = [pd.DataFrame([(1, s, n, t, q, view[0])], columns=["video_id", "scene_index", "frame_number", "t", "sharpness", "signature"]).itertuples(index=False).__next__() for s, n, t, q in ((0, 0, 0.0, 5.0), (1, 1, 2.0, 9.0), (2, 2, 30.0, 9.0))]
-    assert keyframes.without_neighbours(near, 0.94, 8.0) == [(1, 1, 1), (1, 2, 2)]
+    walk = keyframes.Neighbours(0.94, 8.0)
+    assert [x for r in near for x in walk.push(r)] + walk.end() == [(1, 1, 1), (1, 2, 2)]
 
 
 def test_minimum_fill_sees_all_frames(spark):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from datetime import datetime, timedelta
-from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from framewright.operators import frames, jobs, pixels, scenes
 from framewright.sources import readers, sinks
 from framewright.sources.views import view
 from framewright.streaming import jobs as streams
+from framewright.streaming.ordered import PROVIDER, with_state_store
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,49 +89,127 @@ def test_sinks(spark, tmp_path):
         sinks.overridden(frames.LIMITS, {"sharpnes": 1})
 
 
+def walk(rule, rows, state=None):
+    out = []
+    for r in rows:
+        got, state = rule.step(1, r, state)
+        out += got
+    return out, state
+
+
 def test_progress_rules():
-    row = lambda at, stage, message, done, total, end=False: SimpleNamespace(job_id=1, at=at, stage=stage, message=message, completed=done, total=total, finished=end)
-    out, state = streams.throttle_rows([row(0.0, "extract", "m", 15, 26)] + [row(0.0, "extract", "m", n, 26) for n in range(48)], None, 2.0)
+    row = lambda at, stage, message, percent, end=False: {"at": at, "stage": stage, "message": message, "percent": percent, "finished": end}
+    rule = streams.Throttle(2.0)
+    out, state = walk(rule, [row(0.0, "extract", "m", 57)] + [row(0.0, "extract", "m", n) for n in range(48)])
     assert out == [(1, 0.0, "extract", "m", 57)]
-    out, state = streams.throttle_rows([row(1.0, "extract", "m", 1, 26), row(2.5, "extract", "m", 2, None), row(2.6, "select", "m", 3, 0), row(2.7, "select", "n", 10, 10), row(2.8, "select", "n", 10, 10, True), row(2.9, "select", "n", 3, 2, True)], state, 2.0)
+    out, state = walk(rule, [row(1.0, "extract", "m", 3), row(2.5, "extract", "m", None), row(2.6, "select", "m", None), row(2.7, "select", "n", 99), row(2.8, "select", "n", 100, True), row(2.9, "select", "n", None, True)], state)
     assert [(r[1], r[4]) for r in out] == [(2.5, None), (2.6, None), (2.7, 99), (2.8, 100), (2.9, None)]
 
 
 def test_leases():
-    step = lambda *xs: [SimpleNamespace(at=float(a), status=s) for a, s in xs]
-    out, state = streams.lease_rows(7, step((0, "PROCESSING"), (5, "PROCESSING"), (8, "PROGRESS"), (30, "PROGRESS"), (31, "PROCESSING"), (32, "FAILED"), (33, "PROCESSING"), (34, "FAILED"), (35, "PROCESSING")), None, 10.0, 3)
-    assert [k for _, _, k, _ in out] == ["claimed", "refused_leased", "extended", "stale", "reclaimed", "retry", "claimed", "dead", "refused_terminal"]
-    assert state[2]
+    rule = streams.Lease(10.0, 3)
+    steps = ((0, "PROCESSING"), (5, "PROCESSING"), (8, "PROGRESS"), (30, "PROGRESS"), (31, "PROCESSING"), (32, "FAILED"), (33, "PROCESSING"), (34, "FAILED"), (35, "PROCESSING"))
+    out, state = walk(rule, [{"at": float(a), "status": s} for a, s in steps])
+    assert [(k, t) for _, t, k, _ in out] == [
+        ("claimed", 0), ("refused_leased", 5), ("extended", 8), ("expired", 18), ("stale", 30), ("reclaimed", 31), ("retry", 32), ("claimed", 33), ("dead", 34), ("refused_terminal", 35)
+    ]
+    assert state[3] and rule.due(state) is None
+    out, state = walk(rule, [{"at": 0.0, "status": "PROCESSING"}, {"at": 1.0, "status": "QUEUED"}])
+    assert rule.due(state) == 10.0 and rule.lapse(1, state) == ([(1, 10.0, "expired", 1)], [1, None, True, False])
+
 
+def test_writes_that_may_not_follow_are_refused():
+    rows = [(1, "QUEUED"), (2, "COMPLETE"), (3, "PROCESSING"), (3, "PROCESSING"), (4, "PROGRESS"), (5, "QUEUED"), (6, "COMPLETE")]
+    out, state = walk(streams.Guarded(), [{"at": float(k), "event_id": k, "status": s} for k, s in rows])
+    assert [(r[1], r[5], r[6]) for r in out] == [(1, True, 1), (2, False, 1), (3, True, 2), (4, True, 3), (5, False, 3), (6, True, 4)]
+    assert walk(streams.Guarded(), [{"at": float(k), "event_id": k, "status": s} for k, s in rows], state) == ([], state)  # a replay
 
-def test_streams_agree_with_batch(spark, tmp_path):
+
+def test_streams_agree_with_batch(spark):
     events = view(spark, SF, "job_events")
     windows = streams.drained(streams.telemetry_windows(streams.event_stream(spark, SF)), "w", "complete")
     assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, jobs.telemetry_windows(events).collect()))
-    life = streams.drained(streams.lifecycle(streams.event_stream(spark, SF)), "l")
-    want = []
-    rows = sorted(events.select("job_id", "at_s", "event_id", "status").collect(), key=lambda r: (r.job_id, r.at_s, r.event_id))
-    for job in sorted({r.job_id for r in rows}):
-        want += streams.lease_rows(job, [SimpleNamespace(at=r.at_s, status=r.status) for r in rows if r.job_id == job], None, 3600.0, 3)[0]
-    assert sorted((r.job_id, r["kind"], r.attempt, round(r.at, 3)) for r in life.collect()) == sorted((j, k, n, round(a, 3)) for j, a, k, n in want)
     once = streams.drained(streams.once_per_job(streams.event_stream(spark, SF)), "o")
     assert once.groupBy("job_id", "status").count().count() == events.select("job_id", "status").distinct().count()
-    out = str(tmp_path / "state")
-    streams.upsert_latest(streams.event_stream(spark, SF), out, str(tmp_path / "ck")).awaitTermination()
-    last = spark.read.parquet(out).select("job_id", F.col("s.event_id").alias("event_id"))
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, jobs.latest_state(events).select("job_id", "event_id").collect()))
 
 
-def test_upsert_replaces_the_parts_that_a_batch_touches(spark, tmp_path):
-    schema = "event_id long, job_id long, ts timestamp, status string, amount double"
-    rows = [(k, k % 7, datetime(2024, 1, 1) + timedelta(minutes=k), "PROGRESS" if k % 5 else "FAILED", float(k)) for k in range(60)]
-    for n in range(3):
-        part = rows[n * 20 : n * 20 + 20] if n else [r for r in rows[:20] if r[1] != 6]
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    streams.upsert_latest(source, str(tmp_path / "state"), str(tmp_path / "ck"), parts=4).awaitTermination()
-    got = {r.job_id: (r.s.event_id, r.s.status) for r in spark.read.parquet(str(tmp_path / "state")).collect()}
-    assert got == {j: max((r[0], r[3]) for r in rows if r[1] == j) for j in range(7)}
+def test_several_micro_batches_agree_with_one(spark, tmp_path):
+    own = with_state_store(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER  # the given session stays as it is
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, k % 3, t0 + timedelta(minutes=7 * k), ("QUEUED", "PROCESSING", "PROGRESS", "PROCESSING", "FAILED", "PROGRESS", "COMPLETE")[(k * k + k // 3) % 7]) for k in range(90)]
+    schema = "event_id long, job_id long, ts timestamp, status string"
+    rules = {"lease": streams.Lease(1500.0, 2), "guarded": streams.Guarded()}
+    results = {}
+    for parts in (1, 3):
+        for n in range(parts):  # within a part in no order; the last of a part comes before the first of the next
+            part = rows[n * 90 // parts : (n + 1) * 90 // parts]
+            own.createDataFrame(part[1::2] + part[::2], schema).coalesce(1).write.parquet(str(tmp_path / f"in{parts}" / f"part{n}"))
+        source = lambda: own.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / f"in{parts}"))  # noqa: B023, E731
+        life = streams.drained(streams.lifecycle(source(), 1500.0, 2), "l")
+        log = streams.drained(streams.guarded_writes(source()), "g")
+        results[parts] = [sorted(map(tuple, df.collect())) for df in (life, log)]
+    assert results[1] == results[3]
+    want = []
+    for job in range(3):
+        state, own_rows = None, [{"at": r[2].timestamp(), "event_id": r[0], "status": r[3]} for r in rows if r[1] == job]
+        for r in own_rows:
+            got, state = rules["lease"].step(job, r, state)
+            want += got
+        if rules["lease"].due(state) is not None and rules["lease"].due(state) <= rows[-1][2].timestamp():
+            want += rules["lease"].lapse(job, state)[0]
+    shift = want[0][1] - min(r[1] for r in results[1][0] if r[0] == want[0][0])  # the zone of the session and of this process
+    assert results[1][0] == sorted((j, a - shift, k, n) for j, a, k, n in want) and any(r[2] == "expired" for r in results[1][0])
+
+
+def test_silent_jobs_are_forgotten(spark, tmp_path):
+    own = with_state_store(spark)
+    t0 = datetime(2024, 1, 1)
+    rows = [[(1, 7, t0, "QUEUED"), (2, 8, t0, "QUEUED")], [(3, 8, t0 + timedelta(hours=5), "PROCESSING")], [(4, 7, t0 + timedelta(hours=6), "COMPLETE"), (5, 8, t0 + timedelta(hours=6), "COMPLETE")]]
+    for n, part in enumerate(rows):
+        own.createDataFrame(part, "event_id long, job_id long, ts timestamp, status string").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    source = own.readStream.schema("event_id long, job_id long, ts timestamp, status string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = {r.event_id: (r.prior, r.accepted) for r in streams.drained(streams.guarded_writes(source, forget_s=3 * 3600.0), "f").collect()}
+    assert got[4] == (None, True)  # job 7 was silent for six hours, so nothing is known of it
+    assert got[5][0] in ("PROCESSING", None) and set(got) == {1, 2, 3, 4, 5}
+
+
+def test_frame_images(spark, tmp_path):
+    r = np.random.default_rng(3)
+    px = r.integers(0, 256, (5, 7, 4), np.uint8)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+
+    def filtered(image):  # each line with another of the five filters
+        h, w, c = image.shape
+        wide = np.zeros((h + 1, w + 1, c), int)
+        wide[1:, 1:] = image
+        lines = []
+        for y in range(h):
+            left, up, corner, own = wide[y + 1, :-1], wide[y, 1:], wide[y, :-1], wide[y + 1, 1:]
+            p = left + up - corner
+            near = np.abs(np.stack([p - left, p - up, p - corner]))
+            paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
+            lines.append(bytes([y % 5]) + ((own - (0, left, up, (left + up) // 2, paeth)[y % 5]) % 256).astype(np.uint8).tobytes())
+        return b"".join(lines)
+
+    for kind, c in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(filtered(px[:, :, :c]))) + chunk(b"IEND", b"")
+        (tmp_path / f"frame_{kind:06d}.png").write_bytes(png)
+    (tmp_path / "frame_10.pgm").write_bytes(b"P5 7 5 255\n" + px[:, :, 0].tobytes() + b"P2\n# frame 11\n2 1 9\n3\n 9\n")
+    (tmp_path / "frame_12.ppm").write_bytes(b"P6\n7 5\n255\n" + px[:, :, :3].tobytes())
+    (tmp_path / "frame_13.pgm").write_bytes(b"P5 7 5 255\n" + b"cut off")
+    (tmp_path / "frame_14.png").write_bytes(b"no image")
+    (tmp_path / "frame_15.pgm").write_bytes(b"P5 1000 5 255\n" + bytes(5000))
+    (tmp_path / "notes.csv").write_text("not an image")
+    got = {r.frame_number if r.error is None else r.path.rsplit("/")[-1]: r for r in readers.frame_images(spark, str(tmp_path), "frame_*", most_bytes=4000).collect()}
+    plain, mixed = px[:, :, 0].ravel().tolist(), np.floor(px[:, :, :3] @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(int).ravel().tolist()
+    assert set(got) == {0, 2, 4, 6, 10, 11, 12, "frame_13.pgm", "frame_14.png", "frame_15.pgm"}
+    assert got[0].px == got[4].px == got[10].px == plain and got[2].px == got[6].px == got[12].px == mixed and got[11].px == [3, 9]
+    assert (got[0].width, got[0].height) == (7, 5) and "5014 bytes" in got["frame_15.pgm"].error
+    sinks.write_images(spark.createDataFrame([(1, 5, list(range(64))), (1, 6, [1] * 8), (2, 7, [0] * 16)], "video_id long, frame_number long, px array<int>").coalesce(1), str(tmp_path / "w"))
+    back = readers.frame_images(spark, str(tmp_path / "w"), "*.txt")
+    assert {(r.video_id, r.frame_number, r.height, tuple(r.px)) for r in back.collect()} == {(1, 5, 8, tuple(range(64))), (1, 6, 1, (1,) * 8), (2, 7, 2, (0,) * 16)}
+    assert back.select("path").distinct().count() == 2  # one file for all frames of a video
 
 
 def test_scene_stream_agrees_with_batch(spark, tmp_path):
