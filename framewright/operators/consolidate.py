@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -13,8 +13,9 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
-from .evaluate import iou
-from .groups import by_group, walked
+from ..sources.scratch import dropped, stored
+from .evaluate import MOST_ROUNDS, iou
+from .groups import walked
 from .rangejoin import band_join
 
 # Words that carry no meaning, forms that mean one thing, and the weights of the signals.
@@ -228,50 +229,65 @@ register(
 
 
 def suppress(findings: DataFrame, gap: float = 5.0, overlap: float = 0.3) -> DataFrame:
-    """Findings that stay when each suppresses less confident ones of its category that are near in time and place. Runs
-    without a gap over ``gap`` can't reach each other, so each is a group of its own."""
-
-    def keep(rows: list) -> list[tuple]:
-        kept: list = []
-        near: dict[int, list] = {}  # those kept, by time in steps of the gap
-        for row in sorted(rows, key=lambda r: (-r.confidence, r.finding_id)):
-            step = int(row.ts_s // gap)
-            if not any(abs(row.ts_s - k.ts_s) <= gap and box_overlap(row, k) >= overlap for s in (step - 1, step, step + 1) for k in near.get(s, ())):
-                kept.append(row)
-                near.setdefault(step, []).append(row)
-        return [(k.finding_id,) for k in kept]
-
-    w = Window.partitionBy("video_id", "category").orderBy("ts_s", "finding_id")
-    runs = findings.withColumn("s", F.coalesce((F.col("ts_s") - F.lag("ts_s").over(w) > gap).cast("int"), F.lit(0))).withColumn("run", F.sum("s").over(w))
-    wanted = runs.select("video_id", "category", "run", "finding_id", "ts_s", "confidence", "x", "y", "width", "height")
-    return by_group(wanted, ["video_id", "category", "run"], ["finding_id"], keep, "finding_id long")
-
-
-register("t06_suppression", "findings", suppress)
+    """Findings that stay when each that stays suppresses the less certain ones of its video and category that are near in time
+    and place (of equally certain ones the smaller id comes first).
+
+    In rounds over all videos at once: a finding that no undecided better neighbour can suppress stays, and its neighbours go,
+    until nothing is undecided. Neighbours are the pairs of a join on time buckets, so no group is ever held in memory."""
+    keyed = findings.select(F.concat_ws("|", F.col("video_id").cast("string"), "category").alias("of"), "finding_id", "ts_s", "confidence", "x", "y", "width", "height")
+    other = keyed.select("of", *[F.col(c).alias(f"r_{c}") for c in keyed.columns[1:]])
+    better = (F.col("confidence") > F.col("r_confidence")) | ((F.col("confidence") == F.col("r_confidence")) & (F.col("finding_id") < F.col("r_finding_id")))
+    pairs = band_join(keyed, other, "of", "ts_s", "r_ts_s", gap).filter(better & (ex(iou("", "r_")) >= overlap))
+    edges, gone = stored(pairs.select(F.col("finding_id").alias("better"), F.col("r_finding_id").alias("worse")), "neighbours"), []
+    for _ in range(MOST_ROUNDS):
+        if edges.isEmpty():
+            break
+        stays = edges.select(F.col("better").alias("id")).distinct().join(edges.select(F.col("worse").alias("id")), "id", "left_anti")  # of those that could suppress
+        gone.append(stored(edges.join(stays, edges["better"] == stays["id"]).select(F.col("worse").alias("id")).distinct(), "suppressed"))
+        before = edges
+        # what went suppresses nothing, and what stays has no undecided neighbour left
+        edges = stored(edges.join(gone[-1], edges["better"] == gone[-1]["id"], "left_anti").join(gone[-1], F.col("worse") == gone[-1]["id"], "left_anti"), "neighbours")
+        dropped(before)
+    else:
+        raise RuntimeError("the suppression did not settle")
+    ids = findings.select("finding_id")
+    for part in gone:
+        ids = ids.join(part, ids["finding_id"] == part["id"], "left_anti")
+    return ids
+
+
+_IOU = "greatest(0.0, least({a}.x + {a}.width, {b}.x + {b}.width) - greatest({a}.x, {b}.x)) * greatest(0.0, least({a}.y + {a}.height, {b}.y + {b}.height) - greatest({a}.y, {b}.y))".format(a="k", b="o")
+_HIT = f"k.ts_s - o.ts_s <= 5.0 AND o.ts_s - k.ts_s <= 5.0 AND CASE WHEN k.width * k.height + o.width * o.height - {_IOU} > 0 THEN {_IOU} / (k.width * k.height + o.width * o.height - {_IOU}) ELSE 0.0 END >= 0.3"
+register(
+    "t06_suppression", "findings", suppress,
+    f"""WITH RECURSIVE o AS (SELECT video_id, category, finding_id, {{'ts_s': ts_s, 'x': x, 'y': y, 'width': width, 'height': height}} AS o, row_number() OVER (PARTITION BY video_id, category ORDER BY confidence DESC, finding_id) AS n FROM findings),
+walk AS (SELECT video_id, category, n, finding_id, true AS stays, [o] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT video_id, category, n, finding_id, NOT hit, CASE WHEN hit THEN kept ELSE list_append(kept, o) END
+  FROM (SELECT o.*, w.kept, len(list_filter(w.kept, lambda k: {_HIT.replace('o.', 'o.o.')})) > 0 AS hit FROM walk w JOIN o ON o.video_id = w.video_id AND o.category = w.category AND o.n = w.n + 1))
+SELECT finding_id FROM walk WHERE stays""",
+)
 
 
 def spaced_top(findings: DataFrame, k: int = 3, apart: float = 1.0) -> DataFrame:
-    """Of each video the ``k`` least certain ambiguous findings that are ``apart`` seconds from each other. A video's rows
-    stream by in order of confidence; only the times of the chosen ones are held."""
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, chosen = None, []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.video_id != key:
-                    key, chosen = row.video_id, []
-                if len(chosen) < k and all(abs(row.ts_s - t) >= apart for t in chosen):
-                    chosen.append(row.ts_s)
-                    out.append((row.video_id, row.finding_id))
-            if out:
-                yield pd.DataFrame(out, columns=["video_id", "finding_id"])
-
-    wanted = findings.filter("confidence between 0.5 and 0.85").select("video_id", "finding_id", "ts_s", "confidence")
-    return wanted.repartition("video_id").sortWithinPartitions("video_id", "confidence", "ts_s", "finding_id").mapInPandas(pick, "video_id long, finding_id long")
-
-
-register("t05_spaced_top", "findings", spaced_top)
+    """Of each video the ``k`` least certain ambiguous findings that are ``apart`` seconds from each other: ``k`` rounds, each
+    with the best finding that is left of each video (a map-side minimum), which takes those too near to it out."""
+    left, found = findings.filter("confidence between 0.5 and 0.85").select("video_id", "finding_id", "ts_s", "confidence"), []
+    for _ in range(k):
+        first = left.groupBy("video_id").agg(F.min(F.struct("confidence", "ts_s", "finding_id")).alias("b"))
+        found.append(stored(first.select("video_id", "b.finding_id", F.col("b.ts_s").alias("at")), "spaced"))
+        left = left.join(found[-1].select("video_id", "at"), "video_id").filter(F.abs(F.col("ts_s") - F.col("at")) >= apart).drop("at")
+    return functools.reduce(DataFrame.unionByName, [t.select("video_id", "finding_id") for t in found])
+
+
+_AMBIGUOUS = "a AS (SELECT video_id, finding_id, ts_s, confidence FROM findings WHERE confidence BETWEEN 0.5 AND 0.85)"
+_FIRST = "arg_min({{'id': finding_id, 'at': ts_s}}, (confidence, ts_s, finding_id)) AS b"
+register(
+    "t05_spaced_top", "findings", spaced_top,
+    f"""WITH {_AMBIGUOUS}, one AS (SELECT video_id, {_FIRST.format()} FROM a GROUP BY video_id),
+two AS (SELECT a.video_id, {_FIRST.format()} FROM a JOIN one ON one.video_id = a.video_id AND abs(ts_s - one.b.at) >= 1.0 GROUP BY a.video_id),
+three AS (SELECT a.video_id, {_FIRST.format()} FROM a JOIN one ON one.video_id = a.video_id AND abs(ts_s - one.b.at) >= 1.0 JOIN two ON two.video_id = a.video_id AND abs(ts_s - two.b.at) >= 1.0 GROUP BY a.video_id)
+SELECT video_id, b.id AS finding_id FROM one UNION ALL SELECT video_id, b.id FROM two UNION ALL SELECT video_id, b.id FROM three""",
+)
 
 
 class Agreement:

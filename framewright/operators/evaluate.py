@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
+from ..sources.scratch import dropped, stored
 from .frames import score_frames
-from .groups import by_group
 from .rangejoin import band_join, interval_join
 
 # Which findings confirm which annotated defect (categories, then words that must all be met).
@@ -91,28 +93,43 @@ pairs AS (SELECT *, {iou('', 'b_')} AS overlap, CASE WHEN category <> truth THEN
 register("j04_box_match", "findings truth_boxes", lambda f, t: box_pairs(f, t).select("finding_id", "box_id", "reason", r6(F.col("overlap")).alias("overlap")), f"WITH {_PAIRS} SELECT finding_id, box_id, reason, R6(overlap) AS overlap FROM pairs")
 
 
+#: Rounds after which something must be wrong: each round decides at least the first finding that is left in each clip.
+MOST_ROUNDS = 10_000
+
+
 def match_one_to_one(pairs: DataFrame) -> DataFrame:
-    """Greedy matching by overlap: findings in order of their best overlap, each takes its best box that is still free. A
-    group is one clip's verified pairs, whose number is bounded by the clip's annotations."""
-
-    def greedy(rows: list) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: (-r.overlap, r.finding_id, r.box_id))
-        options: dict[int, list] = {}
-        for r in rows:  # findings in order of their best overlap, each with its boxes in order of overlap
-            options.setdefault(r.finding_id, []).append(r)
-        taken, out = set(), []
-        for boxes in options.values():
-            first = next((r for r in boxes if r.box_id not in taken), None)
-            if first is not None:
-                taken.add(first.box_id)
-                out.append((first.video_id, first.finding_id, first.box_id, first.overlap))
-        return out
-
-    verified = pairs.filter("reason = 'verified_match'").select("video_id", "finding_id", "box_id", "overlap")
-    return by_group(verified, ["video_id"], ["finding_id", "box_id"], greedy, "video_id long, finding_id long, box_id long, overlap double")
-
-
-register("j05_greedy_matching", "findings truth_boxes", lambda f, t: match_one_to_one(box_pairs(f, t)).select("video_id", "finding_id", "box_id", r6(F.col("overlap")).alias("overlap")))
+    """Greedy matching by overlap: findings in order of their best overlap, each takes its best box that is still free.
+
+    In rounds over all clips at once: a finding takes its favourite of the boxes that are left if it comes first among all
+    findings that are left and could have that box, as then nobody before it can take it. Both are map-side minima, so a dense
+    clip is spread out like any other."""
+    clip, left = ["video_id"], pairs.filter("reason = 'verified_match'").select("video_id", "finding_id", "box_id", "overlap")
+    order = left.groupBy("video_id", "finding_id").agg((-F.max("overlap")).alias("turn"))
+    left, found = stored(left.join(order, ["video_id", "finding_id"]), "pairs"), []
+    for _ in range(MOST_ROUNDS):
+        if left.isEmpty():
+            break
+        favourite = left.groupBy("video_id", "finding_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "box_id")).alias("f")).select("video_id", "finding_id", "f.box_id", (-F.col("f.less")).alias("overlap"))
+        first = left.groupBy("video_id", "box_id").agg(F.min(F.struct("turn", "finding_id")).alias("t")).select("video_id", "box_id", F.col("t.finding_id").alias("finding_id"))
+        found.append(stored(favourite.join(first, ["video_id", "finding_id", "box_id"]), "taken"))
+        rest = left.join(found[-1].select(*clip, "finding_id"), [*clip, "finding_id"], "left_anti").join(found[-1].select(*clip, "box_id"), [*clip, "box_id"], "left_anti")
+        before, left = left, stored(rest.select("video_id", "finding_id", "box_id", "overlap", "turn"), "pairs")
+        dropped(before)
+    else:
+        raise RuntimeError("the matching did not settle")
+    columns = ("video_id", "finding_id", "box_id", "overlap")
+    return functools.reduce(DataFrame.unionByName, [t.select(*columns) for t in found], left.select(*columns))
+
+
+_ORDERED = f"""WITH RECURSIVE {_PAIRS}, ok AS (SELECT video_id, finding_id, list(box_id ORDER BY overlap DESC, box_id) AS boxes, list(overlap ORDER BY overlap DESC, box_id) AS shares, max(overlap) AS best FROM pairs WHERE reason = 'verified_match' GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY best DESC, finding_id) AS n FROM ok),
+walk AS (SELECT video_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS finding_id, CAST(NULL AS BIGINT) AS box_id, CAST(NULL AS DOUBLE) AS overlap, CAST([] AS BIGINT[]) AS taken FROM o WHERE n = 1
+  UNION ALL SELECT video_id, n, finding_id, box, shares[list_position(boxes, box)], CASE WHEN box IS NULL THEN taken ELSE list_append(taken, box) END
+  FROM (SELECT o.*, w.taken, list_filter(o.boxes, lambda b: NOT list_contains(w.taken, b))[1] AS box FROM walk w JOIN o ON o.video_id = w.video_id AND o.n = w.n + 1))"""
+register(
+    "j05_greedy_matching", "findings truth_boxes", lambda f, t: match_one_to_one(box_pairs(f, t)).select("video_id", "finding_id", "box_id", r6(F.col("overlap")).alias("overlap")),
+    f"{_ORDERED} SELECT video_id, finding_id, box_id, R6(overlap) AS overlap FROM walk WHERE box_id IS NOT NULL",
+)
 
 
 def coverage(findings: DataFrame, frames: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -11,18 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import stored
 
 #: Bins of a pass; values that are sorted at once; passes after which something must be wrong (doubles have 64 bits).
 BINS, FEW, MOST_PASSES = 2048, 10_000, 12
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _halved(lo: Column, hi: Column, v: Column) -> Column:
     """The bin of a value: it never falls as values rise. Scaled down, so that the range of all doubles can be divided."""
     share = (v / 4 - lo / 4) / (hi / 4 - lo / 4)
@@ -46,9 +40,9 @@ def values_at(values: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
         bins = binned.groupBy(*keys, "at", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         before = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("n")  # BINS rows a group and rank
         held = bins.withColumn("before", before).filter("before <= at and at < before + n")
-        todo = _table(held.select(*keys, "n", "lo", "hi", (F.col("at") - F.col("before")).alias("at")), "ranks")
+        todo = stored(held.select(*keys, "n", "lo", "hi", (F.col("at") - F.col("before")).alias("at")), "ranks")
         inside = pool.select(*keys, "v").join(todo, keys).filter("v between lo and hi")
-        pool = _table(inside, "values")
+        pool = stored(inside, "values")
     else:
         raise RuntimeError("the ranks did not settle")
     out = found[0]
@@ -60,7 +54,7 @@ def values_at(values: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """by and, by name, the linearly interpolated quantiles of the values that aren't null, one row a group that has any."""
     values = df.select(*by, F.col(value).cast("double").alias("v")).filter("v is not null")
-    sizes = _table(values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
+    sizes = stored(values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
     place = lambda q: (F.col("n") - 1) * F.lit(float(q))
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in qs.values()])))
     wanted = sizes.select("*", F.explode(ranks).alias("rank"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ class SceneLimits:
     least_s: float = 4.0
     most_s: float = 30.0
     moving: float = 12.0
+    feature: float = 0.22
 
 
 def similarity(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -35,19 +36,23 @@ def similarity(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return 1.0 if d == 0 else float(min(1.0, max(0.0, x @ y / d)))
 
 
-def boundary(prior: float, reference: float, elapsed: float, motion: float | None, c: SceneLimits) -> tuple[bool, str]:
-    """Whether a frame begins a scene, and why, from its similarity to the frame before and to the scene's reference."""
+def boundary(prior: float, reference: float, elapsed: float, motion: float | None, c: SceneLimits, features: tuple[float | None, float | None] = (None, None)) -> tuple[bool, str]:
+    """Whether a frame begins a scene, and why, from its similarity to the frame before and to the scene's reference: of colours,
+    and of ``features`` where both images have some."""
+    fused = [h if f is None else 0.65 * h + 0.35 * f for h, f in zip((prior, reference), features, strict=True)]
     still = 1.0 if motion is None or motion != motion else max(0.0, 1.0 - motion / (2 * c.moving))
-    combined = 0.9 * (0.6 * prior + 0.4 * reference) + 0.1 * still
+    combined = 0.9 * (0.6 * fused[0] + 0.4 * fused[1]) + 0.1 * still
     if 0 < c.most_s <= elapsed:
         return True, "maximum_scene_duration"
     if elapsed < c.least_s:
         return False, "suppressed_by_minimum_scene_duration" if combined < c.combined else "similar_scene"
-    if max(prior, reference) < 0.8 * c.histogram and combined < c.combined:
+    if features[0] is not None and features[0] < c.feature and prior < c.histogram and combined < c.combined:
+        return True, "hsv_and_feature_drop"
+    if features[0] is None and max(prior, reference) < 0.8 * c.histogram and combined < c.combined:
         return True, "hsv_drop_features_unavailable"
-    if reference < 0.9 * c.combined and prior < 1.05 * c.combined:
+    if fused[1] < 0.9 * c.combined and fused[0] < 1.05 * c.combined:
         return True, "scene_reference_divergence"
-    if reference < 0.9 * c.combined and prior >= max(1.25 * c.combined, 0.65):
+    if fused[1] < 0.9 * c.combined and fused[0] >= max(1.25 * c.combined, 0.65):
         return True, "stable_view_differs_from_scene_reference"
     if motion is not None and motion >= c.moving and combined < c.combined:
         return True, "visual_drop_with_camera_motion"
@@ -56,25 +61,29 @@ def boundary(prior: float, reference: float, elapsed: float, motion: float | Non
 
 @dataclass
 class SceneState:
-    """What the segmentation of one video remembers: two signatures, the scene's number and start."""
+    """What the segmentation of one video remembers: two signatures with their features, the scene's number and start."""
 
     scene: int = 0
     start: float | None = None
     prior: np.ndarray | None = None
     reference: np.ndarray | None = None
+    prior_features: np.ndarray | None = None
+    reference_features: np.ndarray | None = None
 
-    def step(self, t: float, signature: np.ndarray | None, rejected: bool, motion: float | None, c: SceneLimits) -> tuple[int, str]:
+    def step(self, t: float, signature: np.ndarray | None, rejected: bool, motion: float | None, c: SceneLimits, features: np.ndarray | None = None, value: Callable | None = None) -> tuple[int, str]:
+        """``value`` tells the similarity of two images' features."""
         if self.start is None:
             self.start = t
-        change, reason = boundary(similarity(self.prior, signature), similarity(self.reference, signature), t - self.start, motion, c)
+        both = (value(self.prior_features, features), value(self.reference_features, features)) if value else (None, None)
+        change, reason = boundary(similarity(self.prior, signature), similarity(self.reference, signature), t - self.start, motion, c, both)
         if change and rejected and reason != "maximum_scene_duration":
             change, reason = False, "deferred_until_quality_frame"
         if change:
             self.scene, self.start = self.scene + 1, t
-            self.reference = None if rejected else signature
+            self.reference, self.reference_features = (None, None) if rejected else (signature, features)
         elif self.reference is None and not rejected:
-            self.reference = signature
-        self.prior = signature
+            self.reference, self.reference_features = signature, features
+        self.prior, self.prior_features = signature, features
         return self.scene, reason if change else ""
 
 
@@ -85,9 +94,9 @@ def arrays(column: pa.Array) -> list[np.ndarray | None]:
     return [flat[s:e] if ok else None for ok, s, e in zip(here, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def segmented(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
+def segmented(frames: DataFrame, c: SceneLimits = SceneLimits(), features: Callable | None = None) -> DataFrame:
     """scene_index and boundary (the reason, where a scene begins) beside the columns of ``frames`` (video_id, frame_number,
-    t, reasons, motion_pct, signature). Each video's frames pass through one task in order; the state is constant in size,
+    t, reasons, motion_pct, signature, and an array of features if ``features`` tells the similarity of two of them). Each video's frames pass through one task in order; the state is constant in size,
     so a video of any length can be segmented, and the columns pass along, so nothing has to be joined again."""
     names = [*frames.columns, "scene_index", "boundary"]
 
@@ -96,10 +105,11 @@ def segmented(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
         for batch in batches:
             videos, times, reasons, motions = (batch.column(k).to_pylist() for k in ("video_id", "t", "reasons", "motion_pct"))
             scenes, why = [], []
-            for v, t, r, motion, signature in zip(videos, times, reasons, motions, arrays(batch.column("signature")), strict=True):
+            local = arrays(batch.column("features")) if features else [None] * batch.num_rows
+            for v, t, r, motion, signature, own in zip(videos, times, reasons, motions, arrays(batch.column("signature")), local, strict=True):
                 if v != video:
                     video, state = v, SceneState()
-                scene, reason = state.step(t, signature, bool(r), motion, c)
+                scene, reason = state.step(t, signature, bool(r), motion, c, own, features)
                 scenes.append(scene)
                 why.append(reason)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scenes, pa.int32()), pa.array(why, pa.string())], names=names)

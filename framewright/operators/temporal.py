@@ -64,17 +64,6 @@ register(
     f"""WITH {_PAIRS} SELECT video_id, frame_number, R6(greatest(0.0, least(1.0, (SELECT corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) FROM (SELECT unnest(signature) AS a, unnest(prior_signature) AS b))))) AS similarity
 FROM pairs WHERE prior IS NOT NULL""",
 )
-# Similarity of features is an input in practice; here a second number that the vectors give stands for it.
-_FEATURE = "CASE WHEN frame_number % 5 = 0 THEN NULL ELSE (frame_number * 37 % 100) / 100.0 END"
-_METHOD = """CASE WHEN {h} AND {g} THEN 'hsv_and_geometric' WHEN {g} THEN 'geometric' WHEN {h} THEN 'hsv_with_feature_support' ELSE 'not_duplicate' END"""
-_H = f"(similarity >= 0.10 AND coalesce({_FEATURE} >= 0.275, true))"
-_G = f"coalesce({_FEATURE} >= 0.55 AND frame_number % 3 <> 0, false)"
-METHOD = _METHOD.format(h=_H, g=_G)
-register(
-    "f06_near_duplicate", "frame_px", lambda p: pixel_pairs(p).select("video_id", "frame_number", r6(pearson("signature", "prior_signature")).alias("similarity")).select("video_id", "frame_number", ex(METHOD).alias("method")),
-    f"""WITH {_PAIRS}, s AS (SELECT video_id, frame_number, R6(greatest(0.0, least(1.0, (SELECT corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) FROM (SELECT unnest(signature) AS a, unnest(prior_signature) AS b))))) AS similarity FROM pairs WHERE prior IS NOT NULL)
-SELECT video_id, frame_number, {METHOD} AS method FROM s""",
-)
 register(
     "f09_pixel_exposure", "frame_px",
     lambda p: p.select("video_id", "frame_number", r6(mean_of("px")).alias("mean"), r6(F.size(F.filter("px", lambda v: v <= 100)) * 100.0 / F.size("px")).alias("dark_pct"), r6(F.size(F.filter("px", lambda v: v >= 150)) * 100.0 / F.size("px")).alias("bright_pct")),
@@ -93,12 +82,6 @@ register(
     lambda p: pixel_pairs(p).withColumns({"a": difference_hash("px"), "b": difference_hash("prior")}).select("video_id", "frame_number", r6(F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.size("a")).alias("agreement")),
     f"""WITH {_PAIRS} SELECT video_id, frame_number, R6(len([1 for i in range(1, 65) if (i - 1) % 8 <> 0 AND (px[i] > px[i - 1]) = (prior[i] > prior[i - 1])]) / 56.0) AS agreement FROM pairs WHERE prior IS NOT NULL""",
 )
-COMBINED = f"R6(greatest(0.0, least(1.0, CASE WHEN {_FEATURE} IS NULL THEN 0.65 * similarity + 0.35 * 0.5 ELSE 0.45 * similarity + 0.25 * 0.5 + 0.30 * ({_FEATURE}) END)))"
-register(
-    "f12_visual_similarity", "frame_px", lambda p: pixel_pairs(p).select("video_id", "frame_number", r6(pearson("signature", "prior_signature")).alias("similarity")).select("video_id", "frame_number", ex(COMBINED).alias("score")),
-    f"""WITH {_PAIRS}, s AS (SELECT video_id, frame_number, R6(greatest(0.0, least(1.0, (SELECT corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) FROM (SELECT unnest(signature) AS a, unnest(prior_signature) AS b))))) AS similarity FROM pairs WHERE prior IS NOT NULL)
-SELECT video_id, frame_number, {COMBINED} AS score FROM s""",
-)
 register(
     "y01_image_table_join", "frame_px", lambda p: p.select(F.col("frame_number").alias("image_id"), mean_of("px").alias("light")).join(p.select("video_id", (F.col("frame_number") * 7 % 600).alias("image_id")), "image_id").groupBy("video_id").agg(F.count(F.lit(1)).alias("loaded"), r6(F.avg("light")).alias("light")),
     "WITH i AS (SELECT frame_number AS image_id, list_avg(px) AS light FROM frame_px) SELECT p.video_id, count(*) AS loaded, R6(avg(light)) AS light FROM frame_px p JOIN i ON i.image_id = p.frame_number * 7 % 600 GROUP BY p.video_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -19,3 +19,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     if base is None:
         _own = base = _own or tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder: lineage ends here, so loops don't grow their plans."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that are of no more use."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -115,6 +115,7 @@ FROM findings WHERE finding_id % 3 = 0""",
     ),
     "saved_rules": ((), "SELECT page_id AS rule_id, page_id % 10 = 0 AS legacy FROM pages WHERE page_id % 9 <> 0"),
     "new_rules": ((), "SELECT page_id AS rule_id FROM pages WHERE page_id % 4 = 1"),
+    "evidence": (("findings",), "SELECT finding_id, CASE WHEN finding_id % 6 <> 5 THEN CAST(video_id * 31 + floor(ts_s / 6e0) AS BIGINT) % 530 END AS image_id FROM findings"),
     "retention_rules": ((), "SELECT page_id AS rule_id, substring(url, 1, CAST(9 + page_id % 40 AS INT)) AS prefix, page_id % 5 <> 0 AS enabled, page_id % 6 <> 0 AS expires FROM pages"),
     "retained_roots": ((), "SELECT DISTINCT substring(url, 1, CAST(14 + page_id % 12 AS INT)) AS root FROM pages WHERE page_id % 50 = 1"),
     "reviews": (("findings",), "SELECT finding_id, finding_id % 13 = 0 AS pending FROM findings"),
