@@ -212,9 +212,9 @@ SELECT source_group, tp, tn, fp, fn, R6(tp / nullif(CAST(tp + fp AS DOUBLE), 0))
   R6(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0)) AS f1, R6((tp / nullif(CAST(tp + fn AS DOUBLE), 0) + tn / nullif(CAST(tn + fp AS DOUBLE), 0)) / 2) AS balanced FROM c""",
 )
 register(
-    "j12_resolution_flag", "clip_verdicts documents",
-    lambda v, d: v.select("clip_id", (F.col("clip_id") * 3 % 1009).alias("image_id")).join(d.select(F.col("doc_id").alias("image_id"), "source"), "image_id", "left").select("clip_id", "image_id", F.when(F.col("source").isNull(), "unresolved_image_id").otherwise("resolved").alias("state")),
-    "SELECT clip_id, clip_id * 3 % 1009 AS image_id, CASE WHEN source IS NULL THEN 'unresolved_image_id' ELSE 'resolved' END AS state FROM clip_verdicts LEFT JOIN documents ON doc_id = clip_id * 3 % 1009",
+    "j12_resolution_flag", "clip_images documents",
+    lambda v, d: v.join(d.select(F.col("doc_id").alias("image_id"), "source"), "image_id", "left").select("clip_id", "image_id", F.when(F.col("source").isNull(), "unresolved_image_id").otherwise("resolved").alias("state")),
+    "SELECT clip_id, image_id, CASE WHEN source IS NULL THEN 'unresolved_image_id' ELSE 'resolved' END AS state FROM clip_images LEFT JOIN documents ON doc_id = image_id",
 )
 register(
     "j14_completeness", "clip_verdicts documents",

@@ -83,8 +83,9 @@ register(
     f"""WITH {_PAIRS} SELECT video_id, frame_number, R6(len([1 for i in range(1, 65) if (i - 1) % 8 <> 0 AND (px[i] > px[i - 1]) = (prior[i] > prior[i - 1])]) / 56.0) AS agreement FROM pairs WHERE prior IS NOT NULL""",
 )
 register(
-    "y01_image_table_join", "frame_px", lambda p: p.select(F.col("frame_number").alias("image_id"), mean_of("px").alias("light")).join(p.select("video_id", (F.col("frame_number") * 7 % 600).alias("image_id")), "image_id").groupBy("video_id").agg(F.count(F.lit(1)).alias("loaded"), r6(F.avg("light")).alias("light")),
-    "WITH i AS (SELECT frame_number AS image_id, list_avg(px) AS light FROM frame_px) SELECT p.video_id, count(*) AS loaded, R6(avg(light)) AS light FROM frame_px p JOIN i ON i.image_id = p.frame_number * 7 % 600 GROUP BY p.video_id",
+    "y01_image_table_join", "frame_px image_uses",
+    lambda p, u: p.select(F.col("frame_number").alias("image_id"), mean_of("px").alias("light")).join(u, "image_id").groupBy("video_id").agg(F.count(F.lit(1)).alias("loaded"), r6(F.avg("light")).alias("light")),
+    "WITH i AS (SELECT frame_number AS image_id, list_avg(px) AS light FROM frame_px) SELECT u.video_id, count(*) AS loaded, R6(avg(light)) AS light FROM image_uses u JOIN i ON i.image_id = u.image_id GROUP BY u.video_id",
 )
 
 # The grid of residual motion

@@ -21,12 +21,13 @@ ANNOTATION = "video string, issues array<struct<category:string,description:stri
 SPLIT = "video string, split string, source_group string, ground_truth_positive string"
 
 
-def manifests(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of multi-line manifests: videos, scenes, keyframes, frames. Broken documents fail the scan."""
-    docs = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def manifests(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The tables of manifests: videos, scenes, keyframes, frames. A file is one document or, with ``lines``, one document a line,
+    of which a video may have several, each with a part of its lists. Broken documents fail the scan."""
+    docs = spark.read.schema(MANIFEST).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     name = F.col("video.filename").alias("video_id")
     part = lambda c: docs.select(name, F.explode(c).alias("x")).select("video_id", "x.*")
-    return {"videos": docs.select(name, "video.*"), "scenes": part("scenes"), "keyframes": part("keyframes"), "frames": part("frame_assessments")}
+    return {"videos": docs.select(name, "video.*").dropDuplicates(["video_id"]), "scenes": part("scenes"), "keyframes": part("keyframes"), "frames": part("frame_assessments")}
 
 
 def split_list(spark: SparkSession, path: str) -> DataFrame:
@@ -41,18 +42,19 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("positive", F.col("ground_truth_positive") == "1")
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per annotated interval that a detector should find (the default)."""
-    docs = spark.read.schema(ANNOTATION).option("multiLine", True).json(path)
+def annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per annotated interval that a detector should find (the default); with ``lines`` a document is a line, not a file."""
+    docs = spark.read.schema(ANNOTATION).option("multiLine", not lines).json(path)
     return docs.select("video", F.explode("issues").alias("i")).filter(F.coalesce("i.should_detect", F.lit(True))).select("video", "i.category", "i.description", F.col("i.timestamp_start").alias("start_s"), F.col("i.timestamp_end").alias("end_s"))
 
 
-def reports(spark: SparkSession, *paths: str) -> DataFrame:
+def reports(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
     """Detector reports, one for each clip, of the layouts ``<clip>/detector_report.json``, ``<clip>.detector_report.json`` and
-    ``clip=<clip>/`` with any file in it, as Spark writes them."""
-    docs = spark.read.schema("issues array<struct<category:string,description:string,timestamp:double,confidence:double>>").option("multiLine", True).json(list(paths))
+    ``clip=<clip>/`` with any file in it, as Spark writes them; with ``lines`` one report a line that names its clip, many a file."""
+    issues = "issues array<struct<category:string,description:string,timestamp:double,confidence:double>>"
+    docs = spark.read.schema(f"clip string, {issues}" if lines else issues).option("multiLine", not lines).json(list(paths))
     path = F.col("_metadata.file_path")
-    named = docs.withColumn("clip", F.coalesce(F.nullif(F.regexp_extract(path, r"/clip=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)[/.]detector_report\.json$", 1)))
+    named = docs if lines else docs.withColumn("clip", F.coalesce(F.nullif(F.regexp_extract(path, r"/clip=([^/]+)/[^/]+$", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)[/.]detector_report\.json$", 1)))
     twice = named.groupBy("clip").agg(F.count(F.lit(1)).alias("n")).filter("n <> 1").limit(5).collect()
     if twice:
         raise ValueError(f"clips without exactly one report: {[r.clip for r in twice]}")

@@ -15,15 +15,16 @@ from ..streaming.jobs import drained
 from . import readers, sinks
 from .scratch import scratch
 
-#: Options of the manifest files: one document in each.
-ONE_EACH = {"maxRecordsPerFile": 1}
+#: Frames of a manifest's part: no document grows with its video.
+PART_FRAMES = 1000
 
 
 def manifest_files(frames: DataFrame) -> str:
-    """One manifest a video, with its frames and scenes; a video's lists are in its one document by definition."""
-    scened = with_scenes(frames)
+    """Manifests as JSON lines: a video's frames are dealt out in parts of ``PART_FRAMES``, each a document with the video's
+    entry; its scenes are in the first one. Files are as many as tasks, whatever the number of videos."""
+    scened = with_scenes(frames).withColumn("part", F.floor(F.col("frame_number") / PART_FRAMES))
     name = F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit(".mp4"))
-    listed = scened.groupBy("video_id").agg(
+    listed = scened.groupBy("video_id", "part").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -32,18 +33,18 @@ def manifest_files(frames: DataFrame) -> str:
                 )
             )
         ).alias("frame_assessments"),
-        F.max("t").alias("length"),
     )
-    scenes = scene_rollup(scened).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("scene_index", F.col("start_s").alias("start_seconds"), F.col("duration_s").alias("duration_seconds")))).alias("scenes"))
-    video = F.struct(name.alias("filename"), F.size("frame_assessments").cast("long").alias("total_frames"), F.col("length").alias("duration_seconds"))
+    lengths = scened.groupBy("video_id").agg(F.max("t").alias("length"), F.count(F.lit(1)).alias("total"))
+    scenes = scene_rollup(scened).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("scene_index", F.col("start_s").alias("start_seconds"), F.col("duration_s").alias("duration_seconds")))).alias("scenes"), F.lit(0).cast("long").alias("part"))
+    video = F.struct(name.alias("filename"), F.col("total").alias("total_frames"), F.col("length").alias("duration_seconds"))
     path = scratch(frames.sparkSession, "manifests")
-    listed.join(scenes, "video_id").select(video.alias("video"), "scenes", "frame_assessments").write.options(**ONE_EACH).json(path)
+    listed.join(scenes, ["video_id", "part"], "left").join(lengths, "video_id").select(video.alias("video"), "scenes", "frame_assessments").write.json(path)
     return path
 
 
 def manifest_frames(frames: DataFrame) -> DataFrame:
     """The frames of the manifests, each with what its video's entry and its scene's say."""
-    found = readers.manifests(frames.sparkSession, manifest_files(frames))
+    found = readers.manifests(frames.sparkSession, manifest_files(frames), lines=True)
     scenes = found["scenes"].select("video_id", "scene_index", F.col("start_seconds").alias("scene_start"))
     videos = found["videos"].select("video_id", "total_frames")
     return (
@@ -73,26 +74,25 @@ register("s02_split_scan", "clip_verdicts", split_rows, "SELECT CAST(clip_id AS
 
 
 def annotation_rows(intervals: DataFrame) -> DataFrame:
-    """Annotation documents, one a video; every fifth interval says that it need not be found, the others say nothing."""
+    """Annotation documents as JSON lines, one a video; an interval that says nothing of ``should_detect`` has to be found."""
     path = scratch(intervals.sparkSession, "annotations")
-    said = F.when(F.col("interval_id") % 5 == 0, F.lit(False))
-    issue = F.struct("category", F.col("interval_id").cast("string").alias("description"), F.col("start_s").alias("timestamp_start"), F.col("end_s").alias("timestamp_end"), said.alias("should_detect"))
-    intervals.groupBy(F.col("video_id").cast("string").alias("video")).agg(F.collect_list(issue).alias("issues")).write.options(**ONE_EACH).json(path)
-    return readers.annotations(intervals.sparkSession, path)
+    issue = F.struct("category", F.col("interval_id").cast("string").alias("description"), F.col("start_s").alias("timestamp_start"), F.col("end_s").alias("timestamp_end"), "should_detect")
+    intervals.groupBy(F.col("video_id").cast("string").alias("video")).agg(F.collect_list(issue).alias("issues")).write.json(path)
+    return readers.annotations(intervals.sparkSession, path, lines=True)
 
 
 register(
-    "s03_annotation_scan", "truth_intervals", annotation_rows,
-    "SELECT CAST(video_id AS VARCHAR) AS video, category, CAST(interval_id AS VARCHAR) AS description, start_s, end_s FROM truth_intervals WHERE interval_id % 5 <> 0",
+    "s03_annotation_scan", "annotated", annotation_rows,
+    "SELECT CAST(video_id AS VARCHAR) AS video, category, CAST(interval_id AS VARCHAR) AS description, start_s, end_s FROM annotated WHERE coalesce(should_detect, true)",
 )
 
 
 def report_rows(findings: DataFrame) -> DataFrame:
-    """Detector reports, one folder a clip, scanned as one report for each clip."""
+    """Detector reports as JSON lines, scanned as one report for each clip."""
     path = scratch(findings.sparkSession, "reports")
     issue = F.struct("category", "description", F.col("ts_s").alias("timestamp"), "confidence")
-    findings.groupBy(F.col("video_id").alias("clip")).agg(F.collect_list(issue).alias("issues")).write.options(**ONE_EACH).partitionBy("clip").json(path)
-    return readers.reports(findings.sparkSession, path).select("clip", F.explode("issues").alias("i")).select("clip", "i.category", F.col("i.timestamp").alias("ts_s"), "i.confidence")
+    findings.groupBy(F.col("video_id").cast("string").alias("clip")).agg(F.collect_list(issue).alias("issues")).write.json(path)
+    return readers.reports(findings.sparkSession, path, lines=True).select("clip", F.explode("issues").alias("i")).select("clip", "i.category", F.col("i.timestamp").alias("ts_s"), "i.confidence")
 
 
 register("s04_report_scan", "findings", report_rows, "SELECT CAST(video_id AS VARCHAR) AS clip, category, ts_s, confidence FROM findings")

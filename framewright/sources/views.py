@@ -6,11 +6,15 @@ differ. On a cluster the same names are tables of their own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _SECONDS = ("(unix_micros(CAST(ts AS TIMESTAMP)) / 1e6)", "(epoch_us(ts) / 1e6)")
 
+#: What the names of temporary views begin with, so that none of the session's own is replaced.
+OWN = "framewright_base_"
 #: name: (views it needs, SQL or (Spark SQL, check SQL)). Fixed definitions of the test inputs.
 VIEWS: dict[str, tuple[tuple[str, ...], str | tuple[str, str]]] = {
     "keyed": ((), "SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events"),
@@ -118,6 +122,9 @@ FROM findings WHERE finding_id % 3 = 0""",
     "evidence": (("findings",), "SELECT finding_id, CASE WHEN finding_id % 6 <> 5 THEN CAST(video_id * 31 + floor(ts_s / 6e0) AS BIGINT) % 530 END AS image_id FROM findings"),
     "retention_rules": ((), "SELECT page_id AS rule_id, substring(url, 1, CAST(9 + page_id % 40 AS INT)) AS prefix, page_id % 5 <> 0 AS enabled, page_id % 6 <> 0 AS expires FROM pages"),
     "retained_roots": ((), "SELECT DISTINCT substring(url, 1, CAST(14 + page_id % 12 AS INT)) AS root FROM pages WHERE page_id % 50 = 1"),
+    "annotated": (("truth_intervals",), "SELECT *, CASE WHEN interval_id % 5 = 0 THEN false END AS should_detect FROM truth_intervals"),
+    "clip_images": (("clip_verdicts",), "SELECT clip_id, clip_id * 3 % 1009 AS image_id FROM clip_verdicts"),
+    "image_uses": (("frame_px",), "SELECT video_id, frame_number * 7 % 600 AS image_id FROM frame_px"),
     "reviews": (("findings",), "SELECT finding_id, finding_id % 13 = 0 AS pending FROM findings"),
     "answers": (
         (),
@@ -162,7 +169,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = f"WITH {_with((name,), 0)}\nSELECT * FROM {name}"
     for table in BASE:
         if f"FROM {table}" in sql or f"JOIN {table}" in sql:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"{OWN}{table}")
+            sql = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {OWN}{table}", sql)
     return spark.sql(sql)
 
 
