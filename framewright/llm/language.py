@@ -3,14 +3,18 @@
 Texts are lower-cased, everything but letters becomes a blank, and the n-grams of 1 to 3 characters are counted in hashed
 places, with array operations. One pass over all training texts counts in how many each place occurs (for the IDF) and
 keeps the vectors of a bounded sample. The model is fitted on that sample with follow-the-regularised-leader under
-elastic-net penalties: each task goes through its share from a common state, the states are averaged, and so on for some
-rounds. Part of the sample is not fitted on; on it the temperature is chosen that makes the probabilities least surprised.
-A second pass scores every whole text.
-
-Bounds: ``FIT_ROWS`` expected rows in the sample (chosen by a hash of the id); the state is languages x ``PLACES``.
+elastic-net penalties: the sample is dealt out to ``SHARDS`` shards by a hash of the id, each is gone through in a fixed order
+from a common state, Spark averages the states language by language, and so on for some rounds; so the model doesn't depend
+on how files are split or how many tasks there are. Part of the sample is not fitted on; on it the temperature is chosen that
+makes the probabilities least surprised at smoothed targets (as if one more row had each been right and wrong, so that texts
+that are easily told apart don't ask for certainty). A second pass scores every whole text.
+
+Bounds: ``FIT_ROWS`` expected rows in the sample (chosen by a hash of the id), at least ``FLOOR`` a language; the state is
+languages x ``PLACES`` (256 kB a language in a task, half of it sent to the driver), for all languages that there are.
 Document frequencies cover all training texts. Defined results: ``und`` with score 0 for null texts and texts without a
 letter, and for all texts if nothing can be learned; ties between languages go to the first by code point. Rows with null
-lang, null text or null id are not learned from. Repeated rows count each time. Empty tables give empty results.
+lang, null text or null id are not learned from. Repeated rows count each time; ids may be of any type. Empty tables give empty
+results; a very long text is one row's memory (4 bytes a code point and some of their hashes); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, light, read_table, small_batches, written
 
-PLACES, FIT_ROWS, ROUNDS, TASKS = 1 << 14, 12_000, 3, 6
-#: Rows that a language is fitted on at least (in expectation, if it has so many), and languages that are learned at most:
-#: the most frequent ones. The model that is broadcast has PLACES numbers for each.
-FLOOR, MOST_LANGS = 200, 1000
+PLACES, FIT_ROWS, ROUNDS, SHARDS = 1 << 14, 12_000, 3, 6
+#: Rows that a language is fitted on at least (in expectation, if it has so many).
+FLOOR = 200
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-TEMPERATURES = np.round(np.geomspace(0.05, 5, 41), 6)
+TEMPERATURES = np.geomspace(0.005, 50, 161)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -111,11 +114,11 @@ class Model:
 
 
 def listed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Rows of an id, a language, and two arrays, which become lists without a Python object for each of their numbers."""
-    ids, langs, at, counts = zip(*rows, strict=True)
+    """Rows of an id, a language, two arrays, which become lists without a Python object for each of their numbers, and a total."""
+    ids, langs, at, counts, totals = zip(*rows, strict=True)
     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), schema.field(k).type.value_type)) for k, x in ((2, at), (3, counts))]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *lists], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), *lists, pa.array(totals, pa.int64())], schema=schema)
 
 
 def samples(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
@@ -127,12 +130,12 @@ def samples(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, str
 
 
 def measured(known: DataFrame) -> DataFrame:
-    """lang, doc_id, at, counts: the n-grams of the sampled rows of ``known`` (doc_id, text, lang, taken); then one row a task
-    with null lang whose counts are the number of the task's texts and, for each place, of those that have it."""
+    """doc_id, lang, at, counts: the n-grams of the sampled rows of ``known`` (doc_id, text, lang, taken); then one row a task
+    with null lang whose ``total`` is the number of the task's texts and whose counts are, for each place, of those that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(PLACES, np.int64), 0
-        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.string()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("total", pa.int64())])
         for batch in small_batches(batches, "text"):
             out = []
             for i, text, lang, taken in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "lang", "taken")), strict=True):
@@ -140,12 +143,35 @@ def measured(known: DataFrame) -> DataFrame:
                 seen[at] += 1
                 total += 1
                 if taken and len(at):
-                    out.append((i, lang, at, counts))
+                    out.append((i, lang, at, counts, None))
             if out:
                 yield listed(out, schema)
-        yield listed([(total, None, np.flatnonzero(seen), seen[seen > 0])], schema)
+        yield listed([(None, None, np.flatnonzero(seen), seen[seen > 0], total)], schema)
+
+    return light(known).mapInArrow(run, "doc_id string, lang string, at array<int>, counts array<long>, total long")
+
+
+def calibrated(batches: Iterator[pa.RecordBatch], weights: np.ndarray, idf: np.ndarray, number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """For each temperature the sums, over the rows, of the surprise at the right language and at all others."""
+    right, others, rows = np.zeros(len(TEMPERATURES)), np.zeros(len(TEMPERATURES)), 0
+    for batch in batches:
+        for at, counts, lang in samples(batch):
+            z = (weights[:, at] @ weigh(at, counts, idf))[None, :] / TEMPERATURES[:, None]
+            surprise = np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z.T
+            own = surprise[number[lang]]
+            right += own
+            others += (surprise.sum(0) - own) / max(len(weights) - 1, 1)
+            rows += 1
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right))), pa.array(right), pa.array(others), pa.array(np.full(len(right), rows))], names=["k", "right", "others", "rows"])
+
 
-    return light(known).mapInArrow(run, "doc_id long, lang string, at array<int>, counts array<long>")
+def coolest(losses: list) -> float:
+    """The temperature of least surprise, from rows (k, right, others, rows): the right language has probability
+    (rows + 1) / (rows + 2), the others share the rest."""
+    if not losses or not any(r.right or r.others for r in losses):
+        return 1.0
+    wrong = 1 / (losses[0].rows + 2)
+    return float(TEMPERATURES[min(losses, key=lambda r: ((1 - wrong) * r.right + wrong * r.others, r.k)).k])
 
 
 def train(docs: DataFrame) -> Model:
@@ -156,60 +182,70 @@ def train(docs: DataFrame) -> Model:
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # of the two short columns alone
     rows = counts.agg(F.sum("n")).first()[0] or 0
     share = F.greatest(F.lit(FIT_ROWS / max(rows, 1)), F.lit(float(FLOOR)) / F.col("n"))
-    shares = written(counts.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS).select(F.col("lang").alias("of"), share.alias("share")), "shares")
-    known = labelled.filter(F.col("text").isNotNull()).join(F.broadcast(shares), F.col("lang") == F.col("of"), "left")
-    table = written(measured(known.select(F.col("doc_id").cast("long"), "text", "lang", F.coalesce(unit < F.col("share"), F.lit(False)).alias("taken"))), "grams")
+    shares = written(counts.select(F.col("lang").alias("of"), share.alias("share")), "shares")
+    known = labelled.filter(F.col("text").isNotNull()).join(shares, F.col("lang") == F.col("of"), "left")
+    table = written(measured(known.select(F.col("doc_id").cast("string"), "text", "lang", F.coalesce(unit < F.col("share"), F.lit(False)).alias("taken"))), "grams")
     tallies = table.filter("lang is null")
-    total = tallies.agg(F.sum("doc_id")).first()[0] or 0
+    total = tallies.agg(F.sum("total")).first()[0] or 0
     places = tallies.select(F.explode(F.arrays_zip("at", "counts")).alias("e")).groupBy("e.at").agg(F.sum("e.counts").alias("n")).toPandas()  # PLACES rows at most
     seen = np.zeros(PLACES)
     seen[places["at"]] = places["n"]
     idf = np.log((1 + total) / (1 + seen)) + 1
     sample = table.filter("lang is not null")
-    langs = tuple(sorted(r[0] for r in sample.select("lang").distinct().collect()))  # MOST_LANGS at most
+    langs = tuple(sorted(r[0] for r in sample.select("lang").distinct().collect()))
     if not langs:
         return Model((), idf, np.zeros((0, PLACES)), 1.0)
     number = {x: k for k, x in enumerate(langs)}
-    kept_back = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(6)) == 0
-    dealt = written(sample.withColumn("kept_back", kept_back).repartition(TASKS, "doc_id"), "sample")
-    state = State(np.zeros((len(langs), PLACES)), np.zeros((len(langs), PLACES)))
+    part, turn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(6)), F.xxhash64("doc_id", F.lit(17))
+    dealt = written(sample.select("lang", "at", "counts", (part == 0).alias("kept_back"), F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SHARDS)).cast("int").alias("shard"), turn.alias("turn")), "sample")
+    # the same order whatever tasks there are, repeated ids included
+    in_turn = dealt.filter("not kept_back").repartition("shard").sortWithinPartitions("shard", "turn", "lang", F.xxhash64("at", "counts"))
+    constants = spark.sparkContext.broadcast((idf, number))
 
     def one_round(shared: State) -> State:
         sent = spark.sparkContext.broadcast(shared)
 
+        def told(own: State, count: int) -> pa.RecordBatch:
+            kinds = [np.full(len(own.z), count), np.arange(len(own.z))]
+            lists = [pa.array([x.astype(np.float32).tobytes() for x in y]) for y in (own.z, own.n)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, kinds), *lists], names=["rows", "k", "z", "n"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, count = State(sent.value.z.copy(), sent.value.n.copy()), 0
+            idf, number = constants.value
+            shard, own, count = None, None, 0
             for batch in batches:
-                for at, counts, lang in samples(batch):
+                for of, (at, counts, lang) in zip(batch.column("shard").to_pylist(), samples(batch), strict=True):
+                    if of != shard:
+                        if count:
+                            yield told(own, count)
+                        shard, own, count = of, State(sent.value.z.copy(), sent.value.n.copy()), 0
                     own.learn(at, weigh(at, counts, idf), number[lang])
                     count += 1
             if count:
-                yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()]), pa.array([own.n.astype(np.float32).tobytes()])], names=["rows", "z", "n"])
+                yield told(own, count)
 
-        got = dealt.filter("not kept_back").mapInArrow(run, "rows long, z binary, n binary").collect()  # one state a task, TASKS or a few more
+        def met(table: pa.Table) -> pa.Table:
+            """The average of a language's states, in a fixed order: sums of doubles depend on it."""
+            rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rows", "z", "n")), strict=True))
+            whole = sum(r for r, *_ in rows)
+            z, n = (sum(r[0] / whole * np.frombuffer(r[k], np.float32).astype(np.float64) for r in rows) for k in (1, 2))
+            return pa.table([table.column("k").slice(0, 1), pa.array([z.astype(np.float32).tobytes()]), pa.array([n.astype(np.float32).tobytes()])], names=["k", "z", "n"])
+
+        states = in_turn.mapInArrow(run, "rows long, k long, z binary, n binary")  # SHARDS rows a language
+        got = states.groupBy("k").applyInArrow(met, "k long, z binary, n binary").collect()  # one state in all
         sent.destroy()
         if not got:
             return shared
-        share = np.array([r.rows for r in got], float) / sum(r.rows for r in got)
-        back = lambda name: sum(s * np.frombuffer(r[name], np.float32).reshape(len(langs), PLACES) for s, r in zip(share, got, strict=True))
+        back = lambda name: np.stack([np.frombuffer(r[name], np.float32).astype(np.float64) for r in sorted(got, key=lambda r: r.k)])
         return State(back("z"), back("n"))
 
+    state = State(np.zeros((len(langs), PLACES)), np.zeros((len(langs), PLACES)))
     for _ in range(ROUNDS):
         state = one_round(state)
-    weights = state.weights()
-
-    def surprise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(TEMPERATURES))
-        for batch in batches:
-            for at, counts, lang in samples(batch):
-                z = (weights[:, at] @ weigh(at, counts, idf))[None, :] / TEMPERATURES[:, None]
-                e = np.exp(z - z.max(1, keepdims=True))
-                sums -= np.log(np.maximum(e[:, number[lang]] / e.sum(1), 1e-12))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "loss"])
-
-    losses = {r.k: r.loss for r in dealt.filter("kept_back").mapInArrow(surprise, "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
-    best = min(losses, key=lambda k: (losses[k], k)) if losses and any(losses.values()) else int(np.abs(TEMPERATURES - 1).argmin())
-    return Model(langs, idf, weights, float(TEMPERATURES[best]))
+    weights = spark.sparkContext.broadcast(state.weights())
+    losses = dealt.filter("kept_back").mapInArrow(lambda b: calibrated(b, weights.value, *constants.value), "k long, right double, others double, rows long")
+    best = coolest(losses.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("right", "others", "rows")]).collect())
+    return Model(langs, idf, weights.value, best)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

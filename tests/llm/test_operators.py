@@ -582,8 +582,40 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     rows = [(k, "the with thorn ing" if k % 100 else "sch über keit und", "xx" if k % 100 == 0 else "en", "s", 0) for k in range(4000)]
     model = language.train(documents(spark, rows))
     assert model.langs == ("en", "xx") and model.predict("über keit")[0] == "xx" and model.predict("thorn")[0] == "en"
-    monkeypatch.setattr(language, "MOST_LANGS", 1)
-    assert language.train(documents(spark, rows)).langs == ("en",)
+
+
+def test_the_model_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    twice = docs.unionByName(docs.limit(9))  # with repeated rows
+    models = [language.train(df) for df in (twice, twice.repartition(7), twice.withColumn("doc_id", F.col("doc_id").cast("string")).coalesce(1))]
+    assert models[0].langs == models[1].langs == models[2].langs and len(models[0].langs) > 1
+    assert (models[0].weights == models[1].weights).all() and (models[0].idf == models[1].idf).all() and models[0].temperature == models[1].temperature
+    assert language.TEMPERATURES[0] < models[0].temperature < language.TEMPERATURES[-1]
+    assert np.isfinite(models[2].weights).all()  # ids of another type are hashed as they are
+
+
+def test_calibration_against_a_plain_version():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    weights, idf, number = r.normal(0, 3, (3, language.PLACES)), np.ones(language.PLACES), {"a": 0, "b": 1, "c": 2}
+    rows = [(np.sort(r.choice(200, 8, replace=False)), r.integers(1, 5, 8), "abc"[int(r.integers(3))]) for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"at": [x.tolist() for x, _, _ in rows], "counts": [c.tolist() for _, c, _ in rows], "lang": [k for *_, k in rows]})
+    told = next(language.calibrated(iter([batch]), weights, idf, number)).to_pylist()
+    from types import SimpleNamespace
+
+    best, wrong = None, 1 / 52
+    for k, t in enumerate(language.TEMPERATURES):
+        loss = 0.0
+        for at, counts, lang in rows:
+            z = weights[:, at] @ language.weigh(at, counts, idf) / t
+            p = z - z.max() - np.log(np.exp(z - z.max()).sum())
+            for j in range(3):
+                loss -= p[j] * (1 - wrong if j == number[lang] else wrong / 2)
+        if best is None or loss < best[0] - 1e-9:
+            best = (loss, t)
+        assert told[k]["right"] * (1 - wrong) + told[k]["others"] * wrong == pytest.approx(loss)
+    assert language.coolest([SimpleNamespace(**x) for x in told]) == pytest.approx(best[1])
 
 
 def test_language_on_awkward_documents(spark):
