@@ -145,7 +145,6 @@ _SCENES = f"""{SCORED}, walk AS (
   FROM walk w JOIN scored f ON f.video_id = w.video_id AND f.frame_number = w.frame_number + 1),
 scened AS (SELECT s.*, CAST(w.scene_index AS INTEGER) AS scene_index FROM scored s JOIN walk w USING (video_id, frame_number))"""
 register("q01_scene_segmentation", "frames", lambda f: segment(unsigned(f)).select("video_id", "frame_number", "scene_index"), f"WITH RECURSIVE {_SCENES} SELECT video_id, frame_number, scene_index FROM scened")
-register("q01_visual_segmentation", "frames embeddings", lambda f, e: segment(signed(f, e)))
 
 
 def scene_table(scened: DataFrame, least_s: float = 4.0) -> DataFrame:
@@ -268,3 +267,10 @@ w AS (SELECT *, lag(c) OVER v AS b, first_value(c) OVER v AS o, t - lag(t, 3) OV
 k AS (SELECT video_id, frame_number, motion_pct, elapsed, R6({_CORR.format(a="b", b="c")}) AS prior, R6({_CORR.format(a="o", b="c")}) AS reference FROM w WHERE elapsed IS NOT NULL)
 SELECT video_id, frame_number, prior, reference, R6({COMBINED}) AS combined, {CHANGE} AS reason FROM k""",
 )
+_SEEN = f"""s AS (SELECT video_id, frame_number, t, motion_pct, reasons <> '' AS bad, {_CENTRED.format(x="embedding")} AS c FROM scored LEFT JOIN embeddings ON vec_id = signature_id),
+walk AS (SELECT video_id, frame_number, t AS start_s, 0 AS scene, c AS pc, CASE WHEN NOT bad THEN c END AS rc, '' AS boundary FROM s WHERE frame_number = 0
+  UNION ALL SELECT video_id, frame_number, CASE WHEN begins THEN t ELSE start_s END, scene + CASE WHEN begins THEN 1 ELSE 0 END, c,
+    CASE WHEN begins AND bad THEN NULL WHEN begins OR (rc IS NULL AND NOT bad) THEN c ELSE rc END, CASE WHEN begins THEN reason ELSE '' END
+  FROM (SELECT *, reason NOT IN ('similar_scene', 'suppressed_by_minimum_scene_duration') AND (NOT bad OR reason = 'maximum_scene_duration') AS begins FROM (SELECT *, {CHANGE} AS reason
+    FROM (SELECT s.*, w.start_s, w.scene, w.rc, s.t - w.start_s AS elapsed, {_CORR.format(a="w.pc", b="s.c")} AS prior, {_CORR.format(a="w.rc", b="s.c")} AS reference FROM walk w JOIN s ON s.video_id = w.video_id AND s.frame_number = w.frame_number + 1))))"""
+register("q01_visual_segmentation", "frames embeddings", lambda f, e: segment(signed(f, e)), f"WITH RECURSIVE {SCORED}, {_SEEN} SELECT video_id, frame_number, CAST(scene AS INTEGER) AS scene_index, boundary FROM walk")
