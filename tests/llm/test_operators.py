@@ -176,6 +176,37 @@ def test_repeats_tell_texts_of_one_id_apart(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()) == Counter(want[(i, t)] for i, t, *_ in rows)
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_bytes_and_not_hashes_tell_that_strings_are_equal(spark, rows_a_batch):
+    """All strings of an anchor have one hash: a string's further places and shared windows are found, nothing else."""
+    r = np.random.default_rng(8)
+    strings = [bytes(r.integers(33, 127, 120, np.uint8)) for _ in range(6)]
+    strings.append(strings[0][10:] + b"0123456789")  # shares its first 11 windows with the last 11 of the first string
+    rows = [(a, 5, int(d), 0, int(repeats.packed(np.int64(0), np.int64(40 * a), np.int64(21))), 0, strings[k]) for a in range(3) for d, k in enumerate(r.integers(0, 7, 30))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        for a in range(3):
+            own = [x for x in rows if x[0] == a]
+            seen, want = set(), set()
+            for _, _, doc, _, pack, _, part in sorted(own, key=lambda x: (x[2], x[4])):
+                for o in range(21):
+                    (want if part[o : o + 100] in seen else set()).add((doc, (pack >> 7) + o))
+                    seen.add(part[o : o + 100])
+            table = spark.createDataFrame(own, repeats.FOUND + ", part binary")
+            got = {(x.doc, (x.pack >> 7) + o) for x in repeats.compare(table).collect() for o in range(x.pack & 127)}
+            assert got == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equal_bytes_and_copies_within_a_piece():
+    r = np.random.default_rng(9)
+    data = r.integers(0, 3, 60_000).astype(np.uint8)
+    one, two, size = r.integers(0, 50_000, 9000), r.integers(0, 50_000, 9000), r.integers(1, 8, 9000)
+    want = [data[a : a + n].tobytes() == data[b : b + n].tobytes() for a, b, n in zip(one, two, size)]
+    assert repeats.equal_bytes(data, one, two, size).tolist() == want and any(want) and not all(want)
+
+
 def test_repeats_in_pieces_and_small_chunks(monkeypatch):
     text = b"".join(b"%d," % (k * k % 997) for k in range(4000))
     strings = [text[s : s + 150] for s in range(0, 9000, 37)]
