@@ -6,19 +6,19 @@ A window is a string of ``LENGTH`` bytes. The work is split so that equal window
    form a fragment of at most LENGTH + SPAN - 1 bytes. Equal windows have equal anchors. GRAM-byte strings that are very
    frequent (a bounded list, from a frequent-items sketch over all texts) are anchors only where there is no other, so
    a common line doesn't gather its neighbourhoods in one group.
-2. Fragments meet by anchor, as places only: an anchor that occurs once can't have repeats. Hashes only say which
-   fragments are worth a look; that two strings are equal is always told by their bytes. Copies within one piece of text
-   are compared there, as a map-side combiner does: their first goes on with their number.
+2. Fragments meet by anchor, as hashes and places only. Fragments with the same two hashes (64 bits of the anchor, 64 of the
+   whole) count as equal and are resolved at once: all but the first are repeats, already in the map task where possible.
+   An anchor with one fragment left can't have repeats. One row is held, however often an anchor occurs.
 3. The texts of the fragments that are left are fetched and cut once more, by the largest hash of their windows, so that
-   windows meet only where both anchors are the same. Equal strings stand side by side in the sorted files and become one
-   string with its number of places. Every string that has several places, or whose anchors have several strings, goes to
-   the construction, chunk of anchors by chunk: the Burrows-Wheeler transform and the common prefixes of the chunk's
-   strings grow column by column: each round inserts the next symbol of every string, from the right, at the place given
-   by its rank, and updates the common prefixes there. After the last round the suffixes that share LENGTH symbols stand
-   together; all but the first window of each are repeats, and so are the windows at a string's further places.
+   windows meet only where both anchors are the same. Strings of equal bytes stand side by side in the sorted files and
+   become one. Of what is left each task builds, chunk of anchors by chunk, the
+   Burrows-Wheeler transform and the common prefixes of the chunk's strings column by column: each round inserts the next
+   symbol of every string, from the right, at the place given by its rank, and updates the common prefixes there. After
+   the last round the suffixes that share LENGTH symbols stand together; all but the first window of each are repeats.
    Spark's sorted shuffle files play the part of the sequential external files: a chunk is read once, in order.
 4. Fragments of an anchor at which more than ``HEAVY`` different ones meet are cut to their windows before step 3, so that
-   no chunk has more strings than a task can hold; windows whose hash occurs once are left out, all others go the same way.
+   no chunk has more strings than a task can hold; windows whose hash occurs once are left out, all others go the same way,
+   where their bytes decide.
 5. The repeated windows of each document are laid over its bytes.
 
 Order of windows: doc_id (null first), then a hash of the text (for rows that repeat an id), then the start. Defined
@@ -188,76 +188,71 @@ def differ(*columns: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
 
 
-def equal_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the strings of ``size`` bytes at ``one`` and ``two`` are equal, byte by byte."""
-    out = np.zeros(len(size), bool)
-    for s in range(0, len(size), 4096):
-        n = size[s : s + 4096]
-        heads = np.cumsum(n) - n
-        step = np.arange(int(n.sum())) - np.repeat(heads, n)
-        unlike = data[np.repeat(one[s : s + 4096], n) + step] != data[np.repeat(two[s : s + 4096], n) + step]
-        out[s : s + 4096] = np.add.reduceat(unlike, heads, dtype=np.int64) == 0
-    return out
-
-
-FOUND = "ah long, fh long, doc long, th long, pack long, n int"
+FOUND = "ah long, fh long, doc long, th long, pack long"
+MET = "ah long, doc long, th long, pack long"
 
 
 def all_fragments(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """ah, fh, doc, th, pack, n: the fragments of all texts. Of fragments of one piece that have the same bytes the first
-    tells in ``n`` how many others there are; these are repeats, marked by a negative pack, and have no anchor to meet at."""
+    """ah, fh, doc, th, pack: the fragments of all texts, but for those that a task has seen before in the same piece: they
+    are repeats, marked by a negative pack, and have no anchor to meet at."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, offsets, data, base in pieces(batches):
             row, start, count, ah, fh = fragments(offsets, data, sent.value)
-            if not len(row):
-                continue
             doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
             pack = packed(np.int64(0), start + base, count)
             order = np.lexsort((pack, th, doc, fh, ah))
-            ah, fh, doc, th, pack, begin, size = (x[order] for x in (ah, fh, doc, th, pack, offsets[row] + start, count - 1 + LENGTH))
-            same = np.concatenate([[False], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1]) & (size[1:] == size[:-1])])
-            maybe = np.flatnonzero(same)
-            same[maybe] = equal_bytes(data, begin[maybe - 1], begin[maybe], size[maybe])
-            again = same & np.concatenate([[False], differ(doc, th, pack)])
-            string = np.cumsum(~same) - 1
-            n = np.where(same, 0, np.bincount(string[again], minlength=int(string[-1]) + 1)[string])
+            ah, fh, doc, th, pack = ah[order], fh[order], doc[order], th[order], pack[order]
+            again = np.concatenate([[False], (ah[1:] == ah[:-1]) & (fh[1:] == fh[:-1]) & differ(doc, th, pack)]) if len(ah) else np.zeros(0, bool)
             with np.errstate(over="ignore"):
                 ah = np.where(again, (doc.view(np.uint64) * np.uint64(_BASE)) ^ th.view(np.uint64) ^ pack.view(np.uint64), ah)
-            columns = [ah.view(np.int64), np.where(again, 0, fh.view(np.int64)), doc, th, np.where(again, pack | np.int64(FIRST), pack), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ah", "fh", "doc", "th", "pack", "n"])
+            columns = [ah.view(np.int64), np.where(again, 0, fh.view(np.int64)), doc, th, np.where(again, pack | np.int64(FIRST), pack)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ah", "fh", "doc", "th", "pack"])
 
     return keyed(docs).mapInArrow(run, FOUND)
 
 
-def meeting(found: DataFrame) -> DataFrame:
-    """Of the fragments those marked as repeats, those of anchors that occur several times, and those with copies. One row
-    is held at most, so memory doesn't depend on how often an anchor occurs."""
+def resolve(found: DataFrame) -> DataFrame:
+    """ah, doc, th, pack: of the fragments, the repeats (negative pack), and the first ones of anchors that have several.
+    One row is held at most: rows of an anchor go on as they come once it has a second fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the row of an anchor that has only this one so far
-        last: int | None = None  # the anchor that may go on
+        def told(ah, doc, th, pack) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ah, doc, th, pack)], names=["ah", "doc", "th", "pack"])
+
+        last: np.ndarray | None = None  # ah, fh, doc, th and pack of the first row of the last fragment
+        alone = False  # whether it is its anchor's only fragment so far, and waits
         for batch in batches:
-            marked = batch.column("pack").to_numpy() < 0
+            rows = np.stack([batch.column(k).to_numpy() for k in ("ah", "fh", "doc", "th", "pack")])
+            marked = rows[4] < 0
             if marked.any():
-                yield batch.filter(pa.array(marked))
-                batch = batch.filter(pa.array(~marked))
-            if not batch.num_rows:
+                yield told(*rows[:, marked][[0, 2, 3, 4]])
+                rows = rows[:, ~marked]
+            if not rows.shape[1]:
                 continue
-            ah, copies = batch.column("ah").to_numpy(), batch.column("n").to_numpy() > 0
-            group = np.cumsum(np.concatenate([[0], ah[1:] != ah[:-1]]))
-            several = (np.bincount(group) > 1) | (np.bincount(group, copies) > 0)
-            if ah[0] == last:
-                several[0] = True
-                if held is not None:
-                    yield held
-            last = int(ah[-1])
-            held = None if several[-1] else batch.slice(batch.num_rows - 1)
-            if several.any():
-                yield batch.filter(pa.array(several[group]))
-
-    return found.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, FOUND)
+            carried = last is not None
+            if carried:
+                rows = np.concatenate([last[:, None], rows], 1)
+            ah, fh, *place = rows
+            fresh = np.concatenate([[True], differ(ah, fh)])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(ah)), 0))
+            again = np.logical_or.reduce([x != x[head] for x in place])
+            if again.any():
+                yield told(ah[again], *(x[again] for x in place[:2]), place[2][again] | FIRST)
+            different = rows[:, fresh]
+            group = np.cumsum(np.concatenate([[0], different[0][1:] != different[0][:-1]]))
+            several = np.bincount(group) > 1
+            stays = several[group]
+            if carried and not alone:  # the first row is told already, and its anchor has several
+                stays[group == 0] = True
+                stays[0] = False
+            last = different[:, -1].copy()
+            alone = not several[-1] and not (carried and not alone and group[-1] == 0)
+            if stays.any():
+                yield told(*different[:, stays][[0, 2, 3, 4]])
+
+    return found.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "th", "pack").mapInArrow(run, MET)
 
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,9 +367,9 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, pack: np.ndarray) ->
 
 
 def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """ah, fh, doc, th, pack, n, part (binary): the bytes of the fragments of ``first`` (ah, doc, th, pack, n), cut once more by
-    the largest hash of their windows: equal windows have both anchors in common, so fewer strings meet, in smaller groups."""
-    lists = first.groupBy("doc", "th").agg(F.collect_list(F.struct("ah", "pack", "n")).alias("parts"))
+    """ah, fh, doc, th, pack, part (binary): the bytes of the fragments of ``first`` (ah, doc, th, pack), cut once more by the
+    largest hash of their windows: equal windows have both anchors in common, so fewer strings meet, in smaller groups."""
+    lists = first.groupBy("doc", "th").agg(F.collect_list(F.struct("ah", "pack")).alias("parts"))
     joined = keyed(docs).join(lists.hint("shuffle_hash"), ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +378,7 @@ def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
             parts = batch.column("parts")
             flat = parts.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
-            ah, pack, n = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy(), flat.field(2).to_numpy()
+            ah, pack = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
             start = offsets[row] + ((pack >> 7) & ((1 << 36) - 1))
             size = (pack & 127) - 1 + LENGTH
             doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
@@ -399,16 +394,16 @@ def fetch(docs: DataFrame, first: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     both = _mixed(ah[k] * np.uint64(_BASE) ^ second)
                 own = (pack[k] & ~np.int64(127)) + (at.astype(np.int64) << 7) + count
-                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc[k]), pa.array(th[k]), pa.array(own), pa.array(n[k]), pa.array(texts, pa.binary())], names=["ah", "fh", "doc", "th", "pack", "n", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(fh.view(np.int64)), pa.array(doc[k]), pa.array(th[k]), pa.array(own), pa.array(texts, pa.binary())], names=["ah", "fh", "doc", "th", "pack", "part"])
                 s = e
 
     return joined.mapInArrow(run, FOUND + ", part binary")
 
 
 def windows_of(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """ah, doc, th, pack, n: the windows of the fragments of ``first`` (ah, doc, th, pack, n) as fragments of their own, with
+    """ah, doc, th, pack: the windows of the fragments of ``first`` (ah, doc, th, pack) as fragments of their own, with
     the window's hash as part of the anchor; those that occur once are left out."""
-    lists = first.groupBy("doc", "th").agg(F.collect_list(F.struct("ah", "pack", "n")).alias("parts"))
+    lists = first.groupBy("doc", "th").agg(F.collect_list(F.struct("ah", "pack")).alias("parts"))
     joined = keyed(docs).join(lists.hint("shuffle_hash"), ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +413,7 @@ def windows_of(docs: DataFrame, first: DataFrame) -> DataFrame:
             parts = batch.column("parts")
             flat = parts.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
-            ah, pack, n = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy(), flat.field(2).to_numpy()
+            ah, pack = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
             doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
             for s in range(0, len(ah), PIECE // (2 * LENGTH)):  # as many fragments as a piece holds, at two lengths each at most
                 own = slice(s, s + PIECE // (2 * LENGTH))
@@ -432,26 +427,25 @@ def windows_of(docs: DataFrame, first: DataFrame) -> DataFrame:
                 wh = h.of(h.prefix(joint), begin, begin + LENGTH)
                 with np.errstate(over="ignore"):
                     both = _mixed(ah[own][of] * np.uint64(_BASE) ^ wh)
-                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(doc[own][of]), pa.array(th[own][of]), pa.array((at[of] + step) << 7 | 1), pa.array(n[own][of])], names=["ah", "doc", "th", "pack", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(doc[own][of]), pa.array(th[own][of]), pa.array((at[of] + step) << 7 | 1)], names=["ah", "doc", "th", "pack"])
 
-    windows = written(joined.mapInArrow(run, "ah long, doc long, th long, pack long, n int"), "windows")
-    several = windows.groupBy(F.col("ah").alias("a")).agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("copies")).filter("times > 1 or copies > 0")
+    windows = written(joined.mapInArrow(run, MET), "windows")
+    several = windows.groupBy(F.col("ah").alias("a")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     return windows.join(several, F.col("ah") == F.col("a"), "left_semi")
 
 
 def compare(parts: DataFrame) -> DataFrame:
-    """doc, th, pack: the runs of repeated windows within ``parts``. Equal strings are one string with its number of places,
-    of which the further ones are told as they pass; what repeats otherwise is decided by the construction, in chunks of
-    whole anchors."""
+    """doc, th, pack: the runs of repeated windows within ``parts``. Strings of equal bytes become one, whose further places are
+    told as they pass; of anchors with several different ones these go to the construction, in chunks of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # different strings, each at its first place, with the number of the others
+        held: list[pa.Table] = []  # different strings, each at its first place
         last: pa.RecordBatch | None = None  # the row before
 
         def chunk(table: pa.Table) -> pa.RecordBatch:
             ah = table.column("ah").to_numpy()
             group = np.cumsum(np.concatenate([[True], ah[1:] != ah[:-1]])) - 1
-            table = table.filter(pa.array((np.bincount(group) > 1)[group] | (table.column("n").to_numpy() > 0)))
+            table = table.filter(pa.array((np.bincount(group) > 1)[group]))
             d = t = p = np.zeros(0, np.int64)
             if table.num_rows:
                 doc, th = table.column("doc").to_numpy(), table.column("th").to_numpy()
@@ -474,44 +468,35 @@ def compare(parts: DataFrame) -> DataFrame:
             same = np.concatenate([[False], (ah[1:] == ah[:-1]) & alike])
             # a string's first place, or that of a row which repeats it: equal places stand side by side
             again = same & np.concatenate([[False], differ(doc, th, pack)])
-            new = ~same
-            string = np.cumsum(new) - 1
-            n = np.bincount(string, again + rows.column("n").to_numpy().astype(np.float64), int(string[-1]) + 1).astype(np.int32)
             if again.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (doc, th, pack)], names=["doc", "th", "pack"])
+            fresh = ~same
+            fresh[0] = last is None  # else it is the row before, whose string is held
             last = batch.slice(batch.num_rows - 1)
-            fresh = rows.filter(pa.array(new))
-            fresh = fresh.set_column(fresh.schema.get_field_index("n"), "n", pa.array(n))
-            if held is not None:  # the first row was the last of the batch before: its string is held, and may have grown
-                total = held.column("n").to_numpy().copy()
-                total[-1] += n[0] - rows.column("n")[0].as_py()
-                held = pa.concat_tables([held.set_column(held.schema.get_field_index("n"), "n", pa.array(total)), fresh.slice(1)])
-            else:
-                held = fresh
-            if held.num_rows >= 2 * CHUNK:
-                ah = held.column("ah").to_numpy()
+            held.append(rows.filter(pa.array(fresh)))
+            if sum(t.num_rows for t in held) >= 2 * CHUNK:
+                table = pa.concat_tables(held)
+                ah = table.column("ah").to_numpy()
                 ends = np.flatnonzero(ah[1:] != ah[:-1]) + 1  # the last anchor may go on
                 done = 0
                 while len(ends) and ends[-1] > done:
                     cut = int(ends[max(0, int(np.searchsorted(ends, done + CHUNK, "right")) - 1)])
                     if cut <= done:
                         cut = int(ends[np.searchsorted(ends, done, "right")])
-                    yield chunk(held.slice(done, cut - done))
+                    yield chunk(table.slice(done, cut - done))
                     done = cut
-                held = held.slice(done)
-        if held is not None:
-            yield chunk(held)
+                held = [table.slice(done)]
+        if held:
+            yield chunk(pa.concat_tables(held))
 
     return parts.repartition("ah").sortWithinPartitions("ah", "fh", "doc", "th", "pack").mapInArrow(run, "doc long, th long, pack long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, th, runs (array of long, pairs of start and number of windows packed): the repeated windows of all texts."""
-    found = written(meeting(all_fragments(docs, frequent_anchors(docs))), "fragments")
-    left = found.filter("pack >= 0")
-    different = left.groupBy("ah", "fh").agg(F.count(F.lit(1)).alias("places"))
-    heavy = written(different.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("ah"), "heavy")
-    first = left.select("ah", "doc", "th", "pack", "n")
+    found = written(resolve(all_fragments(docs, frequent_anchors(docs))), "fragments")
+    first = found.filter("pack >= 0")
+    heavy = written(first.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY).select("ah"), "heavy")
     if not heavy.isEmpty():
         first = first.join(heavy, "ah", "left_anti").unionByName(windows_of(docs, first.join(heavy, "ah", "left_semi")))
     within = compare(fetch(docs, first))

@@ -182,13 +182,13 @@ def test_bytes_and_not_hashes_tell_that_strings_are_equal(spark, rows_a_batch):
     r = np.random.default_rng(8)
     strings = [bytes(r.integers(33, 127, 120, np.uint8)) for _ in range(6)]
     strings.append(strings[0][10:] + b"0123456789")  # shares its first 11 windows with the last 11 of the first string
-    rows = [(a, 5, int(d), 0, int(repeats.packed(np.int64(0), np.int64(40 * a), np.int64(21))), 0, strings[k]) for a in range(3) for d, k in enumerate(r.integers(0, 7, 30))]
+    rows = [(a, 5, int(d), 0, int(repeats.packed(np.int64(0), np.int64(40 * a), np.int64(21))), strings[k]) for a in range(3) for d, k in enumerate(r.integers(0, 7, 30))]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
     try:
         for a in range(3):
             own = [x for x in rows if x[0] == a]
             seen, want = set(), set()
-            for _, _, doc, _, pack, _, part in sorted(own, key=lambda x: (x[2], x[4])):
+            for _, _, doc, _, pack, part in sorted(own, key=lambda x: (x[2], x[4])):
                 for o in range(21):
                     (want if part[o : o + 100] in seen else set()).add((doc, (pack >> 7) + o))
                     seen.add(part[o : o + 100])
@@ -199,12 +199,25 @@ def test_bytes_and_not_hashes_tell_that_strings_are_equal(spark, rows_a_batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_equal_bytes_and_copies_within_a_piece():
-    r = np.random.default_rng(9)
-    data = r.integers(0, 3, 60_000).astype(np.uint8)
-    one, two, size = r.integers(0, 50_000, 9000), r.integers(0, 50_000, 9000), r.integers(1, 8, 9000)
-    want = [data[a : a + n].tobytes() == data[b : b + n].tobytes() for a, b, n in zip(one, two, size)]
-    assert repeats.equal_bytes(data, one, two, size).tolist() == want and any(want) and not all(want)
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 10_000])
+def test_resolve_holds_one_row(spark, rows_a_batch):
+    """Anchors of one, two and many fragments, with copies, across batches of any size."""
+    r = np.random.default_rng(10)
+    rows = [(int(a), int(f), int(d), 0, int(repeats.packed(np.int64(0), np.int64(100 * k), np.int64(5)))) for k, (a, f, d) in enumerate(zip(r.integers(0, 12, 120) ** 2 % 37, r.integers(0, 3, 120), r.integers(0, 9, 120)))]
+    rows += [(a, 1, 1, 0, 7) for a in (1000, 1001, 1001)]  # an anchor that occurs once, and a row that is there twice
+    rows += [(5, 5, 5, 5, int(repeats.FIRST) | 99)]
+    first = {}
+    for a, f, *place in sorted(x for x in rows if x[4] >= 0):
+        first.setdefault((a, f), tuple(place))
+    want = Counter((a, *place) for (a, _), place in first.items() if sum(k[0] == a for k in first) > 1)
+    want += Counter((a, d, t, p | int(repeats.FIRST)) for a, f, d, t, p in rows if p >= 0 and (d, t, p) != first[a, f])
+    want += Counter((a, d, t, p) for a, _, d, t, p in rows if p < 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        got = Counter(tuple(x) for x in repeats.resolve(spark.createDataFrame(rows, repeats.FOUND)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
 
 
 def test_repeats_in_pieces_and_small_chunks(monkeypatch):
