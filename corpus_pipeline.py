@@ -29,8 +29,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of the decoded bytes, for each row of the training sequence."""
-    return bpe.round_trip(docs)
+    """doc_id, n_tokens, digests of the ids and of the decoded bytes, and seq, the place in the training sequence (from 0
+    on; null if ``docs`` isn't the written table of the stage before), for each row."""
+    lean = docs.select("doc_id", "text")
+    return mixing.in_sequence(bpe.round_trip(mixing.stored(lean), beside=("at_file", "at_row")), lean)
 
 
 STAGES = [

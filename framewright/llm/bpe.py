@@ -269,11 +269,11 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each text, decodes the ids, and keeps the digests only, in
-    one pass, so neither ids nor texts travel."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the columns ``beside`` them: encodes each text, decodes the ids,
+    and keeps the digests only, in one pass, so neither ids nor texts travel."""
     path, pattern = path or default_files()[0], pattern or default_files()[1]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in beside]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -283,9 +283,10 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 n.append(len(ids) >> 2)
                 ids_sum.append(hashlib.sha256(ids).hexdigest())
                 text_sum.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string()), *[batch.column(c) for c in beside]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *beside])
 
-    return light(docs).select("doc_id", "text").mapInArrow(run, schema)
+    return light(docs).select("doc_id", "text", *beside).mapInArrow(run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

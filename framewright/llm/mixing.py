@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +141,28 @@ def mix(docs: DataFrame) -> DataFrame:
     return copies.withColumn("at", position_of(F.col("copy"))).orderBy("at", "__own", "copy").select("row.*")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and the row in it (``at_file``, ``at_row``) at which each of its rows is stored. Null for rows
+    that don't come straight from a table of files."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+    except AnalysisException:
+        return docs.withColumns({"at_file": F.lit(None).cast("string"), "at_row": F.lit(None).cast("long")})
+
+
+def in_sequence(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with ``seq``, their place in the training sequence from 0 on, in place of ``at_file`` and ``at_row``, which
+    they have from :func:`stored` of ``table``: what :func:`mix` gave, written and read again. Null where these are null.
+
+    The range sort writes its parts in order, each one in order, so a row's place is the number of rows in the parts before
+    its own and its number therein. The parts are counted from the footers; a reader may take them in any order."""
+    number = F.regexp_extract("at_file", r"^part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "at_file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored(table).filter("at_file is not null").groupBy("at_file").agg(F.count(F.lit(1)).alias("n"))
+    starts = written(parts.select(F.col("at_file").alias("of_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "parts")
+    return rows.join(starts, F.col("at_file") == F.col("of_file"), "left").withColumn("seq", F.col("base") + F.col("at_row")).drop("at_file", "at_row", "of_file", "base")
+
+
 def positions(mixed: DataFrame) -> DataFrame:
     """``times``, ``position`` (of the first copy) and ``positions`` (of all copies, in 1e-9 of the training, joined by
     commas) beside the columns of ``mixed`` (assign's); null where a row isn't taken."""
