@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import bpe, exact_dedup, mixing, near, quality
-from framewright.llm.common import forget, mark, read_table, written
+from framewright.llm.common import WIDE_GROUP, forget, mark, read_table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     since = mark()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, WIDE_GROUP)
         forget(spark, since, mark() - 1)  # all but the stage's result
     return STAGES[-1][1](spark, docs, sf_dir)

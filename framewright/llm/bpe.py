@@ -22,7 +22,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import light, read_table, small_batches
 
-#: Pre-tokens kept with their ids; longer ones than LONG bytes are not kept. Bytes of text in a block.
-KEPT, LONG, BLOCK = 1 << 18, 64, 4 << 20
+#: Pre-tokens kept with their ids; longer ones than LONG bytes are not kept. Bytes of text in a block; bytes
+#: of pre-tokens (one, if it is longer) in one queue.
+KEPT, LONG, BLOCK, QUEUED = 1 << 18, 64, 4 << 20, 1 << 18
 
 
 class RankQueue:
@@ -204,8 +204,8 @@ class Codec(dict):
 
     def encode_block(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        split = [self.split(t) if t else [] for t in texts]
-        asked = set(chain.from_iterable(split))
+        asked: dict[str, str] = {}  # one object for all places of a pre-token
+        split = [list(map(asked.setdefault, parts, parts)) for parts in (self.split(t) if t else [] for t in texts)]
         if len(self) + len(asked) > KEPT:
             self.clear()
         new = [t for t in asked if t not in self]
@@ -218,9 +218,14 @@ class Codec(dict):
                 todo.append((t, raw))
             if len(raw) > LONG:
                 long.append(t)
-        if todo:
-            for (t, _), ids in zip(todo, self.merge_all([raw for _, raw in todo]), strict=True):
+        ends = np.cumsum([len(raw) for _, raw in todo])
+        start = 0
+        while start < len(todo):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + QUEUED, "right")))
+            for (t, _), ids in zip(todo[start:stop], self.merge_all([raw for _, raw in todo[start:stop]]), strict=True):
                 self[t] = ids
+            start = stop
         out = [b"".join(map(self.__getitem__, s)) for s in split]
         for t in long:
             del self[t]

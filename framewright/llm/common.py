@@ -33,11 +33,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, so a lost executor costs no recomputation,
-    and later exchanges on the table are plain ones that adaptive execution can split. See :func:`forget`."""
+    and later exchanges on the table are plain ones that adaptive execution can split. See :func:`forget`. A task holds a
+    row group of ``group_bytes`` when it writes and the columns of one when it reads."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_bytes).parquet(path)
     _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -68,6 +69,8 @@ def light(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes of a row group in tables of whole texts or sets of shingles, which tasks hold beside their Python workers.
+WIDE_GROUP = 16 << 20
 #: Bits of the map that stands for a list of rows (8 MB in all), those of one of Spark's bitmaps, and of an entry cut from it.
 MAP_BITS, BITMAP_BITS, ENTRY_BITS = 1 << 26, 1 << 15, 1 << 9
 

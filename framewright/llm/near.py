@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import light, parted, row_key, small_batches, written
+from .common import WIDE_GROUP, light, parted, row_key, small_batches, written
 from .graph import components
 from .simhash import REFERENCES, first_of_each, majority, shingle_hashes
 
@@ -203,7 +203,7 @@ def similar(docs: DataFrame, words: int = WORDS, least: float = LEAST, bits: int
     wanted = written(members.select("node").distinct().join(nodes.select("node", row_key(F.col("doc_id"), F.col("th")).alias("__key"), "fp"), "node"), "wanted")
     _, hit = parted(docs.select("doc_id", "text"), wanted)
     texts = hit.join(wanted.hint("merge"), F.col("__own") == F.col("__key")).select("node", "fp", "text")
-    sets = written(shingle_sets(texts, words).groupBy("node").agg(F.first("fp").alias("fp"), F.first("own").alias("own")), "shingles")
+    sets = written(shingle_sets(texts, words).groupBy("node").agg(F.first("fp").alias("fp"), F.first("own").alias("own")), "shingles", WIDE_GROUP)
     early = components(first_links(members.filter(F.col("band") < EARLY), sets, least, bits, group))
     labelled = written(members.join(early.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("label")), "labelled")
     mixed = written(labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key"), "mixed_blocks")
