@@ -6,8 +6,10 @@ import json
 import struct
 import zlib
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from framewright.operators import frames, jobs, pixels, scenes
 from framewright.sources import readers, sinks
 from framewright.sources.views import view
 from framewright.streaming import jobs as streams
+from framewright.streaming import ordered
 from framewright.streaming.ordered import PROVIDER, with_state_store
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +128,59 @@ def test_writes_that_may_not_follow_are_refused():
     assert walk(streams.Guarded(), [{"at": float(k), "event_id": k, "status": s} for k, s in rows], state) == ([], state)  # a replay
 
 
+class CountedState:
+    """State and timers of one key, as the stateful processor's handle gives them, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value, self.entries = 0, set(), None, {}
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.call(lambda: self.value), update=lambda v: self.call(lambda: setattr(self, "value", v)), clear=lambda: self.call(lambda: setattr(self, "value", None)))
+
+    def getMapState(self, name, *schemas):
+        return SimpleNamespace(getValue=lambda k: self.call(lambda: self.entries[k]), updateValue=lambda k, v: self.call(lambda: self.entries.update({k: v})), removeKey=lambda k: self.call(lambda: self.entries.pop(k)))
+
+    def call(self, f):
+        self.calls += 1
+        return f()
+
+    def registerTimer(self, ms):
+        self.call(lambda: self.timers.add(ms))
+
+
+def passed_in_order(rows, few, watermarks, monkeypatch):
+    """What the writes' rule tells of one job's ``rows`` (us_of_event, event_id, status), all given at once, and the state after."""
+    monkeypatch.setattr(ordered, "FEW", few)
+    names = [c.split()[0] for c in streams.WRITES.split(", ")]
+    run, state = ordered.InOrder(streams.Guarded(), names, ["us_of_event", "event_id", "at", "status"], "event_id", None), CountedState()
+    run.init(state)
+    frame = pd.DataFrame([(us, n, us / 1e6, s) for us, n, s in rows], columns=["us_of_event", "event_id", "at", "status"])
+    assert list(run.handleInputRows((1,), iter([frame[: len(rows) // 2], frame[len(rows) // 2 :]]), None)) == []
+    out = []
+    for now in watermarks:
+        while due := sorted(t for t in state.timers if t < now):
+            for part in run.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None):  # noqa: B023
+                out += part["event_id"].tolist()
+            state.timers.discard(due[0])
+    return out, state
+
+
+def test_waiting_events_cost_few_calls_of_state(monkeypatch):
+    day, names = 86_400_000_000, ("QUEUED", "PROCESSING", "PROGRESS")
+    rows = [((37 * k) % 60 * day // 2, k, names[k % 3]) for k in range(60)]
+    want = [n for _, n, _ in sorted(rows)]
+    got, state = passed_in_order(rows, 2_000, [31 * day // 1000], monkeypatch)
+    assert got == want and state.calls <= 8 and not state.entries  # not several for each day
+    for few, watermarks in ((2_000, [3, 11, 31]), (10, [31]), (10, [3, 11, 31])):
+        got, state = passed_in_order(rows, few, [w * day // 1000 for w in watermarks], monkeypatch)
+        assert got == want and not state.entries and not state.timers
+
+
+def test_events_of_one_millisecond_pass_in_order_of_time(monkeypatch):
+    rows = [(5_000_900, 1, "PROCESSING"), (5_000_100, 2, "QUEUED"), (5_000_500, 3, "QUEUED")]
+    assert passed_in_order(rows, 2_000, [9_000], monkeypatch)[0] == [2, 3, 1]
+
+
 def test_streams_agree_with_batch(spark):
     events = view(spark, SF, "job_events")
     windows = streams.drained(streams.telemetry_windows(streams.event_stream(spark, SF)), "w", "complete")
