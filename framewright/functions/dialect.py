@@ -29,7 +29,12 @@ def _common(text: str) -> str:
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", text)
 
 
+#: A phrase of plain words between classes of characters: only texts that contain it need the expression.
+_PLAIN = re.compile(r"RX\((\w+|lower\(\w+\)), '(\(\^\|\[[^\]']+\]\)([a-z ]+)\(\[[^\]']+\]\|\$\))'\)")
+
+
 def spark_text(text: str) -> str:
+    text = _PLAIN.sub(r"(contains(\1, '\3') AND regexp_like(\1, r'\2'))", text)
     text = re.sub(r"RX\((.+?), '", r"regexp_like(\1, r'", text)
     return _calls(_common(text), "DIV", lambda x: "((%s) DIV (%s))" % tuple(x.split(", ")))
 

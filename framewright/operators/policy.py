@@ -40,10 +40,8 @@ register("p13_post_check_action", "actions", lambda a: a.select("candidate_id",
 
 
 def safety(findings: DataFrame) -> DataFrame:
-    """Sensitive phrases found in the description, from the rule list as data (one array, no join)."""
-    terms = F.array(*[F.lit(t) for t in sorted(SAFETY_TERMS)])
-    hits = F.filter(terms, lambda t: F.regexp_like(F.lower("description"), F.concat(F.lit(BEFORE), t, F.lit(AFTER))))
-    return findings.select("finding_id", F.array_join(F.transform(hits, lambda t: F.concat(F.lit("safety phrase: "), t)), ",").alias("reasons"), (F.size(hits) > 0).alias("sensitive"))
+    """Sensitive phrases found in the description."""
+    return findings.select("finding_id", ex(safety_reasons()).alias("reasons")).withColumn("sensitive", F.col("reasons") != "")
 
 
 register("p14_safety_sensitivity", "findings", safety, f"SELECT finding_id, {safety_reasons()} AS reasons, {SENSITIVE} AS sensitive FROM findings")
@@ -204,9 +202,19 @@ register(
     "SELECT video_id, finding_id FROM findings WHERE confidence BETWEEN 0.45 AND 0.80 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY abs(confidence - 0.65), finding_id) = 1",
 )
 _RANK = f"CASE {route()} WHEN 'INVESTIGATE_CANDIDATE' THEN 0 WHEN 'ACCEPT_CANDIDATE' THEN 1 ELSE 2 END"
+
+
+def policy_candidate(findings: DataFrame) -> DataFrame:
+    """Each video's first finding by route, safety, confidence and id; whether it is sensitive is told once a row."""
+    ranked = findings.select("video_id", "finding_id", "confidence", ex(SENSITIVE).alias("sensitive")).withColumn("route", ex(route(sensitive="sensitive")))
+    ranked = ranked.withColumn("route_rank", ex("CASE route WHEN 'INVESTIGATE_CANDIDATE' THEN 0 WHEN 'ACCEPT_CANDIDATE' THEN 1 ELSE 2 END"))
+    first = Window.partitionBy("video_id").orderBy("route_rank", ~F.col("sensitive"), F.col("confidence").desc(), "finding_id")
+    return ranked.withColumn("n", F.row_number().over(first)).filter("n = 1").select("video_id", "finding_id", "route_rank")
+
+
 register(
     "t04_policy_candidate", "findings",
-    lambda f: f.withColumns({"route_rank": ex(_RANK), "safe": ~ex(SENSITIVE)}).withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy("route_rank", "safe", F.col("confidence").desc(), "finding_id"))).filter("n = 1").select("video_id", "finding_id", "route_rank"),
+    policy_candidate,
     f"SELECT video_id, finding_id, {_RANK} AS route_rank FROM findings QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {_RANK}, NOT {SENSITIVE}, confidence DESC, finding_id) = 1",
 )
 
