@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.dialect import ex, r6
 from ..plans.registry import register
+from ..sources.scratch import stored
 from .frames import SCORED, score_frames
 
 
@@ -134,9 +135,13 @@ def with_scenes(frames: DataFrame) -> DataFrame:
     return segmented(unsigned(frames)).drop("signature", "boundary")
 
 
+def signatures_of(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").alias("signature_id"), F.col("embedding").alias("signature"))
+
+
 def signed(frames: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Scored frames with their signatures; a frame that has none stays, without one."""
-    return score_frames(frames).join(embeddings.select(F.col("vec_id").alias("signature_id"), F.col("embedding").alias("signature")), "signature_id", "left")
+    return score_frames(frames).join(signatures_of(embeddings), "signature_id", "left")
 
 
 _SCENES = f"""{SCORED}, walk AS (
@@ -226,20 +231,24 @@ register(
 )
 
 
-def correlation(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Two signatures less their means, and their correlation (of these as ``__a`` and ``__b``) clamped to 0..1, as
-    expressions; 1 without one of them or without variation."""
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    centred = lambda x: F.transform(x, lambda v: v.cast("double") - total(F.transform(x, lambda w: w.cast("double"))) / F.size(x))
-    dot = lambda x, y: total(F.zip_with(x, y, lambda v, w: v * w))
-    spread = F.sqrt(dot(F.col("__a"), F.col("__a")) * dot(F.col("__b"), F.col("__b")))
-    told = F.when(spread == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("__a"), F.col("__b")) / spread)))
-    return centred(a), centred(b), F.when(F.col("__a").isNull() | F.col("__b").isNull(), 1.0).otherwise(told)
+def centred(x: Column) -> Column:
+    """An array less its mean, which is told once."""
+    total = F.aggregate(F.transform(x, lambda w: w.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.element_at(F.transform(F.array(F.try_divide(total, F.size(x))), lambda mean: F.transform(x, lambda v: v.cast("double") - mean)), 1)
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
 
 
-def correlated(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    x, y, value = correlation(F.col(a), F.col(b))
-    return df.withColumn("__a", x).withColumn("__b", y).withColumn(name, r6(value)).drop("__a", "__b")
+def correlations(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """a, b, like: of each of ``pairs`` (a, b: ids) whose images both have ``signatures`` (signature_id, signature) their
+    correlation, clamped to 0..1; 1 without variation. Each signature is centred once."""
+    own = signatures.filter("signature is not null").select("signature_id", centred(F.col("signature")).alias("c")).withColumn("square", dot(F.col("c"), F.col("c")))
+    side = lambda k: own.select(F.col("signature_id").alias(k), F.col("c").alias(f"{k}_c"), F.col("square").alias(f"{k}_square"))
+    spread = F.sqrt(F.col("a_square") * F.col("b_square"))
+    told = F.when(spread == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(F.col("a_c"), F.col("b_c")) / spread)))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", r6(told).alias("like"))
 
 
 _STILL = "(CASE WHEN motion_pct IS NULL THEN 1.0 ELSE greatest(0.0, 1.0 - motion_pct / 24.0) END)"
@@ -249,19 +258,24 @@ CHANGE = f"""CASE WHEN elapsed >= 30.0 THEN 'maximum_scene_duration' WHEN elapse
   WHEN reference < 0.495 AND prior >= 0.6875 THEN 'stable_view_differs_from_scene_reference' WHEN motion_pct >= 12.0 AND {COMBINED} < 0.55 THEN 'visual_drop_with_camera_motion' ELSE 'similar_scene' END"""
 
 
-def change_scores(frames: DataFrame) -> DataFrame:
+def change_scores(frames: DataFrame, signatures: DataFrame) -> DataFrame:
     """The fused similarity and the reason for each frame against the one before it and the video's first, as if the scene
-    had begun three frames ago. ``frames``: video_id, frame_number, t, motion_pct, signature."""
+    had begun three frames ago. ``frames``: video_id, frame_number, t, motion_pct, signature_id; ``signatures``: signature_id,
+    signature. Frames carry ids, and images meet by one join of the different pairs of ids."""
     w = Window.partitionBy("video_id").orderBy("frame_number")
-    seen = frames.select("video_id", "frame_number", "t", "motion_pct", "signature", F.lag("signature").over(w).alias("before"), F.first("signature").over(w).alias("opening"), (F.col("t") - F.lag("t", 3).over(w)).alias("elapsed"))
-    both = correlated(correlated(seen.filter("elapsed is not null"), "before", "signature", "prior"), "opening", "signature", "reference")
-    return both.withColumns({"combined": ex(COMBINED), "reason": ex(CHANGE)})
+    ids = [F.lag("signature_id").over(w).alias("before"), F.first("signature_id").over(w).alias("opening")]
+    seen = stored(frames.select("video_id", "frame_number", "motion_pct", "signature_id", *ids, (F.col("t") - F.lag("t", 3).over(w)).alias("elapsed")).filter("elapsed is not null"), "changes")
+    pairs = seen.select(F.explode(F.array(*[F.struct(F.col(k).alias("a"), F.col("signature_id").alias("b")) for k in ("before", "opening")])).alias("p")).select("p.a", "p.b").distinct()
+    like, both = stored(correlations(pairs, signatures), "likenesses"), seen
+    for k, name in (("before", "prior"), ("opening", "reference")):
+        both = both.join(like.select(F.col("a").alias(k), F.col("b").alias("signature_id"), F.col("like").alias(name)), [k, "signature_id"], "left")
+    return both.withColumns({name: F.coalesce(name, F.lit(1.0)) for name in ("prior", "reference")}).withColumns({"combined": ex(COMBINED), "reason": ex(CHANGE)})
 
 
 _CENTRED = "[CAST(v AS DOUBLE) - list_sum([CAST(w AS DOUBLE) for w in {x}]) / len({x}) for v in {x}]"
 _CORR = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN 1.0 WHEN sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})) = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})))) END"
 register(
-    "f07_change_score", "frames embeddings", lambda f, e: change_scores(signed(f, e)).select("video_id", "frame_number", "prior", "reference", r6(F.col("combined")).alias("combined"), "reason"),
+    "f07_change_score", "frames embeddings", lambda f, e: change_scores(f, signatures_of(e)).select("video_id", "frame_number", "prior", "reference", r6(F.col("combined")).alias("combined"), "reason"),
     f"""WITH s AS (SELECT video_id, frame_number, t, motion_pct, {_CENTRED.format(x="embedding")} AS c FROM frames LEFT JOIN embeddings ON vec_id = signature_id),
 w AS (SELECT *, lag(c) OVER v AS b, first_value(c) OVER v AS o, t - lag(t, 3) OVER v AS elapsed FROM s WINDOW v AS (PARTITION BY video_id ORDER BY frame_number)),
 k AS (SELECT video_id, frame_number, motion_pct, elapsed, R6({_CORR.format(a="b", b="c")}) AS prior, R6({_CORR.format(a="o", b="c")}) AS reference FROM w WHERE elapsed IS NOT NULL)

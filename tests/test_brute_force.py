@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import consolidate, evaluate, keyframes
+from framewright.operators import consolidate, evaluate, keyframes, scenes
 from framewright.operators.scenes import similarity
 
 from .test_golden import FINDING
@@ -241,3 +241,19 @@ def test_neighbours_agree_with_a_plain_list(spark):
     df = spark.createDataFrame(rows, "video_id long, scene_index int, frame_number long, t double, sharpness double, signature array<double>")
     got = sorted(map(tuple, keyframes.remove_across_scenes(df).collect()))
     assert got == sorted(want) and len(got) < len(rows)
+
+
+def test_change_scores_with_repeated_missing_and_empty_signatures(spark):
+    """Images are compared by id, each pair once, however many frames show it."""
+    images = {0: [1.0, 2.0, 4.0], 1: [3.0, 1.0, 0.0], 2: [5.0, 5.0, 5.0], 3: None, 4: [0.5, 0.25, 8.0]}
+    shown = {7: [0, 1, 0, 4, 1, 2, 3, 9, None, 4, 0], 8: [None, 1, 1, 4, 0, 4]}
+    frames = spark.createDataFrame([(v, n, 2.0 * n, None if n % 3 else 5.0, i) for v, ids in shown.items() for n, i in enumerate(ids)], "video_id long, frame_number long, t double, motion_pct double, signature_id long")
+    signatures = spark.createDataFrame([*images.items(), (5, [])], "signature_id long, signature array<float>")
+    told = scenes.change_scores(frames, signatures)
+    assert "array<" not in str(told.schema) and "signature#" not in told._jdf.queryExecution().executedPlan().toString()
+    got = {(r.video_id, r.frame_number): (r.prior, r.reference) for r in told.collect()}
+    assert set(got) == {(v, n) for v, ids in shown.items() for n in range(3, len(ids))}
+    array = lambda i: None if images.get(i) is None else np.array(images[i])
+    for (v, n), values in got.items():
+        want = [scenes.similarity(array(shown[v][k]), array(shown[v][n])) for k in (n - 1, 0)]
+        assert np.allclose(values, want, atol=2e-6)
