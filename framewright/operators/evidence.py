@@ -288,4 +288,10 @@ def described(frames: DataFrame, px: DataFrame) -> DataFrame:
     return frames.join(px.select(F.col("frame_number").alias("signature_id"), features_of("px").alias("features")), "signature_id", "left")
 
 
-register("q01_feature_segmentation", "frames embeddings frame_px", lambda f, e, p: segmented(described(signed(f, e), p), features=feature_value).select("video_id", "frame_number", "scene_index", "boundary"))
+def feature_segments(frames: DataFrame) -> DataFrame:
+    """video_id, frame_number, scene_index, boundary by colours and features: see :func:`~framewright.operators.scenes.segmented`."""
+    wanted = frames.select("video_id", "frame_number", "t", "reasons", "motion_pct", "signature", "features")
+    return segmented(wanted, features=feature_value, told=["video_id", "frame_number"])
+
+
+register("q01_feature_segmentation", "frames embeddings frame_px", lambda f, e, p: feature_segments(described(signed(f, e), p)))

@@ -71,12 +71,12 @@ class SceneState:
     prior_features: np.ndarray | None = None
     reference_features: np.ndarray | None = None
 
-    def step(self, t: float, signature: np.ndarray | None, rejected: bool, motion: float | None, c: SceneLimits, features: np.ndarray | None = None, value: Callable | None = None) -> tuple[int, str]:
-        """``value`` tells the similarity of two images' features."""
+    def step(self, t: float, signature: np.ndarray | None, rejected: bool, motion: float | None, c: SceneLimits, features: np.ndarray | None = None, value: Callable | None = None, like: Callable = similarity) -> tuple[int, str]:
+        """``value`` tells the similarity of two images' features, ``like`` that of their signatures."""
         if self.start is None:
             self.start = t
         both = (value(self.prior_features, features), value(self.reference_features, features)) if value else (None, None)
-        change, reason = boundary(similarity(self.prior, signature), similarity(self.reference, signature), t - self.start, motion, c, both)
+        change, reason = boundary(like(self.prior, signature), like(self.reference, signature), t - self.start, motion, c, both)
         if change and rejected and reason != "maximum_scene_duration":
             change, reason = False, "deferred_until_quality_frame"
         if change:
@@ -88,6 +88,35 @@ class SceneState:
         return self.scene, reason if change else ""
 
 
+class Remembered:
+    """A similarity of two arrays that is looked up where the same two were compared before. Arrays of equal bytes are one
+    (:meth:`one`); it forgets all when it has seen ``arrays`` of them or ``pairs``."""
+
+    def __init__(self, similarity: Callable, arrays: int = 4096, pairs: int = 16384):
+        self.similarity, self.arrays, self.pairs = similarity, arrays, pairs
+        self.seen: dict[bytes, np.ndarray] = {}
+        self.told: dict[tuple[int, int], tuple] = {}  # holds the arrays, so that their ids stay theirs
+
+    def one(self, a: np.ndarray | None) -> np.ndarray | None:
+        if a is None:
+            return None
+        own = a.tobytes()
+        if (known := self.seen.get(own)) is None:
+            if len(self.seen) >= self.arrays:
+                self.seen.clear()
+            known = self.seen[own] = a.copy()  # not a view that keeps its batch
+        return known
+
+    def __call__(self, a: np.ndarray | None, b: np.ndarray | None) -> float | None:
+        if a is None or b is None:
+            return self.similarity(a, b)
+        if (known := self.told.get((id(a), id(b)))) is None:
+            if len(self.told) >= self.pairs:
+                self.told.clear()
+            known = self.told[id(a), id(b)] = (a, b, self.similarity(a, b))
+        return known[2]
+
+
 def arrays(column: pa.Array) -> list[np.ndarray | None]:
     """The lists of an array column as slices of one array."""
     flat, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
@@ -95,14 +124,17 @@ def arrays(column: pa.Array) -> list[np.ndarray | None]:
     return [flat[s:e] if ok else None for ok, s, e in zip(here, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def segmented(frames: DataFrame, c: SceneLimits = SceneLimits(), features: Callable | None = None) -> DataFrame:
+def segmented(frames: DataFrame, c: SceneLimits = SceneLimits(), features: Callable | None = None, told: list[str] | None = None) -> DataFrame:
     """scene_index and boundary (the reason, where a scene begins) beside the columns of ``frames`` (video_id, frame_number,
     t, reasons, motion_pct, signature, and an array of features if ``features`` tells the similarity of two of them). Each video's frames pass through one task in order; the state is constant in size,
-    so a video of any length can be segmented, and the columns pass along, so nothing has to be joined again."""
-    names = [*frames.columns, "scene_index", "boundary"]
+    so a video of any length can be segmented, and the columns pass along (those ``told``, or all), so nothing has to be joined
+    again. Similarities of images are remembered, so that those which were compared before aren't again."""
+    kept = told or frames.columns
+    names = [*kept, "scene_index", "boundary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state = None, SceneState()
+        like, value = Remembered(similarity), Remembered(features) if features else None
         for batch in batches:
             videos, times, reasons, motions = (batch.column(k).to_pylist() for k in ("video_id", "t", "reasons", "motion_pct"))
             scenes, why = [], []
@@ -110,19 +142,19 @@ def segmented(frames: DataFrame, c: SceneLimits = SceneLimits(), features: Calla
             for v, t, r, motion, signature, own in zip(videos, times, reasons, motions, arrays(batch.column("signature")), local, strict=True):
                 if v != video:
                     video, state = v, SceneState()
-                scene, reason = state.step(t, signature, bool(r), motion, c, own, features)
+                scene, reason = state.step(t, like.one(signature), bool(r), motion, c, value.one(own) if value else None, value, like)
                 scenes.append(scene)
                 why.append(reason)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scenes, pa.int32()), pa.array(why, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(scenes, pa.int32()), pa.array(why, pa.string())], names=names)
 
-    schema = StructType([*frames.schema.fields, StructField("scene_index", IntegerType()), StructField("boundary", StringType())])
+    schema = StructType([*(frames.schema[k] for k in kept), StructField("scene_index", IntegerType()), StructField("boundary", StringType())])
     return frames.repartition("video_id").sortWithinPartitions("video_id", "t", "frame_number").mapInArrow(run, schema)
 
 
 def segment(frames: DataFrame, c: SceneLimits = SceneLimits()) -> DataFrame:
     """video_id, frame_number, scene_index, boundary of each frame of ``frames``: see :func:`segmented`."""
     wanted = frames.select("video_id", "frame_number", "t", "reasons", "motion_pct", "signature")
-    return segmented(wanted, c).select("video_id", "frame_number", "scene_index", "boundary")
+    return segmented(wanted, c, told=["video_id", "frame_number"])
 
 
 def unsigned(frames: DataFrame) -> DataFrame:

@@ -257,3 +257,20 @@ def test_change_scores_with_repeated_missing_and_empty_signatures(spark):
     for (v, n), values in got.items():
         want = [scenes.similarity(array(shown[v][k]), array(shown[v][n])) for k in (n - 1, 0)]
         assert np.allclose(values, want, atol=2e-6)
+
+
+def test_similarities_are_told_once_for_equal_images():
+    r, calls = np.random.default_rng(5), []
+    images = [r.normal(size=8) for _ in range(6)]
+    value = lambda a, b: calls.append(1) or similarity(a, b)
+    shown = r.integers(0, 6, 2000).tolist()
+    for arrays, pairs in ((4096, 16384), (4, 7)):  # also when all that was seen is forgotten on the way
+        calls.clear()
+        like, plain, known = scenes.Remembered(value, arrays, pairs), scenes.SceneState(), scenes.SceneState()
+        for n, i in enumerate(shown):
+            a = None if n % 11 == 0 else images[i].copy()
+            args = (float(n), a, n % 5 == 0, None if n % 3 else 14.0, scenes.SceneLimits())
+            assert plain.step(*args) == known.step(args[0], like.one(a), *args[2:], like=like)
+        assert len(like.seen) <= arrays and len(like.told) <= pairs
+        assert (arrays < 6) or len([c for c in calls]) <= 36 + 2 * (2000 // 11 + 1) * 3
+    assert plain.scene > 10
