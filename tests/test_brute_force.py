@@ -282,3 +282,17 @@ def test_frames_are_segmented_once(spark, name, left):
     """Passes of the segmentation that are left in the result's plan: none where the selection is written before."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == left
+
+
+def test_small_groups_are_sorted_in_tasks_of_a_fixed_size(spark, monkeypatch):
+    from framewright.operators import quantiles as q
+
+    monkeypatch.setattr(q, "SORTED", 50)
+    df = spark.createDataFrame([(None if i % 30 == 0 else i % 30, float(i * 7919 % 601)) for i in range(600)], "g long, value double")
+    told = q.quantiles(df, ["g"], "value", {"p95": 0.95})
+    assert told.rdd.getNumPartitions() == 12  # more with more values: a task's memory doesn't grow
+    want = {}
+    for i in range(600):
+        want.setdefault(None if i % 30 == 0 else i % 30, []).append(float(i * 7919 % 601))
+    got = {r.g: r.p95 for r in told.collect()}
+    assert set(got) == set(want) and all(abs(got[g] - np.quantile(v, 0.95)) < 1e-9 for g, v in want.items())  # rows without a key too
